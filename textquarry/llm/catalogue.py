@@ -1,8 +1,8 @@
 """The queries opN_<name> and their SQL."""
 
-from textquarry.llm import mixing
+from textquarry.llm import mixing, pii, secrets
 
-_MODULES = (mixing,)
+_MODULES = (pii, secrets, mixing)
 
 QUERIES = {m.QUERY: m.query for m in _MODULES}
 ORACLES = {m.QUERY: m.ORACLE_SQL for m in _MODULES if m.ORACLE_SQL is not None}
