@@ -1,8 +1,8 @@
 """The queries opN_<name> and their SQL."""
 
-from textquarry.llm import minhash, mixing, pii, secrets
+from textquarry.llm import embedding, minhash, mixing, pii, quality_rules, secrets
 
-_MODULES = (pii, secrets, minhash, mixing)
+_MODULES = (embedding, pii, secrets, quality_rules, minhash, mixing)
 
 QUERIES = {m.QUERY: m.query for m in _MODULES}
 ORACLES = {m.QUERY: m.ORACLE_SQL for m in _MODULES if m.ORACLE_SQL is not None}

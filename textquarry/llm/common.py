@@ -70,3 +70,11 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_cla
     rows = documents.select("doc_id", "text").join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").where(F.col("text").isNotNull()).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["_y"], r["text"]))
     return [r["text"] for r in rows], [r["_y"] for r in rows]
+
+
+def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Texts are handed to Python at most so many rows at a time, for this session, since batches are counted in rows and texts can be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.llm.bytewords import U, Words, blocks, mixed
-from textquarry.llm.common import materialize, semi_join, table
+from textquarry.llm.common import bounded_batches, materialize, semi_join, table
 from textquarry.llm.graph import components
 
 QUERY = "op8_minhash"
@@ -182,6 +182,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataF
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, one row for each of documents."""
+    bounded_batches(documents.sparkSession)
     sketches = materialize(documents.select("doc_id", "text").mapInArrow(_sketch, "doc_id long, n long, k1 long, k2 long, reg binary"), "near-sketches")
     linkable = sketches.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     copies = linkable.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node"))
