@@ -1,8 +1,8 @@
 """The queries opN_<name> and their SQL."""
 
-from textquarry.llm import embedding, minhash, mixing, pii, quality, quality_rules, secrets, toxicity
+from textquarry.llm import embedding, minhash, mixing, pii, quality, quality_rules, secrets, sentencepiece_codec, toxicity
 
-_MODULES = (quality, embedding, pii, secrets, toxicity, quality_rules, minhash, mixing)
+_MODULES = (quality, sentencepiece_codec, embedding, pii, secrets, toxicity, quality_rules, minhash, mixing)
 
 QUERIES = {m.QUERY: m.query for m in _MODULES}
 ORACLES = {m.QUERY: m.ORACLE_SQL for m in _MODULES if m.ORACLE_SQL is not None}
