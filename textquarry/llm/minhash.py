@@ -31,6 +31,7 @@ is kept; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -120,16 +121,16 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip((equal - chance) / (1 - chance), 0, 1)
 
 
-def floor_of(n: np.ndarray) -> np.ndarray:
+def floor_of(n: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
     """The least estimate that sets of n shingles are verified at; short sets have as many independent registers as shingles."""
-    t = THRESHOLD / 100
+    t = threshold / 100
     return t - ESTIMATE_SIGMAS * np.sqrt(t * (1 - t) / np.minimum(n, REGISTERS))
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, k1, k2, reg = [], [], [], []
-        for s in shingle_sets(batch.column("text").to_pylist()):
+        for s in shingle_sets(batch.column("text").to_pylist(), k):
             n.append(len(s))
             k1.append(int(np.bitwise_xor.reduce(s, initial=0)) - 2**63)
             k2.append(int(np.add.reduce(mixed(s + U(1)), initial=np.uint64(0))) - 2**63)
@@ -146,44 +147,44 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(band_keys(reg).reshape(-1).view(np.int64)), pa.array(np.repeat(part.column("node").to_numpy(), BANDS))], ["band", "node"])
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _likely(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
     """The pairs whose estimate and sizes allow a link."""
     for batch in batches:
         a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
         na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
-        keep = (estimate(a, b) >= floor_of(np.maximum(na, nb))) & (100 * np.minimum(na, nb) >= THRESHOLD * np.maximum(na, nb))
+        keep = (estimate(a, b) >= floor_of(np.maximum(na, nb), threshold)) & (100 * np.minimum(na, nb) >= threshold * np.maximum(na, nb))
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _linked(batches: Iterator[pa.RecordBatch], k: int, threshold: int) -> Iterator[pa.RecordBatch]:
     """The pairs whose full shingle sets meet the threshold."""
     for batch in batches:
         keep = []
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
-            for x, y in zip(shingle_sets(part.column("ta").to_pylist()), shingle_sets(part.column("tb").to_pylist()), strict=True):
+            for x, y in zip(*(shingle_sets(part.column(c).to_pylist(), k) for c in ("ta", "tb")), strict=True):
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= THRESHOLD * (len(x) + len(y) - both) and both > 0)
+                keep.append(100 * both >= threshold * (len(x) + len(y) - both) and both > 0)
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
 
 PAIR = "a long, b long"
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, k: int, threshold: int) -> DataFrame:
     """The pairs (a, b) that are links: estimate on registers first, then full sets of the texts of those left."""
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("reg").alias(f"r{c}"))
-    likely = materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely, PAIR), "near-likely")
+    likely = materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(partial(_likely, threshold=threshold), PAIR), "near-likely")
     asked = materialize(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-asked")
     texts = materialize(semi_join(documents.select("doc_id", "text"), asked, "doc_id"), "near-texts")
     text = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}"))
-    return materialize(likely.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_linked, PAIR), "near-links")
+    return materialize(likely.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(partial(_linked, k=k, threshold=threshold), PAIR), "near-links")
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, one row for each of documents."""
+def near_duplicates(documents: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, one row for each of documents. k: words of a shingle; threshold: percent."""
     bounded_batches(documents.sparkSession)
-    sketches = materialize(documents.select("doc_id", "text").mapInArrow(_sketch, "doc_id long, n long, k1 long, k2 long, reg binary"), "near-sketches")
+    sketches = materialize(documents.select("doc_id", "text").mapInArrow(partial(_sketch, k=k), "doc_id long, n long, k1 long, k2 long, reg binary"), "near-sketches")
     linkable = sketches.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     copies = linkable.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node"))
     copies = materialize(copies, "near-copies")
@@ -195,11 +196,11 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     shared = materialize(bands.join(pivots, "band"), "near-bands")
 
     stars = shared.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    links = _verified(stars.groupBy("a").agg(F.min("b").alias("b")), nodes, documents)
+    links = _verified(stars.groupBy("a").agg(F.min("b").alias("b")), nodes, documents, k, threshold)
     roots = materialize(components(links), "near-roots")
 
     apart = _apart(stars.distinct(), roots)
-    more = _verified(apart, nodes, documents)
+    more = _verified(apart, nodes, documents, k, threshold)
     links = links.unionByName(more)
     roots = materialize(components(links), "near-roots")
 
@@ -209,7 +210,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     placed = materialize(placed.join(mixed_bands, "band").where("node <> pivot"), "near-mixed")
     left, right = placed.select("band", F.col("node").alias("a"), F.col("root").alias("x")), placed.select("band", F.col("node").alias("b"), F.col("root").alias("y"))
     across = left.join(right, "band").where("a > b and x <> y").select("a", "b").distinct()
-    links = links.unionByName(_verified(across, nodes, documents))
+    links = links.unionByName(_verified(across, nodes, documents, k, threshold))
     roots = components(links)
 
     by_copy = copies.join(roots, "node", "left").select("k1", "k2", "n", F.coalesce("root", "node").alias("component_id"))
