@@ -1,4 +1,320 @@
-"""Named queries and their SQL, side by side."""
+"""Named queries over the standard tables, each with its SQL beside it.
+
+``documents`` stands for a folder of files (see ``sources.corpus``). Patterns
+come from one compiler, so that both engines read the same text.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textquarry.functions.patterns import any_literal
+from textquarry.functions.text import extension, fence_language, token_estimate, utf16_length
+from textquarry.operators import filters, render
+from textquarry.operators.windows import context_windows, hits, match_positions, split_lines, windows_by_rows, with_windows
+from textquarry.plans import globs
+from textquarry.plans.config import parse_config
+from textquarry.plans.spec import QuerySpec
+from textquarry.search import Search
+from textquarry.sources.corpus import VIRTUAL_EXTENSIONS, VIRTUAL_FOLDERS, documents_corpus
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+#: Terms that the tables hold; their order decides what is matched where two start at one place.
+TERMS = ("that with", "with", "Éa", "from", "license")
+ALL = QuerySpec(extensions=VIRTUAL_EXTENSIONS)
+SEARCH = ALL.where(strings=TERMS)
+CONFIG = "[search]\n# terms\nlicense\ntoken\n\n[extensions]\nts\nmd\npy\n\n[exclude]\n**/docs/**\n"
+
+
+def q(text: str) -> str:
+    """An SQL string."""
+    return "'" + text.replace("'", "''") + "'"
+
+
+def query(name: str, sql: str) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name], ORACLES[name] = f, sql
+        return f
+
+    return add
+
+
+def _list(values) -> str:
+    return "[" + ", ".join(map(q, values)) + "]"
+
+
+_REL = f"{_list(VIRTUAL_FOLDERS)}[1 + (doc_id // {len(VIRTUAL_EXTENSIONS)}) % {len(VIRTUAL_FOLDERS)}] || '/doc_' || doc_id || '.' || {_list(VIRTUAL_EXTENSIONS)}[1 + doc_id % {len(VIRTUAL_EXTENSIONS)}]"
+CORPUS = f"corpus AS (SELECT doc_id, text AS content, strlen(text) AS length, {_REL} AS rel FROM documents)"
+
+
+def _re(column: str, regex: str) -> str:
+    return f"regexp_matches({column}, {q(regex)})"
+
+
+def _scan(spec: QuerySpec) -> str:
+    return f"{_re('rel', filters.extension_regex(spec.extensions))} AND NOT {_re('rel', spec.ignore_regex)}"
+
+
+def _any(gs: list[globs.Glob]) -> str:
+    return "(" + " OR ".join(("NOT " if g.negated else "") + _re("rel", g.regex) for g in gs) + ")"
+
+
+def _selected(spec: QuerySpec) -> str:
+    """WITH parts: corpus and selected."""
+    where = [_scan(spec)]
+    if spec.include:
+        where.append(_any(spec.include_globs))
+    if spec.ignore:
+        where.append("NOT " + _any(spec.ignore_globs))
+    if spec.strings or spec.exclude_strings:
+        where.append(f"length <= {spec.max_bytes}")
+    if spec.exclude_strings:
+        where.append("NOT " + _re("content", spec.exclude_pattern))
+    if spec.strings:
+        where.append(_re("content", spec.pattern))
+    return f"{CORPUS}, selected AS (SELECT * FROM corpus WHERE {' AND '.join(where)})"
+
+
+def _search(name: str, spec: QuerySpec) -> None:
+    """A query of the files that spec selects."""
+    query(name, f"WITH {_selected(spec)} SELECT doc_id, rel FROM selected")(lambda spark, d: filters.select_files(documents_corpus(spark, d), spec).select("doc_id", "rel"))
+
+
+# Scans and path filters.
+_search("scan_extension_filter", ALL.where(extensions=("ts", "TSX", ".md")))
+_search("scan_default_extensions", QuerySpec())
+_search("scan_builtin_ignores", ALL)
+_search("scan_user_excludes", ALL.where(exclude=("docs/**", globs.from_exclusion("test.ts"), "!src/**")))
+_search("include_globs", ALL.where(include=("src", "**/*.PY")))
+_search("ignore_globs", ALL.where(ignore=("examples", "*.{ts,tsx}")))
+_search("include_and_ignore", ALL.where(include=("src/**", "docs/doc_?[0-4].*"), ignore=("components",)))
+_search("path_case_sensitive", ALL.where(include=("**/*.MD", "src/**"), case_sensitive=True))
+_search("select_all_mode", ALL)
+
+_ROOTS = ("src", "src/components", "packages")
+
+
+@query(
+    "scan_multi_root_distinct",
+    f"WITH {CORPUS} SELECT doc_id, rel, min(root_ord)::INT AS root_ord FROM ("
+    + " UNION ALL ".join(f"SELECT doc_id, rel, {i} AS root_ord FROM corpus WHERE starts_with(rel, '{r}/') AND {_scan(ALL)}" for i, r in enumerate(_ROOTS))
+    + ") GROUP BY doc_id, rel",
+)
+def scan_multi_root_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = filters.scan_filter(documents_corpus(spark, sf_dir), ALL)
+    # Roots overlap; the first that holds a file counts. Which hold it follows from its path alone, so nothing is shuffled.
+    first = F.coalesce(*(F.when(F.startswith("rel", F.lit(r + "/")), F.lit(i)) for i, r in enumerate(_ROOTS)))
+    return corpus.select("doc_id", "rel", first.alias("root_ord")).where("root_ord IS NOT NULL")
+
+
+# Content filters.
+_search("size_guard", SEARCH.where(max_bytes=1500))
+_search("contains_any_ci", ALL.where(strings=("LICENSE", "thé", "token")))
+_search("contains_any_cs", ALL.where(strings=("license", "Éa"), case_sensitive=True))
+_search("contains_one_cs", ALL.where(strings=("license",), case_sensitive=True))
+_search("contains_special_chars", ALL.where(strings=("nd.", "|", "@", "$$")))
+_search("exclude_strings", SEARCH.where(exclude_strings=("license", "###")))
+_search("exclude_only_mode", ALL.where(exclude_strings=("the", "una")))
+
+_SETTINGS = parse_config(CONFIG)
+_search("config_driven_search", QuerySpec(strings=(*_SETTINGS["search"], "Éa"), extensions=(*_SETTINGS["extensions"], "tsx"), exclude=tuple(_SETTINGS["exclude"])))
+
+# Lines and matches.
+_SELECT = _selected(SEARCH)
+_P = q(SEARCH.pattern)
+_LINES = "lines AS (SELECT doc_id, rel, unnest(l) AS line, generate_subscripts(l, 1) AS ln, len(l) AS n_lines FROM (SELECT doc_id, rel, string_split(content, chr(10)) AS l FROM selected))"
+_U16 = r"(length({0}) + len(regexp_extract_all({0}, '[\x{{10000}}-\x{{10FFFF}}]')))"
+
+
+@query("line_split_numbered", f"WITH {_SELECT}, {_LINES} SELECT doc_id, ln::INT AS line, line AS text FROM lines")
+def line_split_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = filters.select_files(documents_corpus(spark, sf_dir), SEARCH)
+    return files.select("doc_id", F.posexplode(split_lines(F.col("content"))).alias("i", "text")).select("doc_id", (F.col("i") + 1).alias("line"), "text")
+
+
+def _positions_sql(with_parts: str, pattern: str) -> str:
+    u = _U16.format("z")
+    return f"""WITH {with_parts}, {_LINES},
+hit AS (SELECT doc_id, ln, string_split_regex(line, {pattern}) AS g, regexp_extract_all(line, {pattern}) AS h FROM lines WHERE regexp_matches(line, {pattern})),
+each AS (SELECT doc_id, ln, g, h, unnest(h) AS m, generate_subscripts(h, 1) AS i FROM hit)
+SELECT doc_id, ln::INT AS line, m AS match,
+       (list_sum(list_transform(g[1:i], lambda z: {u})) + coalesce(list_sum(list_transform(h[1:i - 1], lambda z: {u})), 0))::INT AS "column"
+FROM each"""
+
+
+def _positions(spark: SparkSession, sf_dir: str, spec: QuerySpec) -> DataFrame:
+    files = filters.select_files(documents_corpus(spark, sf_dir), spec)
+    return files.select("doc_id", F.explode(match_positions(F.col("content"), spec.pattern)).alias("m")).select("doc_id", "m.line", "m.column", "m.match")
+
+
+@query("match_positions", _positions_sql(_SELECT, _P))
+def match_positions_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _positions(spark, sf_dir, SEARCH)
+
+
+_ORDERED = ALL.where(strings=("th", "that", "the"))
+query("alternation_order", _positions_sql(_selected(_ORDERED), q(_ORDERED.pattern)))(lambda spark, d: _positions(spark, d, _ORDERED))
+
+
+@query("match_count_per_doc", f"WITH {_SELECT}, {_LINES} SELECT doc_id, sum(len(regexp_extract_all(line, {_P})))::BIGINT AS n_matches FROM lines GROUP BY doc_id HAVING n_matches > 0")
+def match_count_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = filters.select_files(documents_corpus(spark, sf_dir), SEARCH)
+    per_line = F.transform(split_lines(F.col("content")), lambda line: F.size(hits(line, SEARCH.pattern)))
+    return files.select("doc_id", F.aggregate(per_line, F.lit(0).cast("long"), lambda acc, n: acc + n).alias("n_matches")).where("n_matches > 0")
+
+
+_ACROSS = ALL.where(strings=(".\nThe ", ".\nÉ"))
+
+
+@query(
+    "multiline_literal_no_windows",
+    f"WITH {_selected(_ACROSS)}, {_LINES}, c AS (SELECT doc_id, sum(CASE WHEN {_re('line', _ACROSS.pattern)} THEN 1 ELSE 0 END) AS n FROM lines GROUP BY doc_id) SELECT doc_id, n::BIGINT AS n_windows FROM c",
+)
+def multiline_literal_no_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = filters.select_files(documents_corpus(spark, sf_dir), _ACROSS)
+    return files.select("doc_id", F.size(context_windows(F.col("content"), _ACROSS.pattern, 2)).cast("long").alias("n_windows"))
+
+
+# Windows.
+def _windows_sql(n: int, with_parts: str = _SELECT, pattern: str = _P) -> str:
+    return f"""{with_parts}, {_LINES},
+hit AS (SELECT doc_id, rel, ln, n_lines, len(regexp_extract_all(line, {pattern})) AS n FROM lines WHERE regexp_matches(line, {pattern})),
+new AS (SELECT *, CASE WHEN ln - lag(ln) OVER (PARTITION BY doc_id ORDER BY ln) <= {2 * n + 1} THEN 0 ELSE 1 END AS fresh FROM hit),
+island AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY ln) AS g FROM new),
+windows AS (SELECT doc_id, rel, g, greatest(1, min(ln) - {n})::INT AS start_line, least(min(n_lines), max(ln) + {n})::INT AS end_line, sum(n)::BIGINT AS n_matches FROM island GROUP BY doc_id, rel, g)"""
+
+
+def _windows(spark: SparkSession, sf_dir: str, n: int, spec: QuerySpec = SEARCH) -> DataFrame:
+    files = with_windows(filters.select_files(documents_corpus(spark, sf_dir), spec), spec.pattern, n)
+    return files.select("doc_id", F.explode("windows").alias("w")).select("doc_id", F.col("w.start_line").alias("start_line"), F.col("w.end_line").alias("end_line"), F.size("w.matches").cast("long").alias("n_matches"), F.col("w.lines").alias("lines"))
+
+
+@query(
+    "window_bounds_raw",
+    f"WITH {_SELECT}, {_LINES} SELECT doc_id, ln::INT AS line, greatest(1, ln - 2)::INT AS start_line, least(n_lines, ln + 2)::INT AS end_line FROM (SELECT *, unnest(regexp_extract_all(line, {_P})) FROM lines)",
+)
+def window_bounds_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = filters.select_files(documents_corpus(spark, sf_dir), SEARCH)
+    n_lines = F.size(split_lines(F.col("content")))
+    each = files.select("doc_id", n_lines.alias("n"), F.explode(match_positions(F.col("content"), SEARCH.pattern)).alias("m"))
+    return each.select("doc_id", "m.line", F.greatest(F.lit(1), F.col("m.line") - 2).alias("start_line"), F.least("n", F.col("m.line") + 2).alias("end_line"))
+
+
+for _name, _n in (("context_windows_merged", 2), ("context_windows_merged_n5", 5)):
+    query(_name, f"WITH {_windows_sql(_n)} SELECT doc_id, start_line, end_line, n_matches FROM windows")(lambda spark, d, n=_n: _windows(spark, d, n).drop("lines"))
+
+
+@query("context_windows_by_rows", f"WITH {_windows_sql(2)} SELECT doc_id, start_line, end_line, n_matches FROM windows")
+def context_windows_by_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows_by_rows(filters.select_files(documents_corpus(spark, sf_dir), SEARCH), "doc_id", SEARCH.pattern, 2)
+
+
+@query("windows_per_doc", f"WITH {_windows_sql(2)} SELECT doc_id, count(*)::BIGINT AS n_windows FROM windows GROUP BY doc_id")
+def windows_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = with_windows(filters.select_files(documents_corpus(spark, sf_dir), SEARCH), SEARCH.pattern, 2)
+    return files.select("doc_id", F.size("windows").cast("long").alias("n_windows")).where("n_windows > 0")
+
+
+_TEXTS = ", texts AS (SELECT w.doc_id, w.rel, w.start_line, w.end_line, w.n_matches, string_agg({0}, {1} ORDER BY l.ln) AS text FROM windows w JOIN lines l ON l.doc_id = w.doc_id AND l.ln BETWEEN w.start_line AND w.end_line GROUP BY ALL)"
+
+
+@query("window_lines_text", f"WITH {_windows_sql(2)}{_TEXTS.format('l.line', 'chr(10)')} SELECT doc_id, start_line, text FROM texts")
+def window_lines_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _windows(spark, sf_dir, 2).select("doc_id", "start_line", F.array_join("lines", "\n").alias("text"))
+
+
+# Rendering.
+_NUMBERED = f"repeat(' ', greatest(0, 6 - length(l.ln::VARCHAR))) || l.ln || {q(render.BAR)} || l.line || chr(10)"
+_FORMATTED = f"WITH {_windows_sql(2)}{_TEXTS.format(_NUMBERED, q(''))}, files AS (SELECT doc_id, rel, count(*) AS n_windows, sum(n_matches)::BIGINT AS n_matches, string_agg(text, chr(10) || '  ...' || chr(10) ORDER BY start_line) AS body FROM texts GROUP BY doc_id, rel)"
+_LANG = r"CASE WHEN regexp_extract(rel, '[^/]\.([^./]*)$', 1) = '' THEN 'txt' ELSE regexp_extract(rel, '[^/]\.([^./]*)$', 1) END"
+_NL = "chr(10)"
+_BLOCKS = {
+    "render_xml_full": f"""WITH {_SELECT} SELECT doc_id, '<file path="' || rel || '">' || {_NL} || content || {_NL} || '</file>' || {_NL} || {_NL} AS block FROM selected""",
+    "render_md_full": f"WITH {_SELECT} SELECT doc_id, '### ' || rel || {_NL} || {_NL} || '```' || {_LANG} || {_NL} || content || {_NL} || '```' || {_NL} || {_NL} AS block FROM selected",
+    "render_xml_context": f"""{_FORMATTED} SELECT doc_id, '<file path="' || rel || '" matches="' || n_matches || '" windows="' || n_windows || '">' || {_NL} || body || '</file>' || {_NL} || {_NL} AS block FROM files""",
+    "render_md_context": f"{_FORMATTED} SELECT doc_id, '### ' || rel || {_NL} || {_NL} || '**Matches:** ' || n_matches || ' | **Context windows:** ' || n_windows || {_NL} || {_NL} || '```' || {_LANG} || {_NL} || body || '```' || {_NL} || {_NL} AS block FROM files",
+}
+for _name, _sql in _BLOCKS.items():
+    _spec = SEARCH.where(style="xml" if "xml" in _name else "markdown", lines=2 if "context" in _name else None)
+    query(_name, _sql)(lambda spark, d, spec=_spec: Search(documents_corpus(spark, d), spec).blocks.select("doc_id", "block"))
+
+
+@query("render_context_block", f"{_FORMATTED} SELECT doc_id, body AS block FROM files")
+def render_context_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = with_windows(filters.select_files(documents_corpus(spark, sf_dir), SEARCH), SEARCH.pattern, 2).where(F.size("windows") > 0)
+    return files.select("doc_id", render.format_windows(F.col("windows")).alias("block"))
+
+
+# Summary.
+_CONTEXT = SEARCH.where(lines=2)
+_SIZES = f"sizes AS (SELECT *, {_U16.format('block')}::BIGINT AS size FROM ({_BLOCKS['render_xml_context']}))"
+
+
+@query("file_sizes_tokens", f"WITH {_SIZES} SELECT doc_id AS ord, size, (size + 2) // 4 AS tokens FROM sizes")
+def file_sizes_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Search(documents_corpus(spark, sf_dir), _CONTEXT).sizes.select("ord", "size", "tokens")
+
+
+@query(
+    "summary_totals",
+    f"""WITH {_SIZES}, f AS (WITH {_SELECT} SELECT count(*) AS total_files FROM selected), w AS (WITH {_windows_sql(2)} SELECT sum(n_matches)::BIGINT AS total_matches, count(*) AS total_windows FROM windows)
+SELECT total_files, total_matches, total_windows, (SELECT sum(size)::BIGINT FROM sizes) AS total_chars, ((SELECT sum(size)::BIGINT FROM sizes) + 2) // 4 AS total_tokens FROM f, w""",
+)
+def summary_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Search(documents_corpus(spark, sf_dir), _CONTEXT).totals()
+
+
+@query("extensions_found", rf"WITH {_SELECT} SELECT DISTINCT lower(regexp_extract(rel, '[^/](\.[^./]*)$', 1)) AS ext FROM selected WHERE ext <> ''")
+def extensions_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Search(documents_corpus(spark, sf_dir), SEARCH).extensions()
+
+
+@query("top10_by_tokens", f"WITH {_SIZES} SELECT s.doc_id AS ord, rel, (size + 2) // 4 AS tokens FROM sizes s JOIN (WITH {CORPUS} SELECT doc_id, rel FROM corpus) c ON c.doc_id = s.doc_id ORDER BY tokens DESC, ord LIMIT 10")
+def top10_by_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Search(documents_corpus(spark, sf_dir), _CONTEXT).top_files()
+
+
+_LISTED = ALL.where(strings=("license",))
+
+
+@query("directory_listing", f"WITH {_selected(_LISTED)} SELECT string_agg(rel, chr(10) ORDER BY doc_id) AS listing FROM selected")
+def directory_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing is one value by nature; a bundle's own goes row by row through ``render.bundle``."""
+    files = Search(documents_corpus(spark, sf_dir), _LISTED).selected
+    return files.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "rel"))), lambda r: r["rel"]), "\n").alias("listing"))
+
+
+# Scalar functions.
+@query("path_functions", rf"WITH {CORPUS} SELECT doc_id, lower(regexp_extract(rel, '[^/](\.[^./]*)$', 1)) AS ext, {_LANG} AS language, {_U16.format('content')}::BIGINT AS size, ({_U16.format('content')} + 2) // 4 AS tokens FROM corpus")
+def path_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = utf16_length(F.col("content"))
+    return documents_corpus(spark, sf_dir).select("doc_id", F.lower(extension(F.col("rel"))).alias("ext"), fence_language(F.col("rel")).alias("language"), size.alias("size"), token_estimate(size).alias("tokens"))
+
+
+# Other corpora.
+_PAGES = any_literal(("<b>", "track(", "&copy;"))
+_TURNS = any_literal(("the", "ist", "est"))
+
+
+def _other_sql(source: str, key: str, content: str, pattern: str) -> str:
+    parts = f"selected AS (SELECT {key} AS doc_id, '' AS rel, {content} AS content FROM {source} WHERE {_re(content, pattern)})"
+    return f"WITH {_windows_sql(1, parts, q(pattern))} SELECT doc_id, start_line, end_line, n_matches FROM windows"
+
+
+def _other(df: DataFrame, key: str, content: str, pattern: str) -> DataFrame:
+    files = df.where(F.col(content).rlike(pattern)).select(df[key].alias("doc_id"), context_windows(F.col(content), pattern, 1).alias("windows"))
+    return files.select("doc_id", F.explode("windows").alias("w")).select("doc_id", F.col("w.start_line").alias("start_line"), F.col("w.end_line").alias("end_line"), F.size("w.matches").cast("long").alias("n_matches"))
+
+
+query("pages_search", _other_sql("pages", "page_id", "html", _PAGES))(lambda spark, d: _other(spark.read.parquet(f"{d}/pages.parquet"), "page_id", "html", _PAGES))
+query("conversations_search", _other_sql("(SELECT conv_id || '/' || turn AS path, text FROM conversations)", "path", "text", _TURNS))(
+    lambda spark, d: _other(spark.read.parquet(f"{d}/conversations.parquet").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("path"), "text"), "path", "text", _TURNS)
+)
+query("benchmark_search", _other_sql("benchmark", "item_id", "text", _TURNS))(lambda spark, d: _other(spark.read.parquet(f"{d}/benchmark.parquet"), "item_id", "text", _TURNS))
 
-QUERIES = {}
-ORACLES = {}
