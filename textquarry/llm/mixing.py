@@ -5,8 +5,9 @@ ratio is its source's target over its size. The whole part of ``c`` is certain;
 the fraction is the document's inclusion probability ``p`` in a Pareto sample
 (Rosen 1997): documents are ranked by ``odds(u) / odds(p)`` with a repeatable
 uniform ``u``, and the sample is the longest head of that order that fits the
-words left after the certain copies. The one document beyond the head whose
-size fits the last gap best is added if that brings the source nearer its target.
+words left after the certain copies. Then, FILLS times at most, the document
+beyond the head whose size fits the last gap best is added if that brings the
+source nearer its target.
 
 No source is ever gathered in one task: the head is found from a histogram of
 ranks (map-side summed, at most BUCKETS rows a source), and only the documents
@@ -33,6 +34,8 @@ WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
 #: Ranks of a source are counted in so many buckets before the last is sorted.
 BUCKETS = 65_536
+#: Documents that are added one by one to close the gap that the head leaves.
+FILLS = 4
 SEED = "mix-1"
 
 
@@ -42,11 +45,11 @@ def _uniform() -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
 
 
-def _join(left: DataFrame, right: DataFrame) -> DataFrame:
+def _join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
     """left with the columns of right's row for its source; right has one row a source and is broadcast only if counted to be small."""
     right = right.withColumnRenamed("source", "_s")
     small = right.limit(BROADCAST_ROWS // 4 + 1).count() <= BROADCAST_ROWS // 4
-    return left.join(F.broadcast(right) if small else right, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    return left.join(F.broadcast(right) if small else right, F.col("source").eqNullSafe(F.col("_s")), how).drop("_s")
 
 
 def _ranked(sources: DataFrame) -> DataFrame:
@@ -115,16 +118,21 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: in
     rest = docs.where(~F.coalesce(at, F.lit(False))).withColumn("upto", F.lit(0).cast("long")).withColumn("head", F.col("q").isNotNull() & (F.col("cross").isNull() | (F.col("bucket") < F.col("cross"))))
     docs = materialize(edge.unionByName(rest).select("doc_id", "source", "size", "source_size", "target", "whole", "q", "head", "upto", "budget", "base"), "mix-heads")
 
-    # The last gap, and the document that fits it best.
+    # The last gap, and the documents that fit it best, one after the other.
     used = docs.groupBy("source").agg(F.first("budget").alias("budget"), F.greatest(F.first("base"), F.coalesce(F.max(F.when(F.col("head"), F.col("upto"))), F.lit(0))).alias("used"))
     gaps = materialize(used.select("source", (F.col("budget") - F.col("used")).alias("gap")), "mix-gaps")
-    beyond = _join(docs.where(F.col("q").isNotNull() & ~F.col("head")), gaps)
-    miss = F.abs(F.col("gap") - F.col("size"))
-    fits = beyond.where(miss < F.col("gap")).groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "q", "doc_id")).alias("fit"))
-    fits = materialize(gaps.join(fits.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").select("source", "fit"), "mix-fits")
-    docs = _join(docs, fits)
-    extra = F.col("head") | (F.coalesce((F.col("q") == F.col("fit.q")) & F.col("doc_id").eqNullSafe(F.col("fit.doc_id")), F.lit(False)) & ~F.col("head"))
-    copies = F.col("whole") + F.coalesce(extra, F.lit(False)).cast("long")
+    docs = docs.select("doc_id", "source", "size", "source_size", "target", "whole", "q", F.coalesce("head", F.lit(False)).alias("head"))
+    for _ in range(FILLS):
+        miss = F.abs(F.col("gap") - F.col("size"))
+        beyond = _join(docs.where(F.col("q").isNotNull() & ~F.col("head")), gaps).where(miss < F.col("gap"))
+        fits = beyond.groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "q", "doc_id", "size")).alias("fit"))
+        if (fits := materialize(fits, "mix-fits")).isEmpty():
+            break
+        right = fits.withColumnRenamed("source", "_s")
+        gaps = materialize(gaps.join(right, F.col("source").eqNullSafe(F.col("_s")), "left").select("source", (F.col("gap") - F.coalesce("fit.size", F.lit(0))).alias("gap")), "mix-gaps")
+        fitting = F.coalesce((F.col("q") == F.col("fit.q")) & F.col("doc_id").eqNullSafe(F.col("fit.doc_id")), F.lit(False))
+        docs = _join(docs, fits, "left").withColumn("head", F.col("head") | fitting).drop("fit")
+    copies = F.col("whole") + F.col("head").cast("long")
     return docs.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
@@ -137,6 +145,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+_FITS = "q IS NOT NULL AND NOT head AND abs(gap - size) < gap"
+_FILLS = ",\n".join(
+    f"f{i} AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN {_FITS} THEN 0 ELSE 1 END, abs(gap - size), q, doc_id) = 1 AND {_FITS} AS fits FROM g{i}),\n"
+    f"g{i + 1} AS (SELECT * EXCLUDE (head, gap, fits), head OR fits AS head, gap - coalesce(sum(size) FILTER (fits) OVER (PARTITION BY source), 0) AS gap FROM f{i})"
+    for i in range(FILLS)
+)
+
 ORACLE_SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -159,10 +174,7 @@ c AS (
 r AS (SELECT *, floor(c)::BIGINT AS whole, c - floor(c) AS p FROM c),
 q AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q, target - sum(whole * size) OVER (PARTITION BY source) AS budget FROM r),
 h AS (SELECT *, CASE WHEN q IS NOT NULL THEN sum(CASE WHEN q IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q NULLS FIRST, doc_id) <= budget ELSE FALSE END AS head FROM q),
-g AS (SELECT *, budget - sum(CASE WHEN head THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM h),
-f AS (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN q IS NOT NULL AND NOT head AND abs(gap - size) < gap THEN 0 ELSE 1 END, abs(gap - size), q, doc_id) = 1
-            AND q IS NOT NULL AND NOT head AND abs(gap - size) < gap AS fits
-  FROM g)
-SELECT doc_id, size, source_size, target, ((whole + CASE WHEN head OR fits THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM f
+g0 AS (SELECT *, budget - sum(CASE WHEN head THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM h),
+{_FILLS}
+SELECT doc_id, size, source_size, target, ((whole + CASE WHEN head THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM g{FILLS}
 """
