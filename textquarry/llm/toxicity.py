@@ -37,7 +37,7 @@ QUERY = "op6_toxicity"
 PER_CLASS = 2000
 WINDOW, STEP = 96, 64
 DICTIONARY = 16_384
-TELLING = 4096
+TELLING = 2048
 #: A thorough search: at low levels, matches missed by chance drown what the toxic dictionary saves.
 LEVEL = 9
 #: Length of the runs of bytes that tell toxic text, and how far beyond chance they must stand.
@@ -150,7 +150,7 @@ def _contexts(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def telling_pieces(toxic: list[bytes], plain: list[bytes]) -> list[bytes]:
-    """The pieces of toxic texts that stand in more surroundings there than chance and ordinary text allow, with a little of their own."""
+    """The pieces of toxic texts that stand in more surroundings there than chance and ordinary text allow."""
     a_gram, a = _contexts(toxic)
     b_gram, b = _contexts(plain)
     if not len(a) or not len(b):
@@ -168,7 +168,7 @@ def telling_pieces(toxic: list[bytes], plain: list[bytes]) -> list[bytes]:
         covered[1 + i : 1 + i + len(hit)] |= hit
     edge = np.flatnonzero(covered[1:] != covered[:-1])
     data = joined.tobytes()
-    return [data[max(0, i - 4) : j + 4].strip(b"\0") for i, j in zip(edge[::2], edge[1::2], strict=True)]
+    return [data[i:j].strip(b"\0") for i, j in zip(edge[::2], edge[1::2], strict=True)]
 
 
 def fit(texts: list[str], labels: list[int]) -> Model | None:
