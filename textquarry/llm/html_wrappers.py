@@ -12,7 +12,7 @@ pages take part and no host is gathered in one task.
 The wrapper then says which slots hold the article: those under the article or
 main element (or what is named so), or else those outside lists of links, always
 without menus, headers, footers, asides, notices, adverts, forms and comments,
-and without short strings that all pages of the host share.
+and without blocks of one short string that all pages of the host share.
 
 Defined cases: null and empty html give an empty text; pages without url share
 one wrapper; an unfinished tag or comment at the end is no text; repeated rows
@@ -306,7 +306,7 @@ class Extractor:
                 blocks.append(block)
             now.clear()
 
-        def walk(node: Node, w: list | None, inside: bool) -> None:
+        def walk(node: Node, w: list | None, inside: bool, repeated: bool) -> None:
             if _no_article(node.symbol, inside):
                 flush()
                 return
@@ -318,17 +318,22 @@ class Extractor:
             block = node.name in BLOCK
             if block:
                 flush()
+            repeated = repeated or (w is not None and w[REP])
+            # A block that is one short string on all pages, and of no repeated group, is the template's.
+            only = w[KIDS][0] if w is not None and w[KIDS] and len(w[KIDS]) == 1 else None
+            if self.drop_constants and block and not repeated and only is not None and only[KIDS] is None and not only[REP] and only[CONST] is not None and len(only[CONST]) < CONSTANT_CHARS:
+                return
             at = self._matched(node, w)
             for i, child in enumerate(node.children):
                 own = at.get(i)
                 if not isinstance(child, str):
-                    walk(child, own, inside)
-                elif inside and not (self.drop_constants and own is not None and own[CONST] is not None and not own[REP] and len(own[CONST]) < CONSTANT_CHARS):
+                    walk(child, own, inside, repeated)
+                elif inside:
                     now.append(child)
             if block:
                 flush()
 
-        walk(page, self.wrapper, not self.region)
+        walk(page, self.wrapper, not self.region, False)
         flush()
         return " ".join(blocks)
 
