@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,8 +42,3 @@ def short_path(path: Column) -> Column:
 def grouped_digits(n: Column) -> Column:
     """1,234,567"""
     return F.format_number(n, 0)
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of value, with value computed once however often body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))

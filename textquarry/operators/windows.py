@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textquarry.functions.text import let, utf16_length
+from textquarry.functions.arrays import let, running
+from textquarry.functions.text import utf16_length
 
 
 def split_lines(content: Column) -> Column:
@@ -26,13 +27,12 @@ def line_matches(line: Column, number: Column, pattern: str) -> Column:
 
     def placed(p: Column) -> Column:
         sizes = F.zip_with(F.slice(p["g"], F.lit(1), F.size(p["h"])), p["h"], lambda g, h: F.struct(utf16_length(g).alias("g"), utf16_length(h).alias("n")))
-        ends = let(sizes, lambda s: F.aggregate(s, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["g"] + x["n"]))))
-        return let(
-            ends,
-            lambda e: F.transform(
-                p["h"], lambda h, i: F.struct(number.cast("int").alias("line"), (F.get(e, i) + utf16_length(F.get(p["g"], i))).cast("int").alias("column"), h.alias("match"))
-            ),
-        )
+
+        def columns(s: Column) -> Column:
+            before = running(F.transform(s, lambda x: x["g"] + x["n"]), lambda a, x: a + x, F.lit(0).cast("long"))
+            return let(before, lambda b: F.transform(p["h"], lambda h, i: F.struct(number.cast("int").alias("line"), (F.get(b, i) + F.get(s, i)["g"]).cast("int").alias("column"), h.alias("match"))))
+
+        return let(sizes, columns)
 
     return let(F.struct(F.split(line, pattern, -1).alias("g"), hits(line, pattern).alias("h")), placed)
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textquarry.functions.patterns import escaped, literal
+from textquarry.functions.patterns import literal
 
 #: What every scan leaves out.
 BUILTIN_IGNORES = ("**/node_modules/**", "**/.git/**", "**/dist/**", "**/build/**", "**/.next/**", "**/coverage/**", "**/.cache/**", "**/tmp/**", "**/temp/**", "**/*.log", "**/.DS_Store", "**/Thumbs.db")
@@ -136,6 +136,3 @@ def union_regex(patterns: list[str] | tuple[str, ...], dot: bool = False, case_s
 
 def extension_glob(ext: str) -> str:
     return f"**/*.{ext.lstrip('.')}"
-
-
-__all__ = ["BUILTIN_IGNORES", "Glob", "any_match", "compile_glob", "escaped", "expand", "extension_glob", "from_exclusion", "has_glob", "union_regex"]
