@@ -16,14 +16,13 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.llm.common import BROADCAST_ROWS, materialize, table
-from textquarry.llm.spans import count, joined, no_spans, render, spans
+from textquarry.llm.spans import count, joined, render, spans
 
 QUERY = "op5_secrets"
 
