@@ -110,3 +110,10 @@ def test_streams(spark, tmp_path):
     q.stop()
     assert [tuple(r) for r in spark.table("found").orderBy("start_line").collect()] == [("a.ts", 1, 2, 1), ("a.ts", 5, 6, 1)]
     assert render.tail(QuerySpec()) == "</files>"
+
+
+def test_very_many_matches_on_one_line(spark):
+    text = "ab " * 20_000
+    df = spark.createDataFrame([(text,)], "content string")
+    m = df.select(match_positions(F.col("content"), "ab").alias("m")).first()["m"]
+    assert [x["column"] for x in m] == [3 * i for i in range(20_000)]
