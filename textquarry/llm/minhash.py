@@ -13,10 +13,13 @@ next round proposes pairs, and only pairs of different components are looked at:
 
 1. each node with the smallest node it shares a band with,
 2. each node with the smallest node of each of its bands,
-3. within each band that still holds several components, all pairs across them.
+3. within each band that still holds several components, all pairs across them,
+   compared in blocks of at most about BLOCK nodes by BLOCK; what comes out is
+   a link for each two components that it joins. Bands of at most SMALL nodes
+   give their pairs, which are no more than SMALL / 2 a node.
 
-So a group of thousands of near copies costs a link each, not a pair each, and
-what round 3 lists is what the first two left apart. No pair that shares a band
+So a group of thousands of near copies costs a link each, not a pair each, even
+if most of its pairs fall just short of the threshold. No pair that shares a band
 is given up unverified, except below the estimate's own margin (ESTIMATE_SIGMAS).
 
 With ROWS = 5 and 40 bands a pair at 0.85 shares a band with a chance of
@@ -34,6 +37,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +57,9 @@ REGISTERS = ROWS * BANDS
 MANTISSA = 10
 #: Pairs whose estimate lies so many standard deviations below the threshold aren't verified.
 ESTIMATE_SIGMAS = 6
+#: Nodes of a band compared at once on each side.
+BLOCK = 512
+SMALL = 12
 #: Expected chance collisions a register pair, as a share of 2**-MANTISSA (Yu and Weber, 2022).
 COLLISION = 0.169919487159739
 
@@ -168,6 +175,42 @@ def _linked(batches: Iterator[pa.RecordBatch], k: int, threshold: int) -> Iterat
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
 
+def _joined(pdf: pd.DataFrame, k: int, threshold: int) -> pd.DataFrame:
+    """Links that join the components of one cell: two blocks of a band, or one with itself. Estimates first, then intersections of the full sets."""
+    node, root, own = (pdf[c].to_numpy() for c in ("node", "root", "own"))
+    one = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+    out: list[tuple[int, int]] = []
+    if (root != root[0]).any():
+        sets = list(shingle_sets(pdf["text"].tolist(), k))
+        size = np.array([len(s) for s in sets])
+        reg = np.stack([registers(s) for s in sets])
+        bits = _bitsets(sets)
+        label = root.copy()
+        for x in range(len(node) - 1):
+            far = np.flatnonzero((label[x + 1 :] != label[x]) & (one | (own[x + 1 :] != own[x]))) + x + 1
+            far = far[100 * np.minimum(size[far], size[x]) >= threshold * np.maximum(size[far], size[x])]
+            far = far[estimate(reg[far], reg[x]) >= floor_of(np.maximum(size[far], size[x]), threshold)]
+            if len(far):
+                both = np.bitwise_count(bits[far] & bits[x]).sum(1, dtype=np.int64)
+                for y in far[100 * both >= threshold * (size[far] + size[x] - both)]:
+                    if label[y] != label[x]:
+                        out.append((int(node[x]), int(node[y])))
+                        label[label == label[y]] = label[x]
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+
+def _bitsets(sets: list[np.ndarray]) -> np.ndarray:
+    """A bit for each shingle that stands in two sets or more; others are in no intersection."""
+    shingles, count = np.unique(np.concatenate(sets), return_counts=True)
+    shingles = shingles[count > 1]
+    out = np.zeros((len(sets), max(1, -(-len(shingles) // 64))), np.uint64)
+    for i, s in enumerate(sets):
+        at = np.searchsorted(shingles, s)
+        at = at[(at < len(shingles)) & (shingles[np.minimum(at, max(len(shingles) - 1, 0))] == s)] if len(shingles) else at[:0]
+        np.bitwise_or.at(out[i], at // 64, U(1) << (at % 64).astype(np.uint64))
+    return out
+
+
 PAIR = "a long, b long"
 
 
@@ -204,13 +247,21 @@ def near_duplicates(documents: DataFrame, k: int = SHINGLE, threshold: int = THR
     links = links.unionByName(more)
     roots = materialize(components(links), "near-roots")
 
-    # Bands that still hold several components: all pairs across these, but for the pivots' own, which were tried.
+    # Bands that still hold several components: all pairs across these, compared where they lie; only links that join components come out.
     placed = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed_bands = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
-    placed = materialize(placed.join(mixed_bands, "band").where("node <> pivot"), "near-mixed")
-    left, right = placed.select("band", F.col("node").alias("a"), F.col("root").alias("x")), placed.select("band", F.col("node").alias("b"), F.col("root").alias("y"))
-    across = left.join(right, "band").where("a > b and x <> y").select("a", "b").distinct()
-    links = links.unionByName(_verified(across, nodes, documents, k, threshold))
+    mixed_bands = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x <> y").select("band", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    placed = materialize(placed.join(mixed_bands, "band").select("band", "node", "root", "n", "blocks"), "near-mixed")
+    few = placed.where(F.col("n") <= SMALL)
+    pairs = few.select("band", F.col("node").alias("a"), F.col("root").alias("x")).join(few.select("band", F.col("node").alias("b"), F.col("root").alias("y")), "band").where("a > b AND x <> y")
+    links = links.unionByName(_verified(pairs.select("a", "b").distinct(), nodes, documents, k, threshold))
+    placed = placed.where(F.col("n") > SMALL)
+    asked = materialize(placed.select(F.col("node").alias("doc_id")).distinct(), "near-asked")
+    texts = semi_join(documents.select("doc_id", "text"), asked, "doc_id").withColumnRenamed("doc_id", "node")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    cells = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root")
+    across = cells.join(texts, "node").groupBy("band", "i", "j").applyInPandas(lambda pdf: _joined(pdf, k, threshold), PAIR)
+    links = links.unionByName(materialize(across.distinct(), "near-across"))
     roots = components(links)
 
     by_copy = copies.join(roots, "node", "left").select("k1", "k2", "n", F.coalesce("root", "node").alias("component_id"))
