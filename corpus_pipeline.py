@@ -1,11 +1,83 @@
-"""The corpus pipeline: documents in, tokens out, in stages that each call one operator."""
+"""The corpus pipeline: documents in, tokens out, in stages that each call one operator.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all rows of docs, which are
+stored; all but the last return the columns of documents. ``run`` stores each
+stage's rows in the shared folder and reads them again, so that no stage is
+computed twice and a lost executor costs one stage's tasks at most.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textquarry.llm import minhash, mixing, pii, quality, sentencepiece_codec
+from textquarry.llm.common import BROADCAST_ROWS, materialize, semi_join, table
+
+#: Near-duplicates of the corpus: shingles of five words, in at least 80 of 100 of the union.
+SHINGLE, THRESHOLD = 5, 80
+
+
+def _columns(df: DataFrame, docs: DataFrame) -> DataFrame:
+    return df.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    score = quality.trained(docs, table(spark, sf_dir, "labels"))
+    return docs.where(score("text") >= quality.THRESHOLD)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, that of the smallest id; of repeated rows, one."""
+    found = materialize(minhash.near_duplicates(docs, SHINGLE, THRESHOLD).select("doc_id", "kept"), "pipeline-near")
+    gone = materialize(found.where(~F.col("kept")).select("doc_id").distinct(), "pipeline-gone")
+    out = semi_join(docs, gone, "doc_id", "left_anti")
+    repeated = materialize(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "pipeline-repeated")
+    if repeated.isEmpty():
+        return _columns(out, docs)
+    again = semi_join(out, repeated, "doc_id").dropDuplicates(["doc_id"])
+    return _columns(semi_join(out, repeated, "doc_id", "left_anti"), docs).unionByName(_columns(again, docs))
+
+
+def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data are named by kind, terms that reveal them generalised or removed; n_chars follows the text."""
+    out = pii.sanitise(docs)
+    text = F.when(F.col("row.text").isNotNull(), F.col("clean"))
+    new = {"text": text, "n_chars": F.coalesce(F.length(text), F.lit(0)).cast("long")}
+    return out.select(*(new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; those it doesn't take go."""
+    mixed = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("copies").alias("_copies"))
+    mixed = materialize(mixed.dropDuplicates(["_d", "_s"]), "pipeline-mix")
+    small = mixed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    out = docs.join(F.broadcast(mixed) if small else mixed, docs["doc_id"].eqNullSafe(F.col("_d")) & docs["source"].eqNullSafe(F.col("_s")))
+    return _columns(out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))), docs)
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokens of each document: doc_id, n_tokens, ids, differing, round_trip."""
+    return sentencepiece_codec.encode(docs)
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near duplicates", drop_near_duplicates),
+    ("personal data", hide_personal_data),
+    ("mixing", mix_sources),
+    ("tokens", tokenise),
+]
+
+#: A trained network and a tokenizer have no SQL form; the stages are tested one by one.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialize(docs, "stage-" + name.replace(" ", "-"))
     return docs
