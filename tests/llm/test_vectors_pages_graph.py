@@ -150,3 +150,21 @@ def test_parser_takes_anything():
     deep = html_wrappers.parse("<div>" * 5000 + "end")
     assert html_wrappers.Extractor(html_wrappers.pattern(deep), 1).text(deep) == "end"
     html_wrappers.parse("<a " * 20_000)
+
+
+def texts_of(pages):
+    """The pages' texts by the wrapper of all of them."""
+    trees = [html_wrappers.parse(page) for page in pages]
+    w = html_wrappers.pattern(trees[0])
+    for tree in trees[1:]:
+        w = html_wrappers.aligned(w, html_wrappers.pattern(tree))
+    return [html_wrappers.Extractor(w, len(pages)).text(tree) for tree in trees]
+
+
+@pytest.mark.parametrize("n", [2, 4, 5, 9])
+def test_text_that_one_page_has_is_kept(n):
+    page = lambda i, more="": f"<article><h1>Head {i}</h1><p>Para {i}</p><h2>Summary</h2><p>Same words</p><h3>Sub {i}</h3>{more}<div class='x'>Follow us</div></article>"
+    more = "<blockquote class='q'>Lone quote</blockquote><h2>Surplus</h2><div class='y'><p>Short</p><div class='z'>Lone box</div></div>"
+    got = texts_of([page(i, more if i == 0 else "") for i in range(n)])
+    same = lambda i: f"Head {i} Para {i} Summary Same words Sub {i}"
+    assert got == [same(0) + " Lone quote Surplus Short Lone box"] + [same(i) for i in range(1, n)]

@@ -12,7 +12,8 @@ pages take part and no host is gathered in one task.
 The wrapper then says which slots hold the article: those under the article or
 main element (or what is named so), or else those outside lists of links, always
 without menus, headers, footers, asides, notices, adverts, forms and comments,
-and without blocks of one short string that all pages of the host share.
+and without named blocks of one short string that all pages of the host share
+(two pages at least, since one shares with none; plain paragraphs and headings stay).
 
 Defined cases: null and empty html give an empty text; pages without url share
 one wrapper; an unfinished tag or comment at the end is no text; repeated rows
@@ -54,12 +55,15 @@ NEVER = frozenset("head title nav footer aside form script style noscript templa
 NOT_ARTICLE = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer foot sidebar side aside widget cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations more comment comments commentlist reply replies respond discussion disqus login search copyright legal pagination pager toolbar skip contentinfo complementary dialog byline-share".split()
 )
+#: Elements of an article's text, never a template's while they have no class, id or role.
+PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th figcaption caption summary".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 IS_ARTICLE = frozenset("article main content story entry post maincontent articlebody".split())
 
 MAX_DEPTH = 150
 MAX_CHILDREN = 150
-#: From so many pages on, a short string that all share is the template's.
-CONSTANT_PAGES, CONSTANT_CHARS = 5, 200
+#: A string shorter than this that all pages of a host share may be the template's.
+CONSTANT_CHARS = 200
 LINK_SHARE = 0.8
 
 _TOKEN = re.compile(
@@ -262,7 +266,7 @@ class Extractor:
     def __init__(self, wrapper: list, pages: int):
         self.wrapper = wrapper
         self.region = self._region()
-        self.drop_constants = pages >= CONSTANT_PAGES and self._varies(wrapper)
+        self.drop_constants = pages > 1 and self._varies(wrapper)
 
     def _region(self) -> frozenset[str]:
         """Symbols that open the article: that of the kind holding most text, or none."""
@@ -306,7 +310,7 @@ class Extractor:
                 blocks.append(block)
             now.clear()
 
-        def walk(node: Node, w: list | None, inside: bool, repeated: bool) -> None:
+        def walk(node: Node, w: list | None, inside: bool, everywhere: bool) -> None:
             if _no_article(node.symbol, inside):
                 flush()
                 return
@@ -318,25 +322,30 @@ class Extractor:
             block = node.name in BLOCK
             if block:
                 flush()
-            repeated = repeated or (w is not None and w[REP])
-            # A block that is one short string on all pages, and of no repeated group, is the template's.
-            only = w[KIDS][0] if w is not None and w[KIDS] and len(w[KIDS]) == 1 else None
-            if self.drop_constants and block and not repeated and only is not None and only[KIDS] is None and not only[REP] and only[CONST] is not None and len(only[CONST]) < CONSTANT_CHARS:
+            # A slot that is neither optional nor repeated, nor in a group that is, is filled once on each page.
+            everywhere = everywhere and w is not None and not w[OPT] and not w[REP]
+            if self.drop_constants and block and everywhere and node.symbol not in PLAIN and node.name not in HEADINGS and self._constant(w):
                 return
             at = self._matched(node, w)
             for i, child in enumerate(node.children):
                 own = at.get(i)
                 if not isinstance(child, str):
-                    walk(child, own, inside, repeated)
+                    walk(child, own, inside, everywhere)
                 elif inside:
                     now.append(child)
             if block:
                 flush()
 
-        walk(page, self.wrapper, not self.region, False)
+        walk(page, self.wrapper, not self.region, True)
         flush()
         return " ".join(blocks)
 
+    @staticmethod
+    def _constant(w: list) -> bool:
+        """Whether an element that all pages have holds nothing but one short string, the same on all."""
+        only = w[KIDS][0] if len(w[KIDS]) == 1 else None
+        return only is not None and only[KIDS] is None and not only[OPT] and not only[REP] and only[CONST] is not None and len(only[CONST]) < CONSTANT_CHARS
+
     @staticmethod
     def _matched(node: Node, w: list | None) -> dict[int, list]:
         """The wrapper's part for each child of node. A run of like siblings meets one repeated group."""
@@ -380,6 +389,8 @@ def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             own = pattern(parse(page or ""))
+            if not own[KIDS]:
+                continue  # a page without content says nothing of the template
             if host in held:
                 w, n = held[host]
                 held[host] = [aligned(w, own), n + 1]
