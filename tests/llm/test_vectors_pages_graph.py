@@ -168,3 +168,9 @@ def test_text_that_one_page_has_is_kept(n):
     got = texts_of([page(i, more if i == 0 else "") for i in range(n)])
     same = lambda i: f"Head {i} Para {i} Summary Same words Sub {i}"
     assert got == [same(0) + " Lone quote Surplus Short Lone box"] + [same(i) for i in range(1, n)]
+
+
+def test_pages_that_mark_their_text_otherwise_are_not_empty():
+    nav, foot = "<nav>Menu</nav>", "<footer>Foot</footer>"
+    bodies = ["<article><p>By article</p></article>", "<main><p>By main</p></main>", "<div class='content'><p>By name</p></div><p>beside</p>", "<p>By nothing</p>", "<article><nav>Only menu</nav></article><main>Main</main>"]
+    assert texts_of([nav + b + foot for b in bodies]) == ["By article", "By main", "By name", "By nothing", "Main"]

@@ -10,7 +10,9 @@ their own in one pass and these are aligned with each other in two steps; all
 pages take part and no host is gathered in one task.
 
 The wrapper then says which slots hold the article: those under the article or
-main element (or what is named so), or else those outside lists of links, always
+main element (or what is named so), or else those outside lists of links; a page
+that has no text there is read by its own article, main or named elements, or
+else whole. Always
 without menus, headers, footers, asides, notices, adverts, forms and comments,
 and without named blocks of one short string that all pages of the host share
 (two pages at least, since one shares with none; plain paragraphs and headings stay).
@@ -265,11 +267,12 @@ class Extractor:
 
     def __init__(self, wrapper: list, pages: int):
         self.wrapper = wrapper
-        self.region = self._region()
+        self.region = next(self._regions(wrapper), frozenset())
         self.drop_constants = pages > 1 and self._varies(wrapper)
 
-    def _region(self) -> frozenset[str]:
-        """Symbols that open the article: that of the kind holding most text, or none."""
+    @staticmethod
+    def _regions(wrapper: list) -> Iterator[frozenset[str]]:
+        """Symbols that open the article, by kind: article elements, main elements, then the named element holding most text. Only kinds with text."""
         total: dict[str, int] = {}
 
         def walk(w: list) -> int:
@@ -283,13 +286,15 @@ class Extractor:
                 total[w[SYM]] = total.get(w[SYM], 0) + own
             return own
 
-        walk(self.wrapper)
-        if not any(total.values()):
-            return frozenset()
-        rank = lambda s: (2 if s.split(".")[0] == "article" else 1 if s.split(".")[0] == "main" else 0, total[s])
-        top = max((s for s in total if total[s]), key=rank)
-        # All of the same element: one host may mark its articles with differing classes.
-        return frozenset(s for s in total if s.split(".")[0] == top.split(".")[0] and rank(s)[0] == rank(top)[0])
+        walk(wrapper)
+        element = lambda s: s.split(".")[0]
+        rank = lambda s: (2 if element(s) == "article" else 1 if element(s) == "main" else 0, total[s])
+        left = {s for s in total if total[s]}
+        while left:
+            top = max(left, key=rank)
+            # All of the same element: one host may mark its articles with differing classes.
+            yield frozenset(s for s in total if element(s) == element(top))
+            left = {s for s in left if element(s) != element(top)}
 
     def _varies(self, w: list) -> bool:
         """Whether some slot of the article differs between pages."""
@@ -302,6 +307,16 @@ class Extractor:
         return walk(w, not self.region)
 
     def text(self, page: Node) -> str:
+        """The page's text by the host's region, or where that gives none, by the page's own, and by the whole page at last."""
+        out = self._text(page, self.region)
+        if out or not self.region:
+            return out
+        for region in (*self._regions(pattern(page)), frozenset()):
+            if out := self._text(page, region):
+                return out
+        return ""
+
+    def _text(self, page: Node, region: frozenset[str]) -> str:
         blocks, now = [], []
 
         def flush() -> None:
@@ -314,7 +329,7 @@ class Extractor:
             if _no_article(node.symbol, inside):
                 flush()
                 return
-            inside = inside or node.symbol in self.region
+            inside = inside or node.symbol in region
             listed = node.name in ("ul", "ol", "div", "section", "table") and w is not None and w[CHARS] > 0 and w[LINKED] >= LINK_SHARE * w[CHARS]
             if listed and node.name != "#root":
                 flush()
@@ -336,7 +351,7 @@ class Extractor:
             if block:
                 flush()
 
-        walk(page, self.wrapper, not self.region, True)
+        walk(page, self.wrapper, not region, True)
         flush()
         return " ".join(blocks)
 
