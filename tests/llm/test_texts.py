@@ -89,6 +89,27 @@ def test_mix_repeats_and_weights(spark):
     assert n[0] > n[1]
 
 
+def test_mix_goes_on_past_a_document_that_does_not_fit(spark):
+    rng = random.Random(5)
+    rows, words = [], 0
+    for k in range(8):
+        sizes = [rng.randint(5, 25) for _ in range(300)]
+        sizes[rng.randrange(300)] = int(0.4 * sum(sizes))
+        words += sum(sizes)
+        rows += [(k * 1000 + i, "w " * n, f"b{k}") for i, n in enumerate(sizes)]
+    rows.append((9000, "w " * (words // 2), "z"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for fills in (0, mixing.FILLS):
+        got = mixing.mix(df, weights=(1,) * 8 + (16,), fills=fills).where("source <> 'z'").collect()
+        for k in range(8):
+            own = [r for r in got if r["source"] == f"b{k}"]
+            gap = own[0]["target"] - sum(r["taken"] for r in own)
+            # What is left of the gap holds no document that was not taken.
+            assert gap < min(r["size"] for r in own if not r["copies"])
+            if not fills:
+                assert abs(gap) <= 0.01 * own[0]["target"]
+
+
 # Near-duplicates.
 
 

@@ -5,9 +5,10 @@ ratio is its source's target over its size. The whole part of ``c`` is certain;
 the fraction is the document's inclusion probability ``p`` in a Pareto sample
 (Rosen 1997): documents are ranked by ``odds(u) / odds(p)`` with a repeatable
 uniform ``u``, and the sample is the longest head of that order that fits the
-words left after the certain copies. Then, FILLS times at most, the document
-beyond the head whose size fits the last gap best is added if that brings the
-source nearer its target.
+words left after the certain copies. The order is gone down further, past the
+documents that do not fit, until nothing fits; then the document whose size fits
+the last gap best is added if that brings the source nearer its target. The query
+adds FILLS best fitting documents at most before it goes down, as its SQL does.
 
 No source is ever gathered in one task: the head is found from a histogram of
 ranks (map-side summed, at most BUCKETS rows a source), and only the documents
@@ -34,7 +35,7 @@ WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
 #: Ranks of a source are counted in so many buckets before the last is sorted.
 BUCKETS = 65_536
-#: Documents that are added one by one to close the gap that the head leaves.
+#: Documents that the query adds one by one to the head before it goes down the order, fixed by its SQL.
 FILLS = 4
 SEED = "mix-1"
 
@@ -82,7 +83,7 @@ def allot(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: in
     return sources.withColumn("target", F.when(F.col("share") * F.lit(price) > cap, cap.cast("double")).otherwise(F.col("share") * F.lit(price)))
 
 
-def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, weight_col: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, weight_col: str | None = None, buckets: int = BUCKETS, fills: int = 0) -> DataFrame:
     """One row a document: doc_id, source, size, source_size, target, copies, taken. weight_col (positive, optional) makes copies unequal within a source."""
     w = F.lit(1.0) if weight_col is None else F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0))
     sizes = materialize(documents.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), w.alias("w"), _uniform().alias("u")), "mix-sizes")
@@ -116,33 +117,85 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: in
     running = F.col("base") + F.sum("size").over(Window.partitionBy("source").orderBy("q", "doc_id").rangeBetween(Window.unboundedPreceding, Window.currentRow))
     edge = docs.where(at).withColumn("upto", running).withColumn("head", F.col("upto") <= F.col("budget"))
     rest = docs.where(~F.coalesce(at, F.lit(False))).withColumn("upto", F.lit(0).cast("long")).withColumn("head", F.col("q").isNotNull() & (F.col("cross").isNull() | (F.col("bucket") < F.col("cross"))))
-    docs = materialize(edge.unionByName(rest).select("doc_id", "source", "size", "source_size", "target", "whole", "q", "head", "upto", "budget", "base"), "mix-heads")
+    docs = materialize(edge.unionByName(rest).select("doc_id", "source", "size", "source_size", "target", "whole", "q", "bucket", "head", "upto", "budget", "base"), "mix-heads")
 
     # The last gap, and the documents that fit it best, one after the other.
     used = docs.groupBy("source").agg(F.first("budget").alias("budget"), F.greatest(F.first("base"), F.coalesce(F.max(F.when(F.col("head"), F.col("upto"))), F.lit(0))).alias("used"))
     gaps = materialize(used.select("source", (F.col("budget") - F.col("used")).alias("gap")), "mix-gaps")
-    docs = docs.select("doc_id", "source", "size", "source_size", "target", "whole", "q", F.coalesce("head", F.lit(False)).alias("head"))
-    for _ in range(FILLS):
-        miss = F.abs(F.col("gap") - F.col("size"))
-        beyond = _join(docs.where(F.col("q").isNotNull() & ~F.col("head")), gaps).where(miss < F.col("gap"))
-        fits = beyond.groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "q", "doc_id", "size")).alias("fit"))
-        if (fits := materialize(fits, "mix-fits")).isEmpty():
+    docs = docs.select("doc_id", "source", "size", "source_size", "target", "whole", "q", "bucket", F.coalesce("head", F.lit(False)).alias("head"))
+    for _ in range(fills):
+        docs, gaps, more = _filled(docs, gaps)
+        if not more:
             break
-        right = fits.withColumnRenamed("source", "_s")
-        gaps = materialize(gaps.join(right, F.col("source").eqNullSafe(F.col("_s")), "left").select("source", (F.col("gap") - F.coalesce("fit.size", F.lit(0))).alias("gap")), "mix-gaps")
-        fitting = F.coalesce((F.col("q") == F.col("fit.q")) & F.col("doc_id").eqNullSafe(F.col("fit.doc_id")), F.lit(False))
-        docs = _join(docs, fits, "left").withColumn("head", F.col("head") | fitting).drop("fit")
+    else:
+        docs, gaps, more = _walked(docs, gaps)
+        if more or not fills:
+            docs, gaps, _ = _filled(docs, gaps)
     copies = F.col("whole") + F.col("head").cast("long")
     return docs.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
+def _filled(docs: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """docs and gaps with the best fitting document of each source added, and whether there was any."""
+    miss = F.abs(F.col("gap") - F.col("size"))
+    beyond = _join(docs.where(F.col("q").isNotNull() & ~F.col("head")), gaps).where(miss < F.col("gap"))
+    fits = beyond.groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "q", "doc_id", "size")).alias("fit"))
+    if (fits := materialize(fits, "mix-fits")).isEmpty():
+        return docs, gaps, False
+    gaps = materialize(_less(gaps, fits.select("source", F.col("fit.size").alias("used"))), "mix-gaps")
+    fitting = F.coalesce((F.col("q") == F.col("fit.q")) & F.col("doc_id").eqNullSafe(F.col("fit.doc_id")), F.lit(False))
+    return _join(docs, fits, "left").withColumn("head", F.col("head") | fitting).drop("fit"), gaps, True
+
+
+def _less(gaps: DataFrame, used: DataFrame) -> DataFrame:
+    """gaps less what each source has used."""
+    right = used.withColumnRenamed("source", "_s")
+    return gaps.join(right, F.col("source").eqNullSafe(F.col("_s")), "left").select("source", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap"))
+
+
+def _walked(docs: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """docs and gaps with all taken that fit when the order is gone down past what does not, and whether a source had such documents.
+
+    A pass takes the head of what still fits, by buckets as the first head was;
+    the next leaves out what is larger than the new gap, so each source takes at
+    least one document a pass, and seldom needs many. Rows of one doc_id count together.
+    """
+    walked = False
+    while True:
+        rows = _join(docs.where(F.col("q").isNotNull() & ~F.col("head") & (F.col("size") > 0)), gaps)
+        open_ = materialize(rows.where(F.col("size") <= F.col("gap")).groupBy("source").agg(F.first("gap").alias("gap")), "mix-open")
+        if open_.isEmpty():
+            return docs, gaps, walked
+        groups = _join(docs.where(F.col("q").isNotNull() & ~F.col("head") & (F.col("size") > 0)), open_).groupBy("source", "bucket", "q", "doc_id").agg(F.sum("size").alias("size"), F.first("gap").alias("gap"))
+        groups = materialize(groups.where(F.col("size") <= F.col("gap")), "mix-groups")
+        if groups.isEmpty():
+            return docs, gaps, walked
+        walked = True
+        upto = F.sum("size").over(Window.partitionBy("source").orderBy("bucket"))
+        ends = groups.groupBy("source", "bucket").agg(F.sum("size").alias("size"), F.first("gap").alias("gap")).withColumn("upto", upto)
+        over = F.col("upto") > F.col("gap")
+        ends = materialize(ends.groupBy("source").agg(F.min(F.when(over, F.col("bucket"))).alias("cross"), F.coalesce(F.max(F.when(~over, F.col("upto"))), F.lit(0)).alias("base")), "mix-ends")
+        groups = _join(groups, ends)
+        running = F.col("base") + F.sum("size").over(Window.partitionBy("source").orderBy("q", "doc_id"))
+        edge = groups.where(F.col("bucket") == F.col("cross")).withColumn("upto", running).where(F.col("upto") <= F.col("gap"))
+        last = materialize(edge.groupBy("source").agg(F.max(F.struct("q", "doc_id")).alias("last"), F.max("upto").alias("upto")), "mix-lasts")
+        ends = materialize(_join(ends, last, "left").select("source", "cross", "last", F.coalesce("upto", "base").alias("used")), "mix-taken")
+        taken = F.col("cross").isNull() | (F.col("bucket") < F.col("cross")) | ((F.col("bucket") == F.col("cross")) & (F.struct("q", "doc_id") <= F.col("last")))
+        got = _join(groups.drop("cross", "base"), ends).where(F.coalesce(taken, F.lit(False))).select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.lit(True).alias("_got"))
+        got = materialize(got, "mix-got")
+        small = got.limit(BROADCAST_ROWS // 4 + 1).count() <= BROADCAST_ROWS // 4
+        docs = docs.join(F.broadcast(got) if small else got, F.col("source").eqNullSafe(F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
+        docs = materialize(docs.withColumn("head", F.col("head") | (F.coalesce("_got", F.lit(False)) & (F.col("size") > 0))).drop("_s", "_d", "_got"), "mix-heads")
+        gaps = materialize(_less(gaps, ends.select("source", "used")), "mix-gaps")
+
+
 def _with_budget(counts: DataFrame, sources: DataFrame) -> DataFrame:
     """counts with budget: the target's words that the certain copies leave."""
     return _join(counts, sources.select("source", "target")).withColumn("budget", F.col("target") - F.col("all_sure"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(table(spark, sf_dir, "documents"), fills=FILLS).select("doc_id", "size", "source_size", "target", "taken")
 
 
 _FITS = "q IS NOT NULL AND NOT head AND abs(gap - size) < gap"
