@@ -77,6 +77,27 @@ def test_a_cell_counts_weights():
     assert linked == {1: 1, 2: 3}
 
 
+def test_no_link_of_low_rank_vectors_is_lost(spark):
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(1500, 4))
+    rank = np.concatenate([base, base + 0.17 * rng.normal(size=base.shape)]) @ np.linalg.qr(rng.normal(size=(384, 4)))[0].T
+    x = rank / np.linalg.norm(rank, axis=1, keepdims=True)
+    links = (x @ x.T >= 0.98).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in embedding.near_duplicates(df, 256).collect()}
+    assert sum(got[i] for i in got) >= 0.9999 * links.sum()
+
+
+def test_a_cell_that_stays_below_recall_is_compared_whole(monkeypatch):
+    rng = np.random.default_rng(12)
+    v = list(rng.normal(size=(300, 3)))
+    t = pd.DataFrame({"node": range(300), "weight": 1, "vector": v, "asks": False})
+    monkeypatch.setattr(embedding, "range_search", lambda x, adj, starts, q, own, limit, beam: np.zeros((len(q), len(x)), bool))
+    out = embedding.cell(pd.concat([t, t.assign(asks=True)]))
+    x = np.stack(v) / np.linalg.norm(v, axis=1, keepdims=True)
+    assert out["linked"].sum() == (x @ x.T >= 0.98).sum() - 300
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)] + [(500, i) for i in range(501, 580)]

@@ -2,14 +2,17 @@
 
 Vectors of one label (and length) are cut into partitions around pivots. A
 partition holds the vectors that are nearest to its pivot and, as an overlap,
-those so near to its border that a link may cross it. Within a partition the
+all those so near to its border that a link may cross it. Within a partition the
 graph of DiskANN (Subramanya and others, 2019) is built as there: on overlapping
 cluster shards, each robust-pruned, their adjacency lists then united into one
 flat graph. Each vector asks its own partition only: a greedy beam search from
 the shards' medoids that, once in range, goes on through all neighbours in range
 (Manohar and others, "Range search on vectors", 2024). What is found is verified
 in double precision. A part of the vectors (AUDIT_EVERY) is held against brute
-force; a partition whose recall stays under RECALL is built again, denser.
+force; a cell whose recall stays under RECALL is built again, denser, and compared
+whole if that does not help. So are cells whose audit meets no link, and those of
+so few queries that comparing all costs less than a graph. As a cell's queries meet
+all vectors of the label that may link with them, the audit holds for the label.
 
 Equal vectors are one node with a weight. Partitions beyond CAP are dealt into
 cells (targets by queries) of at most about CAP each, so no task holds an
@@ -40,11 +43,11 @@ THRESHOLD = 0.98
 CAP = 2048
 #: Pivots a label has at most; beyond CAP * MAX_PIVOTS vectors, partitions grow and are dealt into cells.
 MAX_PIVOTS = 64
-#: A crossing of a border is looked for up to so many standard deviations of the offset between linked vectors, or its whole length if that is less.
-OVERLAP_SIGMAS = 5.0
 SHARD, DEGREE, POOL, BEAM, ALPHA = 512, 24, 96, 24, 1.2
 MAX_DEGREES = 2
 AUDIT_EVERY, RECALL, REBUILDS = 50, 0.999, 3
+#: Cells with fewer queries than targets by this factor are compared whole.
+WHOLE = 4
 #: Slack of the search in single precision; the exact check follows.
 SLACK = 1e-4
 
@@ -188,12 +191,14 @@ def cell(pdf: pd.DataFrame) -> pd.DataFrame:
     audited = np.flatnonzero(qn % AUDIT_EVERY == 0)
     truth = exact_q[audited] @ exact_t.T >= THRESHOLD
     degree, pool, beam = DEGREE, POOL, BEAM
-    for _ in range(REBUILDS):
+    for _ in range(REBUILDS if truth.any() and WHOLE * len(y) > len(x) else 0):
         adj, medoids = flat_graph(x, degree, pool)
         found = np.concatenate([range_search(x, adj, medoids, y[i : i + 512], own[i : i + 512], THRESHOLD - SLACK, beam) for i in range(0, len(y), 512)])
-        if not truth.any() or (found[audited] & truth).sum() >= RECALL * truth.sum():
+        if (found[audited] & truth).sum() >= RECALL * truth.sum():
             break
         degree, pool, beam = 2 * degree, 2 * pool, 2 * beam
+    else:
+        found = np.concatenate([y[i : i + 512] @ x.T >= THRESHOLD - SLACK for i in range(0, len(y), 512)])
     a, b = np.nonzero(found)
     keep = np.concatenate([np.einsum("pd,pd->p", exact_q[a[i : i + 50_000]], exact_t[b[i : i + 50_000]]) >= THRESHOLD for i in range(0, len(a), 50_000)] or [np.zeros(0, bool)])
     keep &= qn[a] != tn[b]
@@ -215,7 +220,8 @@ def cell(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _assign(batches):
     """Rows by partition: home, and the overlap of the partitions across whose borders a link may reach."""
-    delta = math.sqrt(2 - 2 * THRESHOLD)
+    # A vector further from the bisector of two pivots than this is linked with none beyond it.
+    delta = math.sqrt(1 - THRESHOLD * THRESHOLD) + 1e-9
     for pdf in batches:
         out = []
         for pivots, vector, node, weight, label, dim in zip(pdf["pivots"], pdf["vector"], pdf["node"], pdf["weight"], pdf["label"], pdf["dim"], strict=True):
@@ -226,7 +232,7 @@ def _assign(batches):
                 v = np.asarray(vector, np.float64)
                 s = c @ (v / np.sqrt((v * v).sum()))
                 home = int(s.argmax())
-                reach = np.sqrt(((c - c[home]) ** 2).sum(1)) * delta * min(1.0, OVERLAP_SIGMAS / math.sqrt(len(v)))
+                reach = np.sqrt(((c - c[home]) ** 2).sum(1)) * delta
                 near = np.flatnonzero(s >= s[home] - reach)
             out += [(label, dim, int(j), node, weight, vector, bool(j == home)) for j in near]
         yield pd.DataFrame(out, columns=["label", "dim", "part", "node", "weight", "vector", "home"])
