@@ -231,6 +231,16 @@ def test_terms_that_reveal(spark):
     assert all(s["ord"] < pii.BASE for i, r in rows.items() if i >= 5 for s in r["found"])
 
 
+def test_revealing_terms_go_wherever_they_stand(spark):
+    rng = random.Random(9)
+    plain = lambda n: " ".join(rng.choice("the and for that with from this have".split()) for _ in range(n))
+    texts = [f"Zanzibarov {plain(30)} zanzibarov {plain(3)} z@mail.com {plain(30)} Zanzibarov" if i < 5 else f"{plain(20)} u{i}@mail.com {plain(9)}" for i in range(120)]
+    for r in pii.sanitise(frame(spark, texts)).collect():
+        added = [texts[r["doc_id"]][s["start"] : s["stop"]].lower() for s in r["found"] if s["ord"] >= pii.BASE]
+        assert added == ["zanzibarov"] * (3 if r["doc_id"] < 5 else 0)
+        assert "anzibarov" not in r["clean"]
+
+
 def test_pii_query_digest(spark, data):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     for r in pii.query(spark, data).collect():

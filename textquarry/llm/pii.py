@@ -10,7 +10,7 @@ how much. For a term t in the windows around the mentions of an entity e,
 with c the documents in which t stands next to e, n_t and n_e the documents that
 hold t and e, and N all documents; 1 says that t gives e away wholly (Sanchez,
 Batet and Viejo, 2013). A term is generalised from GENERALISE on and removed
-from REMOVE on, in the windows of that entity. Evidence needs MIN_SUPPORT
+from REMOVE on, wherever it stands in a document that mentions that entity. Evidence needs MIN_SUPPORT
 documents and as many different contexts, so that copies of one text prove nothing.
 
 The counts cover all documents. Windows are bounded (WINDOW words on each side),
@@ -24,11 +24,12 @@ result; without candidate pairs no term is added.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textquarry.functions.arrays import let, running
 from textquarry.llm.common import materialize, table
-from textquarry.llm.spans import CONTEXT, SPAN, count, joined, no_spans, render, replaced, spans
+from textquarry.llm.spans import CONTEXT, count, joined, no_spans, render, replaced, spans
 
 QUERY = "op4_pii"
 
@@ -66,8 +67,22 @@ def base_spans(text: Column) -> Column:
     return joined(email, ip, card, phone)
 
 
+def _clear(found: Column) -> Column:
+    """Sorted spans without the terms among them that meet a base span."""
+    far = F.lit(2**62)
+    is_base = lambda s: s["ord"] < BASE
+
+    def kept(f: Column) -> Column:
+        before = running(F.transform(f, lambda s: F.when(is_base(s), s["stop"]).otherwise(-1)), lambda a, x: F.greatest(a, x), F.lit(-1).cast("long"))
+        after = running(F.transform(F.reverse(f), lambda s: F.when(is_base(s), s["start"]).otherwise(far)), lambda a, x: F.least(a, x), far.cast("long"))
+        both = F.struct(f.alias("f"), before.alias("before"), F.reverse(after).alias("after"))
+        return let(both, lambda b: F.filter(b["f"], lambda s, i: is_base(s) | ((F.get(b["before"], i) <= s["start"]) & (F.get(b["after"], i) >= s["stop"]))))
+
+    return let(found, kept)
+
+
 def _terms(found: DataFrame) -> DataFrame:
-    """(doc_id, key, entity, context, term, start, stop) for the terms around each mention."""
+    """(doc_id, key, entity, context, term) for the terms around each mention."""
     mention = found.where(F.size("base") > 0).select("doc_id", "key", F.explode("base").alias("m"))
     entity = F.when(F.col("m.ord") >= 2, _digits(F.col("m.hit"))).otherwise(F.lower("m.hit"))
     entity = F.concat_ws(":", F.col("m.ord").cast("string"), entity)
@@ -81,7 +96,7 @@ def _terms(found: DataFrame) -> DataFrame:
     near_left = place(F.slice(left_words, F.greatest(F.lit(1), F.size(left_words) - WINDOW + 1), F.lit(WINDOW)), F.col("m.start") - F.length(left))
     near_right = place(F.slice(right_words, F.lit(1), F.lit(WINDOW)), F.col("m.stop"))
     rows = mention.select("doc_id", "key", entity.alias("entity"), F.xxhash64(left, right).alias("context"), F.explode(F.concat(near_left, near_right)).alias("t"))
-    return rows.select("doc_id", "key", "entity", "context", "t.term", "t.start", "t.stop")
+    return rows.select("doc_id", "key", "entity", "context", "t.term")
 
 
 def disclosing(keyed: DataFrame, terms: DataFrame) -> DataFrame | None:
@@ -109,33 +124,36 @@ def detect(documents: DataFrame) -> DataFrame:
     found = with_base.dropDuplicates(["doc_id", "key"])
     terms = materialize(_terms(found), "pii-mentions")
     pairs = disclosing(keyed, terms)
+    spans_of = found.select("key", "doc_id", F.col("base").alias("found"))
     if pairs is None:
-        spans_of = found.select("key", "doc_id", F.col("base").alias("found"))
+        spans_of = spans_of.withColumn("terms", F.array().cast("array<struct<term:string,ord:int>>"))
     else:
         place = F.when(F.col("disclosure") >= REMOVE, BASE + 1).otherwise(BASE)
-        added = terms.join(pairs, ["entity", "term"]).groupBy("doc_id", "key", "start", "stop").agg(F.max("disclosure").alias("disclosure"))
-        added = added.select("doc_id", "key", F.struct("start", place.alias("ord"), "stop", F.lit("").alias("hit"), F.lit("").alias("left"), F.lit("").alias("right")).cast(SPAN).alias("s"))
-        rows = found.select("doc_id", "key", F.explode("base").alias("s")).unionByName(added)
-        # An added span that meets a base span gives way.
-        is_base = F.col("s.ord") < BASE
-        w = Window.partitionBy("doc_id", "key").orderBy("s.start", "s.ord")
-        before = F.max(F.when(is_base, F.col("s.stop"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        after = F.first(F.when(is_base, F.col("s.start")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-        clear = (F.coalesce(before, F.lit(-1)) <= F.col("s.start")) & (F.coalesce(after, F.col("s.stop")) >= F.col("s.stop"))
-        rows = rows.withColumn("_clear", clear).where(is_base | F.col("_clear"))
-        spans_of = rows.groupBy("key", "doc_id").agg(F.array_sort(F.collect_list("s")).alias("found"))
+        own = terms.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "entity").distinct().join(pairs, "entity").groupBy("_d", "_k", "term").agg(F.max("disclosure").alias("disclosure"))
+        own = own.groupBy("_d", "_k").agg(F.collect_list(F.struct("term", place.alias("ord"))).alias("terms"))
+        spans_of = spans_of.join(own, (F.col("key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left").drop("_d", "_k")
     # Few documents hold personal data: the texts stay where they are, and the spans are sent to them while they are counted to be few.
     spans_of = materialize(spans_of.withColumnRenamed("doc_id", "_d"), "pii-spans")
-    return _join_spans(whole, spans_of).select("doc_id", "text", "row", F.coalesce("found", no_spans()).alias("found"))
+    return _join_spans(whole, spans_of).select("doc_id", "text", "row", F.coalesce(_with_terms(F.col("text"), F.col("found"), F.col("terms")), no_spans()).alias("found"))
+
+
+def _with_terms(text: Column, base: Column, terms: Column) -> Column:
+    """base and all places of terms in text, by start and kind. An added span that meets a base span gives way."""
+
+    def added(kinds: Column) -> Column:
+        words = F.transform(spans(text, TERM, BASE, F.size(terms) > 0), lambda s: F.struct(s["start"].alias("start"), F.element_at(kinds, F.lower(s["hit"])).alias("ord"), s["stop"].alias("stop"), F.lit("").alias("hit"), F.lit("").alias("left"), F.lit("").alias("right")))
+        return _clear(joined(base, F.filter(words, lambda s: s["ord"].isNotNull())))
+
+    return F.when(F.size(terms) > 0, let(F.map_from_entries(terms), added)).otherwise(base)
 
 
-#: Span lists are broadcast up to so many characters of hits and contexts, and shuffled beyond.
+#: Span and term lists are broadcast up to so many spans and terms, and shuffled beyond.
 BROADCAST_SPANS = 100_000
 
 
 def _join_spans(keyed: DataFrame, spans_of: DataFrame) -> DataFrame:
     lean = spans_of.withColumn("found", F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["stop"].alias("stop"), F.lit("").alias("hit"), F.lit("").alias("left"), F.lit("").alias("right"))))
-    n = lean.agg(F.sum(F.size("found") + 1)).first()[0] or 0
+    n = lean.agg(F.sum(F.size("found") + F.greatest(F.size("terms"), F.lit(0)) + 1)).first()[0] or 0
     right = F.broadcast(lean) if n <= BROADCAST_SPANS else lean
     return keyed.join(right, (keyed["key"] == right["key"]) & keyed["doc_id"].eqNullSafe(right["_d"]), "left").drop(right["key"])
 
