@@ -241,6 +241,15 @@ def test_revealing_terms_go_wherever_they_stand(spark):
         assert "anzibarov" not in r["clean"]
 
 
+def test_windows_of_terms_pass_over_other_matches(spark):
+    long = "x" * 130
+    texts = [f"card 4111111111111111, 12/26, Alice Smith {long} a@x.org, b@y.org +1 (234) 567-8901 Bob end"]
+    df = frame(spark, texts).select("text", pii.base_spans(F.col("text")).alias("base"))
+    got = {w["m"]["hit"]: (w["left"], w["right"]) for w in df.select(pii._windows(F.col("text"), F.col("base")).alias("w")).first()["w"]}
+    words = ["card", "alice", "smith", long, "bob", "end"]
+    assert got == {"4111111111111111": (words[:1], words[1:])} | {hit: (words[:4], words[4:]) for hit in ("a@x.org", "b@y.org", "+1 (234) 567-8901")}
+
+
 def test_pii_query_digest(spark, data):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     for r in pii.query(spark, data).collect():

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from textquarry.functions.arrays import let, running
 from textquarry.llm.common import materialize, table
-from textquarry.llm.spans import CONTEXT, count, joined, no_spans, render, replaced, spans
+from textquarry.llm.spans import SPAN, count, joined, no_spans, render, replaced, spans
 
 QUERY = "op4_pii"
 
@@ -81,22 +81,30 @@ def _clear(found: Column) -> Column:
     return let(found, kept)
 
 
+def _windows(text: Column, base: Column) -> Column:
+    """Each span of base as m, with the WINDOW terms before and after it. Words of other mentions are passed over."""
+
+    def around(f: Column) -> Column:
+        before = running(F.transform(f, lambda s: (s["ord"] >= BASE).cast("long")), lambda a, x: a + x, F.lit(0).cast("long"))
+        both = F.struct(f.alias("f"), before.alias("n"), F.transform(F.filter(f, lambda s: s["ord"] >= BASE), lambda s: F.lower(s["hit"])).alias("words"))
+
+        def cut(b: Column) -> Column:
+            mentions = F.filter(F.transform(b["f"], lambda s, i: F.struct(s.alias("m"), F.get(b["n"], i).cast("int").alias("n"))), lambda x: x["m"]["ord"] < BASE)
+            left = lambda n: F.slice(b["words"], F.greatest(F.lit(1), n - WINDOW + 1), F.least(n, F.lit(WINDOW)))
+            return F.transform(mentions, lambda x: F.struct(x["m"].alias("m"), left(x["n"]).alias("left"), F.slice(b["words"], x["n"] + 1, F.lit(WINDOW)).alias("right")))
+
+        return let(both, cut)
+
+    return let(_clear(joined(base, spans(text, TERM, BASE, F.size(base) > 0))), around)
+
+
 def _terms(found: DataFrame) -> DataFrame:
     """(doc_id, key, entity, context, term) for the terms around each mention."""
-    mention = found.where(F.size("base") > 0).select("doc_id", "key", F.explode("base").alias("m"))
-    entity = F.when(F.col("m.ord") >= 2, _digits(F.col("m.hit"))).otherwise(F.lower("m.hit"))
-    entity = F.concat_ws(":", F.col("m.ord").cast("string"), entity)
-    left, right = F.col("m.left"), F.col("m.right")
-    # A window that was cut may start or end inside a word; that word is left out.
-    left_words = spans(left, TERM, 0, F.lit(True))
-    left_words = F.filter(left_words, lambda s: (s["start"] > 0) | (F.length(left) < CONTEXT))
-    right_words = spans(right, TERM, 0, F.lit(True))
-    right_words = F.filter(right_words, lambda s: (s["stop"] < F.length(right)) | (F.length(right) < CONTEXT))
-    place = lambda words, zero: F.transform(words, lambda s: F.struct(F.lower(s["hit"]).alias("term"), (zero + s["start"]).alias("start"), (zero + s["stop"]).alias("stop")))
-    near_left = place(F.slice(left_words, F.greatest(F.lit(1), F.size(left_words) - WINDOW + 1), F.lit(WINDOW)), F.col("m.start") - F.length(left))
-    near_right = place(F.slice(right_words, F.lit(1), F.lit(WINDOW)), F.col("m.stop"))
-    rows = mention.select("doc_id", "key", entity.alias("entity"), F.xxhash64(left, right).alias("context"), F.explode(F.concat(near_left, near_right)).alias("t"))
-    return rows.select("doc_id", "key", "entity", "context", "t.term")
+    mention = found.select("doc_id", "key", F.explode("windows").alias("w"))
+    entity = F.when(F.col("w.m.ord") >= 2, _digits(F.col("w.m.hit"))).otherwise(F.lower("w.m.hit"))
+    entity = F.concat_ws(":", F.col("w.m.ord").cast("string"), entity)
+    context = F.xxhash64("w.left", F.lit(0), "w.right")
+    return mention.select("doc_id", "key", entity.alias("entity"), context.alias("context"), F.explode(F.array_distinct(F.concat("w.left", "w.right"))).alias("term"))
 
 
 def disclosing(keyed: DataFrame, terms: DataFrame) -> DataFrame | None:
@@ -120,7 +128,7 @@ def detect(documents: DataFrame) -> DataFrame:
     """doc_id, text, row (all columns of documents), found: all spans of each row of documents, base and added, by start and kind."""
     whole = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row")).withColumn("key", F.xxhash64("doc_id", "text"))
     keyed = whole.drop("row")
-    with_base = materialize(keyed.withColumn("base", base_spans(F.col("text"))).where(F.size("base") > 0).drop("text"), "pii-base")
+    with_base = materialize(keyed.withColumn("base", base_spans(F.col("text"))).where(F.size("base") > 0).withColumn("windows", _windows(F.col("text"), F.col("base"))).drop("text"), "pii-base")
     found = with_base.dropDuplicates(["doc_id", "key"])
     terms = materialize(_terms(found), "pii-mentions")
     pairs = disclosing(keyed, terms)
@@ -141,7 +149,7 @@ def _with_terms(text: Column, base: Column, terms: Column) -> Column:
     """base and all places of terms in text, by start and kind. An added span that meets a base span gives way."""
 
     def added(kinds: Column) -> Column:
-        words = F.transform(spans(text, TERM, BASE, F.size(terms) > 0), lambda s: F.struct(s["start"].alias("start"), F.element_at(kinds, F.lower(s["hit"])).alias("ord"), s["stop"].alias("stop"), F.lit("").alias("hit"), F.lit("").alias("left"), F.lit("").alias("right")))
+        words = F.transform(spans(text, TERM, BASE, F.size(terms) > 0), lambda s: F.struct(s["start"].alias("start"), F.element_at(kinds, F.lower(s["hit"])).alias("ord"), s["stop"].alias("stop"), F.lit("").alias("hit")))
         return _clear(joined(base, F.filter(words, lambda s: s["ord"].isNotNull())))
 
     return F.when(F.size(terms) > 0, let(F.map_from_entries(terms), added)).otherwise(base)
@@ -152,7 +160,7 @@ BROADCAST_SPANS = 100_000
 
 
 def _join_spans(keyed: DataFrame, spans_of: DataFrame) -> DataFrame:
-    lean = spans_of.withColumn("found", F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["stop"].alias("stop"), F.lit("").alias("hit"), F.lit("").alias("left"), F.lit("").alias("right"))))
+    lean = spans_of.withColumn("found", F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["stop"].alias("stop"), F.lit("").alias("hit"))))
     n = lean.agg(F.sum(F.size("found") + F.greatest(F.size("terms"), F.lit(0)) + 1)).first()[0] or 0
     right = F.broadcast(lean) if n <= BROADCAST_SPANS else lean
     return keyed.join(right, (keyed["key"] == right["key"]) & keyed["doc_id"].eqNullSafe(right["_d"]), "left").drop(right["key"])

@@ -14,10 +14,8 @@ from pyspark.sql import functions as F
 
 from textquarry.functions.arrays import let, running
 
-#: A match: where it starts and stops (code points, stop exclusive), its kind's place, itself, and the text next to it.
-SPAN = "struct<start:bigint,ord:int,stop:bigint,hit:string,left:string,right:string>"
-#: Code points of text kept on either side of a match.
-CONTEXT = 120
+#: A match: where it starts and stops (code points, stop exclusive), its kind's place, and itself.
+SPAN = "struct<start:bigint,ord:int,stop:bigint,hit:string>"
 
 
 def no_spans() -> Column:
@@ -41,8 +39,7 @@ def spans(text: Column, pattern: str, ord_: int, where: Column) -> Column:
                 lambda at: F.transform(
                     n,
                     lambda x, i: F.struct(
-                        (F.get(at, i) + x["g"]).alias("start"), F.lit(ord_).alias("ord"), (F.get(at, i) + x["g"] + x["n"]).alias("stop"), F.get(b["h"], i).alias("hit"),
-                        F.substring(F.get(b["g"], i), -CONTEXT, CONTEXT).alias("left"), F.substring(F.get(b["g"], i + 1), 1, CONTEXT).alias("right")),
+                        (F.get(at, i) + x["g"]).alias("start"), F.lit(ord_).alias("ord"), (F.get(at, i) + x["g"] + x["n"]).alias("stop"), F.get(b["h"], i).alias("hit")),
                 ),
             )
 
