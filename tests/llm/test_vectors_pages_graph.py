@@ -195,3 +195,9 @@ def test_pages_that_mark_their_text_otherwise_are_not_empty():
     nav, foot = "<nav>Menu</nav>", "<footer>Foot</footer>"
     bodies = ["<article><p>By article</p></article>", "<main><p>By main</p></main>", "<div class='content'><p>By name</p></div><p>beside</p>", "<p>By nothing</p>", "<article><nav>Only menu</nav></article><main>Main</main>"]
     assert texts_of([nav + b + foot for b in bodies]) == ["By article", "By main", "By name", "By nothing", "Main"]
+
+
+def test_parts_of_the_article_are_not_dropped_by_single_words():
+    kept = "<h2 id='side-effects'>A</h2><section id='discussion'>B {i}</section><h2 id='related-work'>C</h2><p class='more'>D {i}</p><h3 id='search-results'>E</h3><section id='legal-analysis'>F {i}</section><ul><li><a>Source G</a></li></ul>"
+    gone = "<div class='related-posts'>no</div><div id='comments'>no</div><section class='comments'>no</section><div role='navigation'>no</div><ul class='my-menu'><li><a>no</a></li></ul><aside>no</aside>"
+    assert texts_of([f"<article><h1>Head {i}</h1>{kept}{gone}</article>".replace("{i}", str(i)) for i in range(3)]) == [f"Head {i} A B {i} C D {i} E F {i} Source G" for i in range(3)]

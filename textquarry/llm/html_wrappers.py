@@ -60,6 +60,10 @@ NOT_ARTICLE = frozenset(
 #: Elements of an article's text, never a template's while they have no class, id or role.
 PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th figcaption caption summary".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words that beside those of NOT_ARTICLE leave a token's meaning as it is.
+NEUTRAL = frozenset("area bar block box button buttons container form inner list links panel posts section slot thread unit wrap wrapper".split())
+#: Ids of sections are mostly chapters; only these name what is no article.
+SECTION_IDS = frozenset("comments respond disqus".split())
 IS_ARTICLE = frozenset("article main content story entry post maincontent articlebody".split())
 
 MAX_DEPTH = 150
@@ -77,7 +81,7 @@ _ABOUT = re.compile(r"(?:has|with|no|is|without|not)[-_]")
 
 
 class Node:
-    """An element of a page: name, the words of its class, id and role, and its children, strings among them."""
+    """An element of a page: name, symbol (with the words of its class, id and role, and a mark if a whole token names no article), and its children, strings among them."""
 
     __slots__ = ("name", "symbol", "children")
 
@@ -87,10 +91,17 @@ class Node:
 
 @lru_cache(maxsize=50_000)
 def _symbol(name: str, attrs: str) -> str:
-    marks = [t for m in _NAMED.finditer(attrs) for t in (m[1] or m[2] or m[3] or "").lower().split()]
+    tokens = [(m[0][:2].lower() == "id", t) for m in _NAMED.finditer(attrs) for t in (m[1] or m[2] or m[3] or "").lower().split()]
     # "has-sidebar" and the like tell of the page around, not of the element.
-    words = sorted({w for t in marks if not _ABOUT.match(t) for w in re.split(r"[^a-z]+", t) if w})
-    return name + "." + ".".join(words) if words else name
+    tokens = [(is_id, t, [w for w in re.split(r"[^a-z]+", t) if w]) for is_id, t in tokens if not _ABOUT.match(t)]
+    words = sorted({w for _, _, own in tokens for w in own})
+    whole = name not in PLAIN and any(t in SECTION_IDS if is_id and name == "section" else _names_no_article(own) for is_id, t, own in tokens)
+    return name + "." + ".".join(words) + "!" * whole if words else name
+
+
+def _names_no_article(words: list[str]) -> bool:
+    """Whether a whole token, of these words, names what is no article."""
+    return any(w in NOT_ARTICLE for w in words) and all(w in NOT_ARTICLE or w in NEUTRAL for w in words)
 
 
 def parse(page: str) -> Node:
@@ -250,15 +261,22 @@ def expression(w: list) -> str:
     return f"({body}){mark}" if mark else body
 
 
-def _no_article(symbol: str, inside: bool) -> bool:
-    name, *words = symbol.split(".")
+def _no_article(symbol: str, inside: bool, marked: bool) -> bool:
+    """marked: inside an element that is marked as the article, where only whole tokens count."""
+    name, *words = symbol.rstrip("!").split(".")
     if name in NEVER or (name == "header" and not inside):
         return True
-    return name not in ("html", "body", "main", "article") and any(w in NOT_ARTICLE for w in words)
+    if name in ("html", "body", "main", "article"):
+        return False
+    return symbol.endswith("!") if marked else _has_word(words)
+
+
+def _has_word(words: list[str]) -> bool:
+    return any(w in NOT_ARTICLE for w in words)
 
 
 def _article(symbol: str) -> bool:
-    name, *words = symbol.split(".")
+    name, *words = symbol.rstrip("!").split(".")
     return name in ("article", "main") or any(w in IS_ARTICLE for w in words)
 
 
@@ -275,18 +293,18 @@ class Extractor:
         """Symbols that open the article, by kind: article elements, main elements, then the named element holding most text. Only kinds with text."""
         total: dict[str, int] = {}
 
-        def walk(w: list) -> int:
+        def walk(w: list, marked: bool) -> int:
             """Characters of w that are not excluded."""
             if w[KIDS] is None:
                 return w[CHARS]
-            if _no_article(w[SYM], True):
+            if _no_article(w[SYM], True, marked):
                 return 0
-            own = sum(map(walk, w[KIDS]))
+            own = sum(walk(k, marked or _article(w[SYM])) for k in w[KIDS])
             if _article(w[SYM]):
                 total[w[SYM]] = total.get(w[SYM], 0) + own
             return own
 
-        walk(wrapper)
+        walk(wrapper, False)
         element = lambda s: s.split(".")[0]
         rank = lambda s: (2 if element(s) == "article" else 1 if element(s) == "main" else 0, total[s])
         left = {s for s in total if total[s]}
@@ -302,7 +320,7 @@ class Extractor:
         def walk(w: list, inside: bool) -> bool:
             if w[KIDS] is None:
                 return inside and w[CONST] is None
-            return not _no_article(w[SYM], inside) and any(walk(k, inside or not self.region or w[SYM] in self.region) for k in w[KIDS])
+            return not _no_article(w[SYM], inside, inside and bool(self.region)) and any(walk(k, inside or not self.region or w[SYM] in self.region) for k in w[KIDS])
 
         return walk(w, not self.region)
 
@@ -326,12 +344,13 @@ class Extractor:
             now.clear()
 
         def walk(node: Node, w: list | None, inside: bool, everywhere: bool) -> None:
-            if _no_article(node.symbol, inside):
+            if _no_article(node.symbol, inside, inside and bool(region)):
                 flush()
                 return
             inside = inside or node.symbol in region
             listed = node.name in ("ul", "ol", "div", "section", "table") and w is not None and w[CHARS] > 0 and w[LINKED] >= LINK_SHARE * w[CHARS]
-            if listed and node.name != "#root":
+            # A list of links within a marked article goes only if it is named as no article, too.
+            if listed and node.name != "#root" and (not (inside and region) or _has_word(node.symbol.rstrip("!").split(".")[1:])):
                 flush()
                 return
             block = node.name in BLOCK
