@@ -201,3 +201,9 @@ def test_parts_of_the_article_are_not_dropped_by_single_words():
     kept = "<h2 id='side-effects'>A</h2><section id='discussion'>B {i}</section><h2 id='related-work'>C</h2><p class='more'>D {i}</p><h3 id='search-results'>E</h3><section id='legal-analysis'>F {i}</section><ul><li><a>Source G</a></li></ul>"
     gone = "<div class='related-posts'>no</div><div id='comments'>no</div><section class='comments'>no</section><div role='navigation'>no</div><ul class='my-menu'><li><a>no</a></li></ul><aside>no</aside>"
     assert texts_of([f"<article><h1>Head {i}</h1>{kept}{gone}</article>".replace("{i}", str(i)) for i in range(3)]) == [f"Head {i} A B {i} C D {i} E F {i} Source G" for i in range(3)]
+
+
+@pytest.mark.parametrize("n", [10, 140, 160, 400])
+def test_end_tags_of_deep_elements_close_no_ancestor(n):
+    page = f"<div class='layout'><article><p>First</p>{'<div>' * n}<ul><li><p>in<ul><li>a<li>b</ul></ul>{'</div>' * n}<p>Last</p></article></div><p>beside</p>"
+    assert " ".join(texts_of([page])[0].split()) in ("First in a b Last", "First inab Last")

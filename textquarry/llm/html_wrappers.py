@@ -27,6 +27,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -108,6 +109,8 @@ def parse(page: str) -> Node:
     """The balanced tree of a page."""
     root = Node("#root", "#root")
     stack = [root]
+    # Open elements below MAX_DEPTH, by name; they end with the deepest element of the stack.
+    deeper: Counter[str] = Counter()
     at, end = 0, len(page)
     while at < end:
         m = _TOKEN.match(page, at)
@@ -121,15 +124,19 @@ def parse(page: str) -> Node:
             continue
         name = name.lower()
         if m["end"] or m["end2"]:
+            if deeper[name] > 0:
+                deeper[name] -= 1
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name == name:
                     del stack[i:]
+                    deeper.clear()
                     break
             continue
         if name in ENDS_P:
-            _end(stack, {"p"}, P_SCOPE)
+            _end(stack, {"p"}, P_SCOPE, deeper)
         if name in CLOSES:
-            _end(stack, CLOSES[name], SCOPE.get(name, frozenset()))
+            _end(stack, CLOSES[name], SCOPE.get(name, frozenset()), deeper)
         attrs = m["attrs"] if m["name"] else m["attrs2"]
         low = attrs.lower() if attrs else ""
         node = Node(name, _symbol(name, attrs) if "class" in low or "id" in low or "role" in low else name)
@@ -137,15 +144,24 @@ def parse(page: str) -> Node:
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
             at = close.end() if close else end
-        elif name not in VOID and not low.endswith("/") and len(stack) < MAX_DEPTH:
-            stack.append(node)
+        elif name not in VOID and not low.endswith("/"):
+            if len(stack) < MAX_DEPTH:
+                stack.append(node)
+            else:
+                deeper[name] += 1
     return root
 
 
-def _end(stack: list[Node], names: set[str], scope: frozenset[str] | set[str]) -> None:
+def _end(stack: list[Node], names: set[str], scope: frozenset[str] | set[str], deeper: Counter[str]) -> None:
+    for name in (n for n in names if deeper[n] > 0):
+        deeper[name] -= 1
+        return
+    if any(n in scope for n, count in deeper.items() if count > 0):
+        return
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].name in names:
             del stack[i:]
+            deeper.clear()
             return
         if stack[i].name in scope:
             return
