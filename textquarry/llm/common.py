@@ -33,7 +33,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textquarry/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(StructType(df.schema.fields)).parquet(path)
+    out = spark.read.schema(StructType(df.schema.fields)).parquet(path)
+    out._stored = path
+    return out
+
+
+def release(*stored: DataFrame) -> None:
+    """Deletes tables of materialize that nothing will read again."""
+    for df in stored:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._stored)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,28 +62,41 @@ def unit_hash(*parts: Column, seed: int = 0) -> Column:
     return (bits.cast("double") + 0.5) / F.lit(float(2**52))
 
 
-def semi_join(left: DataFrame, keys: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+def semi_join(left: DataFrame, keys: DataFrame, key: str | list[str], how: str = "left_semi") -> DataFrame:
     """left rows whose key is (``left_anti``: is not) in keys, which must be a stored table. keys is broadcast only if it was counted to be small."""
     small = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return left.join(F.broadcast(keys) if small else keys, key, how)
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[list[str], list[int]]:
-    """Whole texts and labels of at most per_class training rows of each class, chosen by a hash of doc_id.
+#: Characters of text that a sample of labelled rows holds at most; a fit on the driver needs some ten times as many bytes.
+SAMPLE_CHARS = 24_000_000
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_class: int, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[int]]:
+    """Whole texts and labels of at most per_class training rows of each class, in the order of a hash of doc_id, and of chars characters at most.
 
     Held-out rows never enter. The ids are chosen from the narrow label table
-    first, so that only 2 * per_class texts are ever moved.
+    first, so that only 2 * per_class texts are ever moved. Of rows that share a
+    doc_id the smallest text counts; a text that would go beyond chars is left out.
     """
     training = labels.select("doc_id", F.col(label).cast("int").alias("_y")).where(F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     order = F.xxhash64(F.lit(17), "doc_id")
     ids = [training.where(F.col("_y") == y).dropDuplicates(["doc_id"]).orderBy(order, "doc_id").limit(per_class) for y in (0, 1)]
-    rows = documents.select("doc_id", "text").join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").where(F.col("text").isNotNull()).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["_y"], r["text"]))
-    return [r["text"] for r in rows], [r["_y"] for r in rows]
+    rows = documents.select("doc_id", "text").join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").where(F.col("text").isNotNull())
+    rows = materialize(rows.groupBy("doc_id", "_y").agg(F.min("text").alias("text")), "labelled")
+    chosen, left = [], chars
+    for r in rows.select("doc_id", "_y", F.length("text").alias("n"), order.alias("_o")).sort("_o", "doc_id", "_y").collect():
+        if r["n"] <= left:
+            chosen.append(r["doc_id"])
+            left -= r["n"]
+    found = rows.where(F.col("doc_id").isin(chosen)).collect() if chosen else []
+    release(rows)
+    found.sort(key=lambda r: (r["doc_id"], r["_y"]))
+    return [r["text"] for r in found], [r["_y"] for r in found]
 
 
 def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Texts are handed to Python at most so many rows at a time, for this session, since batches are counted in rows and texts can be long."""
+    """Texts are handed to Python at most so many rows at a time. This changes a setting of the session; spark.sql.execution.arrow.maxBytesPerBatch (64 MB) bounds batches of long texts."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import materialize
+from textquarry.llm.common import materialize, release
 
 #: Rounds double the reach of a label at least; more than this means a fault.
 MAX_ROUNDS = 60
@@ -28,9 +28,11 @@ def components(links: DataFrame) -> DataFrame:
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
         after = materialize(small.where("u <> v").distinct(), "graph-round")
-        if _fingerprint(after) == _fingerprint(edges):
-            break
+        settled = _fingerprint(after) == _fingerprint(edges)
+        release(edges)
         edges = after
+        if settled:
+            break
     else:
         raise RuntimeError("components did not settle")
     # Settled: every link goes from a node to the root of its star.
