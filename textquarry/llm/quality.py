@@ -3,16 +3,21 @@
 A document's bytes are read in chunks of CHUNK that overlap by half and cover it
 whole. Filters of WIDTH bytes slide over them in steps of STRIDE; a filter is a
 learned weight for each byte value at each place, so that applying it is a
-look-up and a sum. A chunk keeps each filter's greatest response (max pooling
-over its two halves) and how much of it repeats itself. The document's mean and
-greatest over its chunks go through a hidden layer to one probability.
+look-up and a sum. A byte comes in two forms, new or again (the run of RUN bytes
+that begins with it stood in its half chunk before), since no sum over byte
+values can tell a repetition; filters learn weights for either. A chunk keeps
+each filter's greatest response (max pooling over its two halves). The
+document's mean and greatest over its chunks go through a hidden layer to one
+probability.
 
 Trained by Adam on a bounded sample of labelled rows (PER_CLASS of each label,
 held-out rows never); every text is scored whole.
 
 Defined cases: null and empty texts have one chunk without response and get that
-score; repeated rows get equal scores; without labelled rows of both classes
-every score is 1; an empty table gives an empty result.
+score; a NUL byte counts as none; a text of any length is read in blocks of BLOCK
+bytes; of equal responses and chunks the first counts; repeated rows get equal
+scores; without labelled rows of both classes every score is 1; an empty table
+gives an empty result; no column but doc_id and text is read.
 """
 
 from __future__ import annotations
@@ -30,10 +35,11 @@ QUERY = "op1_quality"
 
 PER_CLASS = 1500
 WIDTH, STRIDE = 8, 4
-CHUNK = 512
+RUN = 8
+CHUNK = 256
 FILTERS = 32
 HIDDEN = 16
-EPOCHS, BATCH, RATE, DECAY = 8, 32, 4e-3, 1e-4
+EPOCHS, BATCH, RATE, DECAY = 12, 32, 4e-3, 1e-4
 SEED = 11
 THRESHOLD = 0.3
 #: Share of rows of label 1 that scores are calibrated to.
@@ -42,7 +48,7 @@ PRIOR = 0.7
 BLOCK = 1 << 19
 
 _HALF = CHUNK // 2
-_PAD = 0  # the byte that fills a text's last half chunk; its weights stay zero
+_PAD = [0, 256]  # the byte that fills a text's last half chunk, in both forms; its weights stay zero
 
 
 def halves(text: bytes) -> int:
@@ -56,47 +62,78 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8), np.concatenate([[0], np.cumsum(count)])
 
 
-def responses(data: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(half chunks, places, FILTERS) of filter sums. weights: (WIDTH, 256, FILTERS). A filter at the end of a half chunk sees padding beyond it only if the text ends there."""
-    more = np.concatenate([data, np.zeros(WIDTH, np.uint8)])
-    total = weights[0][more[0 : len(data) : STRIDE]]
-    for o in range(1, WIDTH):
-        total += weights[o][more[o : o + len(data) : STRIDE]]
-    return total.reshape(-1, _HALF // STRIDE, weights.shape[2]), more
+def symbols(data: np.ndarray) -> np.ndarray:
+    """Each byte, plus 256 where the RUN bytes from it on stood in its half chunk before.
 
-
-def repetition(data: np.ndarray) -> np.ndarray:
-    """Of each half chunk, the share of its runs of four bytes that stand in it more than once."""
-    x = data.reshape(-1, _HALF).astype(np.uint32)
-    runs = x[:, :-3] | x[:, 1:-2] << np.uint32(8) | x[:, 2:-1] << np.uint32(16) | x[:, 3:] << np.uint32(24)
+    Runs are told apart by 24 bits of a product, so that one sort of small
+    numbers, with places below, brings equal runs together in order.
+    """
+    x = data.reshape(-1, _HALF)
+    n = _HALF - RUN + 1
+    runs = np.zeros((len(x), n), np.uint32)
+    for i in range(RUN):
+        runs = (runs ^ x[:, i : i + n]) * np.uint32(0x9E3779B1)
+    runs = (runs & np.uint32(0xFFFFFF00)) | np.arange(n, dtype=np.uint32)
     runs.sort(axis=1)
-    filled = (runs != 0).sum(1)
-    again = ((runs[:, 1:] == runs[:, :-1]) & (runs[:, 1:] != 0)).sum(1)
-    return (again / np.maximum(filled, 1)).astype(np.float32)
+    row, at = np.nonzero((runs[:, 1:] ^ runs[:, :-1]) < 256)
+    out = x.astype(np.int16)
+    out[row, runs[row, at + 1] & np.uint32(255)] += 256
+    return out.reshape(-1)
+
+
+#: Symbols that a half chunk's filters see: its own, and the first of the next half chunk.
+_SEEN = _HALF + WIDTH - STRIDE
+
+
+def responses(data: np.ndarray, last: np.ndarray, weights: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+    """(half chunks, FILTERS): each filter's greatest sum; if asked for, its place, and the _SEEN symbols of each half chunk. last: whether a text ends with a half chunk; its filters see padding beyond. weights: (WIDTH, 512, FILTERS)."""
+    n, step = len(data) // _HALF, max(1, BLOCK // _HALF)
+    top = np.empty((n, weights.shape[2]), weights.dtype)
+    at, kept = (np.empty(top.shape, np.int64), []) if places else (None, None)
+    for i in range(0, n, step):
+        rows = min(step, n - i)
+        part = symbols(data[i * _HALF : (i + step + 1) * _HALF]).reshape(-1, _HALF)
+        beyond = np.zeros((rows, WIDTH - STRIDE), np.int16)
+        after = part[1 : rows + 1, : WIDTH - STRIDE]
+        beyond[: len(after)] = after
+        beyond[last[i : i + rows]] = 0
+        seen = np.concatenate([part[:rows], beyond], 1)
+        total = weights[0][seen[:, 0:_HALF:STRIDE]]
+        for o in range(1, WIDTH):
+            total += weights[o][seen[:, o : o + _HALF : STRIDE]]
+        total.max(1, out=top[i : i + rows])
+        if places:
+            at[i : i + rows] = total.argmax(1)
+            kept.append(seen)
+    return top, at, np.concatenate(kept) if places else None
+
+
+def ends(first: np.ndarray) -> np.ndarray:
+    """Whether a half chunk is the last of its text."""
+    last = np.zeros(first[-1], bool)
+    last[first[1:] - 1] = True
+    return last
 
 
-def pooled(top: np.ndarray, again: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, dict]:
+def pooled(top: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, dict]:
     """Document vectors from half chunks: chunk k is half k and k + 1 of the same text; then mean and greatest over chunks."""
     n = len(top)
-    last = np.zeros(n, bool)
-    last[first[1:] - 1] = True
-    follow = np.where(last, np.arange(n), np.minimum(np.arange(n) + 1, n - 1))
+    follow = np.where(ends(first), np.arange(n), np.minimum(np.arange(n) + 1, n - 1))
     second = top[follow] > top
     chunk = np.where(second, top[follow], top)
-    rep = np.maximum(again, again[follow])[:, None]
-    both = np.concatenate([np.maximum(chunk, 0), rep], 1)
+    live = np.maximum(chunk, 0)
     count = np.diff(first)[:, None]
-    mean = np.add.reduceat(both, first[:-1], axis=0) / count
-    most = np.maximum.reduceat(both, first[:-1], axis=0)
-    return np.concatenate([mean, most], 1), {"chunk": chunk, "second": second, "follow": follow, "both": both, "most": most, "count": count}
+    mean = np.add.reduceat(live, first[:-1], axis=0) / count
+    most = np.maximum.reduceat(live, first[:-1], axis=0)
+    return np.concatenate([mean, most], 1), {"chunk": chunk, "second": second, "follow": follow, "live": live, "most": most, "count": count}
 
 
 class Network:
     def __init__(self, seed: int = SEED):
         rng = np.random.default_rng(seed)
-        n = 2 * (FILTERS + 1)
+        n = 2 * FILTERS
         self.p = {
-            "conv": rng.normal(0, 0.25, (WIDTH, 256, FILTERS)).astype(np.float32),
+            "conv": rng.normal(0, 0.25, (WIDTH, 512, FILTERS)).astype(np.float32),
             "bias": np.zeros(FILTERS, np.float32),
             "w1": rng.normal(0, n**-0.5, (n, HIDDEN)).astype(np.float32),
             "b1": np.zeros(HIDDEN, np.float32),
@@ -108,12 +145,9 @@ class Network:
 
     def _vectors(self, texts: list[bytes], where: bool = False):
         data, first = joined(texts)
-        r, more = responses(data, self.p["conv"])
-        top = r.max(1) + self.p["bias"]
-        v, state = pooled(top, repetition(data), first)
-        if where:
-            state |= {"at": r.argmax(1), "more": more, "first": first}
-        return v, state
+        top, at, seen = responses(data, ends(first), self.p["conv"], where)
+        v, state = pooled(top + self.p["bias"], first)
+        return v, state | {"at": at, "symbols": seen, "first": first}
 
     def _head(self, v: np.ndarray) -> tuple[np.ndarray, ...]:
         x = (v - self.mean) / self.scale
@@ -161,25 +195,23 @@ class Network:
         dh = np.outer(d, self.p["w2"]) * (h > 0)
         g["w1"], g["b1"] = x.T @ dh, dh.sum(0)
         dv = (dh @ self.p["w1"].T) / self.scale
-        k = FILTERS + 1
         owner = np.repeat(np.arange(len(texts)), np.diff(c["first"]))
-        dboth = dv[owner, :k] / c["count"][owner]
+        dlive = dv[owner, :FILTERS] / c["count"][owner]
         # The greatest chunk of each document and filter, the first of equals.
-        is_most = c["both"] == c["most"][owner]
-        place = np.where(is_most, np.arange(len(owner))[:, None], len(owner))
+        place = np.where(c["live"] == c["most"][owner], np.arange(len(owner))[:, None], len(owner))
         winner = np.minimum.reduceat(place, c["first"][:-1], axis=0)
-        np.add.at(dboth, (winner, np.arange(k)[None, :]), dv[:, k:])
-        dchunk = (dboth[:, :FILTERS] * (c["chunk"] > 0)).astype(np.float32)
+        np.add.at(dlive, (winner, np.arange(FILTERS)[None, :]), dv[:, FILTERS:])
+        dchunk = (dlive * (c["chunk"] > 0)).astype(np.float32)
         g["bias"] = dchunk.sum(0)
         # Only the place of the greatest response has a gradient: a look-up for each byte under the filter there.
         half = np.where(c["second"], c["follow"][:, None], np.arange(len(owner))[:, None])
         f = np.broadcast_to(np.arange(FILTERS), half.shape)
-        start = half * _HALF + c["at"][half, f] * STRIDE
+        start = half * _SEEN + c["at"][half, f] * STRIDE
         live = dchunk != 0
         start, f, dchunk = start[live], f[live], dchunk[live]
-        g["conv"] = np.empty_like(self.p["conv"])
+        g["conv"], seen = np.empty_like(self.p["conv"]), c["symbols"].reshape(-1)
         for o in range(WIDTH):
-            g["conv"][o] = np.bincount(c["more"][start + o].astype(np.int64) * FILTERS + f, dchunk, 256 * FILTERS).reshape(256, FILTERS)
+            g["conv"][o] = np.bincount(seen[start + o].astype(np.int64) * FILTERS + f, dchunk, 512 * FILTERS).reshape(512, FILTERS)
         return g
 
 
