@@ -9,17 +9,24 @@ by element from the outside in. A wrapper is a small tree, so partitions infer
 their own in one pass and these are aligned with each other in two steps; all
 pages take part and no host is gathered in one task.
 
-The wrapper then says which slots hold the article: those under the article or
-main element (or what is named so), or else those outside lists of links; a page
-that has no text there is read by its own article, main or named elements, or
-else whole. Always
-without menus, headers, footers, asides, notices, adverts, forms and comments,
-and without named blocks of one short string that all pages of the host share
-(two pages at least, since one shares with none; plain paragraphs and headings stay).
+The wrapper then says where the article is: in the text slots, that is strings
+that differ from page to page and are not in links. From the root the region
+narrows down to the one element that holds nearly all slot text (DOMINANT), and
+up again to take in a headline that differs, too. Where elements are marked as
+article or main (or named so), the mark decides between those that hold a fair
+share of the slot text (FAIR). A page that has no text there is read by its own
+article, main or named elements, or else whole. Always without menus, headers,
+footers, asides, notices, adverts, forms and comments, and without named blocks of
+one short string that all pages of the host share (two pages at least, since one
+shares with none; plain paragraphs and headings stay).
 
 Defined cases: null and empty html give an empty text; pages without url share
-one wrapper; an unfinished tag or comment at the end is no text; repeated rows
-get equal results; an empty table gives an empty result.
+one wrapper; an unfinished tag or comment at the end is no text; on a host of one
+page, or of equal pages, every string counts as a slot's; of elements with equal
+slot text the first counts; elements below MAX_DEPTH are read into the deepest
+above them; beyond MAX_CHILDREN runs of siblings, like ones are one group,
+wherever they stand; repeated rows get equal results; an empty table gives an
+empty result; no column but page_id, url and html is read.
 """
 
 from __future__ import annotations
@@ -28,8 +35,9 @@ import html as entities
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import pandas as pd
 import pyarrow as pa
@@ -69,9 +77,11 @@ IS_ARTICLE = frozenset("article main content story entry post maincontent articl
 
 MAX_DEPTH = 150
 MAX_CHILDREN = 150
-#: A string shorter than this that all pages of a host share may be the template's.
+#: A string shorter than this that all pages of a host share may be the template's; a longer one of the article is kept.
 CONSTANT_CHARS = 200
 LINK_SHARE = 0.8
+#: Share of the slot text that an element must hold for the region to narrow down to it, and for a mark to count.
+DOMINANT, FAIR = 0.75, 0.2
 
 _TOKEN = re.compile(
     r"(?P<text>[^<]+)|<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(?P<end2>/?)(?P<name2>[A-Za-z][^\s/>]*)(?P<attrs2>[^>]*)(?P<open>>|\Z)|</[^>]*(?:>|\Z)|(?P<stray><)",
@@ -95,7 +105,8 @@ def _symbol(name: str, attrs: str) -> str:
     tokens = [(m[0][:2].lower() == "id", t) for m in _NAMED.finditer(attrs) for t in (m[1] or m[2] or m[3] or "").lower().split()]
     # "has-sidebar" and the like tell of the page around, not of the element.
     tokens = [(is_id, t, [w for w in re.split(r"[^a-z]+", t) if w]) for is_id, t in tokens if not _ABOUT.match(t)]
-    words = sorted({w for _, _, own in tokens for w in own})
+    # Numbers tell classes like c1 and c2 apart, but those of three digits or after a hyphen, and those of ids, number pages.
+    words = sorted({w for is_id, t, own in tokens for w in (own if is_id else re.findall(r"[a-z]+(?:\d{1,2}(?!\d))?", t))})
     whole = name not in PLAIN and any(t in SECTION_IDS if is_id and name == "section" else _names_no_article(own) for is_id, t, own in tokens)
     return name + "." + ".".join(words) + "!" * whole if words else name
 
@@ -109,15 +120,17 @@ def parse(page: str) -> Node:
     """The balanced tree of a page."""
     root = Node("#root", "#root")
     stack = [root]
-    # Open elements below MAX_DEPTH, by name; they end with the deepest element of the stack.
+    # Open elements below MAX_DEPTH, by name; they end with the deepest element of the stack. muted: of one that is no article, whose text goes, how often its name is open.
     deeper: Counter[str] = Counter()
+    muted: list = ["", 0]
     at, end = 0, len(page)
     while at < end:
         m = _TOKEN.match(page, at)
         at = m.end()
         text = m["text"] or m["stray"]
         if text:
-            stack[-1].children.append(entities.unescape(text))
+            if not (muted[1] and deeper):
+                stack[-1].children.append(entities.unescape(text))
             continue
         name = m["name"] or m["name2"]
         if name is None or m["open"] == "":
@@ -126,11 +139,15 @@ def parse(page: str) -> Node:
         if m["end"] or m["end2"]:
             if deeper[name] > 0:
                 deeper[name] -= 1
+                muted[1] -= muted[1] > 0 and name == muted[0]
+                if name in BLOCK:
+                    stack[-1].children.append(Node("br", "br"))
                 continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name == name:
                     del stack[i:]
                     deeper.clear()
+                    muted[1] = 0
                     break
             continue
         if name in ENDS_P:
@@ -149,12 +166,34 @@ def parse(page: str) -> Node:
                 stack.append(node)
             else:
                 deeper[name] += 1
+                if muted[1] and name == muted[0]:
+                    muted[1] += 1
+                elif not muted[1] and (name in NEVER or node.symbol.endswith("!")):
+                    muted[:] = [name, 1]
+    _shaped(root)
     return root
 
 
+#: Elements that say what a container without a name holds: blocks of text, or else lists.
+_HOLDS = (frozenset("p h1 h2 h3 h4 h5 h6 article section main div blockquote pre table figure".split()), frozenset("ul ol menu dl nav".split()))
+
+
+def _shaped(node: Node) -> None:
+    """Containers without class, id and role are told apart by what they hold: div:b has blocks, div:l lists, div:t only text."""
+    below = set()
+    for child in node.children:
+        if not isinstance(child, str):
+            _shaped(child)
+            below.add(child.name)
+    if node.symbol in ("div", "section"):
+        node.symbol += ":b" if below & _HOLDS[0] else ":l" if below & _HOLDS[1] else ":t"
+
+
 def _end(stack: list[Node], names: set[str], scope: frozenset[str] | set[str], deeper: Counter[str]) -> None:
     for name in (n for n in names if deeper[n] > 0):
         deeper[name] -= 1
+        if name in BLOCK:
+            stack[-1].children.append(Node("br", "br"))
         return
     if any(n in scope for n, count in deeper.items() if count > 0):
         return
@@ -180,8 +219,9 @@ def pattern(node: Node, in_link: bool = False) -> list:
         if isinstance(child, str):
             if child.isspace():
                 continue
-            # Long strings are the pages' own; only short ones may be the template's.
-            text = " ".join(child.split()) if len(child) < 2 * CONSTANT_CHARS else None
+            text = " ".join(child.split())
+            # Of long strings a digest will do: they are the same on all pages, or a slot.
+            text = text if len(text) < CONSTANT_CHARS else "\0" + blake2b(text.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
             own = ["#", False, False, None, text, len(child), len(child) if in_link else 0]
         else:
             own = pattern(child, in_link)
@@ -266,11 +306,11 @@ def _pairs(x: list[str], y: list[str]) -> list[tuple[int | None, int | None]]:
 
 
 def expression(w: list) -> str:
-    """The wrapper as a regular expression over tags, with # for text slots."""
+    """The wrapper as a regular expression over tags, with # for text slots and ... for long strings that all pages share."""
     if w[KIDS] is None:
-        body = w[CONST] if w[CONST] is not None else "#"
+        body = "#" if w[CONST] is None else "..." if w[CONST].startswith("\0") else w[CONST]
     else:
-        tag = w[SYM]
+        tag = w[SYM].split(":")[0]
         inner = "".join(map(expression, w[KIDS]))
         body = inner if tag == "#root" else f"<{tag}>{inner}</{tag.split('.')[0]}>"
     mark = {(False, False): "", (True, False): "?", (False, True): "+", (True, True): "*"}[w[OPT], w[REP]]
@@ -297,35 +337,70 @@ def _article(symbol: str) -> bool:
 
 
 class Extractor:
-    """A host's wrapper with the places of its article."""
+    """A host's wrapper with the places of its article: marks, symbols of marked elements, or node, a part of the wrapper."""
 
     def __init__(self, wrapper: list, pages: int):
-        self.wrapper = wrapper
-        self.region = next(self._regions(wrapper), frozenset())
+        self.wrapper, self.pages = wrapper, pages
+        self.slots: dict[int, int] = {}
+        if not self._measure(wrapper, pages > 1) and pages > 1:
+            self._measure(wrapper, False)
+        self.node = self._narrowed()
+        total = self.slots[id(wrapper)]
+        fair = lambda of: self.slots.get(id(of), 0) >= FAIR * total
+        self.region = next(self._regions(wrapper, lambda w: self.slots.get(id(w), 0), fair), frozenset()) if total else frozenset()
         self.drop_constants = pages > 1 and self._varies(wrapper)
 
+    def _measure(self, w: list, differing: bool, marked: bool = False) -> int:
+        """Characters of the text slots in w, not those of links and of what is no article. differing: strings that all pages share, none of them in an optional group, fill no slot."""
+        differing = differing and not w[OPT]
+        if w[KIDS] is None:
+            own = 0 if differing and w[CONST] is not None else w[CHARS] - w[LINKED]
+        elif _no_article(w[SYM], True, marked):
+            own = 0
+        else:
+            own = sum(self._measure(k, differing, marked or _article(w[SYM])) for k in w[KIDS])
+        self.slots[id(w)] = own
+        return own
+
+    def _narrowed(self) -> list:
+        """The deepest part of the wrapper that holds nearly all slot text, and the headline among it."""
+        path = [self.wrapper]
+        total = self.slots[id(self.wrapper)]
+        while total:
+            inner = [k for k in path[-1][KIDS] or () if k[KIDS] is not None and k[SYM] not in PLAIN and not k[REP]]
+            best = max(inner, key=lambda k: self.slots[id(k)], default=None)
+            if best is None or self.slots[id(best)] < DOMINANT * total:
+                break
+            path.append(best)
+        for i, w in enumerate(path):
+            # A first headline beside the narrower part is the article's: no narrower than this.
+            if i + 1 < len(path) and any(self._headline(k) for k in w[KIDS] if k is not path[i + 1]):
+                return w
+        return path[-1]
+
+    def _headline(self, w: list) -> bool:
+        name = w[SYM].split(".")[0]
+        return w[KIDS] is not None and self.slots.get(id(w), 0) > 0 and (name in ("h1", "h2") or any(self._headline(k) for k in w[KIDS]))
+
     @staticmethod
-    def _regions(wrapper: list) -> Iterator[frozenset[str]]:
-        """Symbols that open the article, by kind: article elements, main elements, then the named element holding most text. Only kinds with text."""
+    def _regions(wrapper: list, measure: Callable[[list], int], counts: Callable[[list], bool] = lambda w: True) -> Iterator[frozenset[str]]:
+        """Symbols that mark the article, by kind: article elements, main elements, then the named element holding most text by measure. Only kinds with text, of elements that count."""
         total: dict[str, int] = {}
 
-        def walk(w: list, marked: bool) -> int:
-            """Characters of w that are not excluded."""
-            if w[KIDS] is None:
-                return w[CHARS]
-            if _no_article(w[SYM], True, marked):
-                return 0
-            own = sum(walk(k, marked or _article(w[SYM])) for k in w[KIDS])
-            if _article(w[SYM]):
-                total[w[SYM]] = total.get(w[SYM], 0) + own
-            return own
+        def walk(w: list, marked: bool) -> None:
+            if w[KIDS] is None or _no_article(w[SYM], True, marked):
+                return
+            if _article(w[SYM]) and counts(w):
+                total[w[SYM]] = total.get(w[SYM], 0) + measure(w)
+            for k in w[KIDS]:
+                walk(k, marked or _article(w[SYM]))
 
         walk(wrapper, False)
         element = lambda s: s.split(".")[0]
         rank = lambda s: (2 if element(s) == "article" else 1 if element(s) == "main" else 0, total[s])
         left = {s for s in total if total[s]}
         while left:
-            top = max(left, key=rank)
+            top = max(sorted(left), key=rank)
             # All of the same element: one host may mark its articles with differing classes.
             yield frozenset(s for s in total if element(s) == element(top))
             left = {s for s in left if element(s) != element(top)}
@@ -336,21 +411,29 @@ class Extractor:
         def walk(w: list, inside: bool) -> bool:
             if w[KIDS] is None:
                 return inside and w[CONST] is None
-            return not _no_article(w[SYM], inside, inside and bool(self.region)) and any(walk(k, inside or not self.region or w[SYM] in self.region) for k in w[KIDS])
+            return not _no_article(w[SYM], inside, inside and bool(self.region)) and any(walk(k, inside or self._opens(w, w[SYM], self.region)) for k in w[KIDS])
+
+        return walk(w, False)
 
-        return walk(w, not self.region)
+    def _opens(self, w: list | None, symbol: str, region: frozenset[str]) -> bool:
+        """Whether the article begins with an element: by its mark, or where there is none by its place in the wrapper."""
+        return symbol in region if region else w is self.node
 
     def text(self, page: Node) -> str:
         """The page's text by the host's region, or where that gives none, by the page's own, and by the whole page at last."""
-        out = self._text(page, self.region)
-        if out or not self.region:
+        if out := self._text(page, self.region):
             return out
-        for region in (*self._regions(pattern(page)), frozenset()):
+        own = pattern(page)
+        alone = Extractor.__new__(Extractor)
+        alone.slots = {}
+        alone._measure(own, False)
+        for region in (*self._regions(own, lambda w: alone.slots.get(id(w), 0)), None):
             if out := self._text(page, region):
                 return out
         return ""
 
-    def _text(self, page: Node, region: frozenset[str]) -> str:
+    def _text(self, page: Node, region: frozenset[str] | None) -> str:
+        """region: symbols that open the article; none, so its place in the wrapper does; None, so all of the page is it."""
         blocks, now = [], []
 
         def flush() -> None:
@@ -363,7 +446,7 @@ class Extractor:
             if _no_article(node.symbol, inside, inside and bool(region)):
                 flush()
                 return
-            inside = inside or node.symbol in region
+            inside = inside or region is None or self._opens(w, node.symbol, region)
             listed = node.name in ("ul", "ol", "div", "section", "table") and w is not None and w[CHARS] > 0 and w[LINKED] >= LINK_SHARE * w[CHARS]
             # A list of links within a marked article goes only if it is named as no article, too.
             if listed and node.name != "#root" and (not (inside and region) or _has_word(node.symbol.rstrip("!").split(".")[1:])):
@@ -386,7 +469,7 @@ class Extractor:
             if block:
                 flush()
 
-        walk(page, self.wrapper, not region, True)
+        walk(page, self.wrapper, region is None, True)
         flush()
         return " ".join(blocks)
 
@@ -394,7 +477,7 @@ class Extractor:
     def _constant(w: list) -> bool:
         """Whether an element that all pages have holds nothing but one short string, the same on all."""
         only = w[KIDS][0] if len(w[KIDS]) == 1 else None
-        return only is not None and only[KIDS] is None and not only[OPT] and not only[REP] and only[CONST] is not None and len(only[CONST]) < CONSTANT_CHARS
+        return only is not None and only[KIDS] is None and not only[OPT] and not only[REP] and only[CONST] is not None and not only[CONST].startswith("\0")
 
     @staticmethod
     def _matched(node: Node, w: list | None) -> dict[int, list]:
