@@ -1,27 +1,33 @@
 """Embedding near-duplicates on robust-pruned flat graphs.
 
-Vectors of one label (and length) are cut into partitions around pivots. A
-partition holds the vectors that are nearest to its pivot and, as an overlap,
-all those so near to its border that a link may cross it. Within a partition the
-graph of DiskANN (Subramanya and others, 2019) is built as there: on overlapping
-cluster shards, each robust-pruned, their adjacency lists then united into one
-flat graph. Each vector asks its own partition only: a greedy beam search from
-the shards' medoids that, once in range, goes on through all neighbours in range
-(Manohar and others, "Range search on vectors", 2024). What is found is verified
-in double precision. A part of the vectors (AUDIT_EVERY) is held against brute
-force; a cell whose recall stays under RECALL is built again, denser, and compared
-whole if that does not help. So are cells whose audit meets no link, and those of
-so few queries that comparing all costs less than a graph. As a cell's queries meet
-all vectors of the label that may link with them, the audit holds for the label.
-
-Equal vectors are one node with a weight. Partitions beyond CAP are dealt into
-cells (targets by queries) of at most about CAP each, so no task holds an
+Vectors of one label (and length) form one partition, or, where they are more
+than CAP, are cut into partitions around pivots, and these again, as long as that
+makes them smaller. A partition holds the vectors that are nearest to its pivot
+and, as an overlap, all those so near to its border that a link may cross it.
+Within a partition the graph of DiskANN (Subramanya and others, 2019) is built as
+there: on overlapping cluster shards, each robust-pruned, their adjacency lists
+then united into one flat graph. Each vector asks its own partition only: a greedy
+beam search from the shards' medoids that, once in range, goes on through all
+neighbours in range (Manohar and others, "Range search on vectors", 2024). What is
+found is verified in double precision. A part of the vectors (AUDIT_EVERY) is held
+against brute force; a cell whose recall stays under RECALL is built again, denser,
+and compared whole if that does not help. So are cells whose audit meets no link,
+and those of so few queries that comparing all costs less than a graph. As a cell's
+queries meet all vectors of the label that may link with them, the audit holds for
+the label, and its recall is returned with the label's rows.
+
+Equal vectors are one node with a weight. Partitions that stay beyond CAP are dealt
+into cells (targets by queries) of at most about CAP each, so no task holds an
 unbounded group, and a cell gives counts and links to one root, never its pairs.
+The overlap is exact: where vectors spread evenly in many dimensions, few are far
+from all borders, and the work then grows faster than the vectors.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite
 components, and those without label or vec_id, link with nothing: no links,
-their own component, kept. Vectors of different lengths don't link. Repeated
-rows are vectors of their own and link. An empty table gives an empty result.
+their own component, kept, no recall. Vectors of different lengths don't link.
+Repeated rows are vectors of their own and link; of rows that share a vec_id each
+counts. Of equal products the first pivot counts. An empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textquarry.llm.common import BROADCAST_ROWS, materialize, table, unit_hash
@@ -40,9 +46,13 @@ QUERY = "op3_embedding"
 
 THRESHOLD = 0.98
 #: Vectors a cell holds, about, on each side.
-CAP = 2048
-#: Pivots a label has at most; beyond CAP * MAX_PIVOTS vectors, partitions grow and are dealt into cells.
-MAX_PIVOTS = 64
+CAP = 8192
+#: Pivots that a partition is cut by at once; larger ones are cut again.
+FANOUT = 64
+#: A partition is cut again if it has at most this share of the one that it was cut from.
+SHRINK = 0.5
+#: Pivots are sent with the tasks up to so many numbers (8 bytes each), and joined to the vectors' groups beyond.
+PIVOT_NUMBERS = 2_000_000
 SHARD, DEGREE, POOL, BEAM, ALPHA = 512, 24, 96, 24, 1.2
 MAX_DEGREES = 2
 AUDIT_EVERY, RECALL, REBUILDS = 50, 0.999, 3
@@ -173,12 +183,18 @@ def range_search(x: np.ndarray, adj: np.ndarray, starts: np.ndarray, q: np.ndarr
     return found
 
 
+FOUND = "node long, linked long, root long, asked long, met long"
+
+
 def cell(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One cell's links: node, its linked weight, and the root of its links here. A row has recall too, of the audited queries."""
+    """One cell's links: node, its linked weight, and the root of its links here; and the audit, in a row without node: links that audited queries have, and those of them that were met."""
     t, q = pdf[~pdf["asks"]], pdf[pdf["asks"]]
-    empty = pd.DataFrame({"node": [], "linked": [], "root": []}).astype("int64")
+    label, dim = pdf["label"].iloc[0], int(pdf["dim"].iloc[0])
+    result = lambda node, linked, root, asked=0, met=0: pd.DataFrame(
+        {"label": [label] * (len(node) + 1), "dim": dim, "node": pd.array([*node, None], "Int64"), "linked": [*linked, 0], "root": pd.array([*root, None], "Int64"), "asked": [0] * len(node) + [asked], "met": [0] * len(node) + [met]}
+    )
     if not len(t) or not len(q):
-        return empty
+        return result([], [], [])
     t = t.sort_values("node", ignore_index=True)
     exact_t, exact_q = (np.stack(d["vector"].to_numpy()).astype(np.float64) for d in (t, q))
     # Scaled first, so that squares of very large or small components stay finite.
@@ -189,22 +205,25 @@ def cell(pdf: pd.DataFrame) -> pd.DataFrame:
     own = np.where((own < len(tn)) & (tn[np.minimum(own, len(tn) - 1)] == qn), own, -1)
     x, y = exact_t.astype(np.float32), exact_q.astype(np.float32)
     audited = np.flatnonzero(qn % AUDIT_EVERY == 0)
-    truth = exact_q[audited] @ exact_t.T >= THRESHOLD
+    truth = [set(np.flatnonzero(exact_t @ exact_q[i] >= THRESHOLD).tolist()) - {int(own[i])} for i in audited]
+    links = sum(map(len, truth))
     degree, pool, beam = DEGREE, POOL, BEAM
-    for _ in range(REBUILDS if truth.any() and WHOLE * len(y) > len(x) else 0):
+    for _ in range(REBUILDS if links and WHOLE * len(y) > len(x) else 0):
         adj, medoids = flat_graph(x, degree, pool)
-        found = np.concatenate([range_search(x, adj, medoids, y[i : i + 512], own[i : i + 512], THRESHOLD - SLACK, beam) for i in range(0, len(y), 512)])
-        if (found[audited] & truth).sum() >= RECALL * truth.sum():
+        parts = [np.nonzero(range_search(x, adj, medoids, y[i : i + 512], own[i : i + 512], THRESHOLD - SLACK, beam)) for i in range(0, len(y), 512)]
+        a, b = _joined(parts)
+        met = _met(a, b, audited, truth)
+        if met >= RECALL * links:
             break
         degree, pool, beam = 2 * degree, 2 * pool, 2 * beam
     else:
-        found = np.concatenate([y[i : i + 512] @ x.T >= THRESHOLD - SLACK for i in range(0, len(y), 512)])
-    a, b = np.nonzero(found)
+        a, b = _joined([np.nonzero(y[i : i + 512] @ x.T >= THRESHOLD - SLACK) for i in range(0, len(y), 512)])
+        met = _met(a, b, audited, truth)
     keep = np.concatenate([np.einsum("pd,pd->p", exact_q[a[i : i + 50_000]], exact_t[b[i : i + 50_000]]) >= THRESHOLD for i in range(0, len(a), 50_000)] or [np.zeros(0, bool)])
     keep &= qn[a] != tn[b]
     a, b = a[keep], b[keep]
     if not len(a):
-        return empty
+        return result([], [], [], links, met)
     linked = np.bincount(a, weights=weight[b], minlength=len(qn)).astype(np.int64)
     # Roots: the smallest label spreads over the links of this cell.
     label_q, label_t = qn.copy(), tn.copy()
@@ -214,32 +233,105 @@ def cell(pdf: pd.DataFrame) -> pd.DataFrame:
         np.minimum.at(label_q, a, label_t[b])
         if (before[0] == label_q).all() and (before[1] == label_t).all():
             break
-    asked, met = np.unique(a), np.unique(b)
-    return pd.DataFrame({"node": np.concatenate([qn[asked], tn[met]]), "linked": np.concatenate([linked[asked], np.zeros(len(met), np.int64)]), "root": np.concatenate([label_q[asked], label_t[met]])})
+    asks, hit = np.unique(a), np.unique(b)
+    return result([*qn[asks], *tn[hit]], [*linked[asks], *np.zeros(len(hit), np.int64)], [*label_q[asks], *label_t[hit]], links, met)
+
+
+def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, row) of blocks of 512 queries."""
+    return np.concatenate([a + 512 * i for i, (a, _) in enumerate(parts)]), np.concatenate([b for _, b in parts])
+
 
+def _met(a: np.ndarray, b: np.ndarray, audited: np.ndarray, truth: list[set[int]]) -> int:
+    """How many of the audited queries' links are among the pairs (a, b), which are sorted by a."""
+    lo, hi = np.searchsorted(a, audited), np.searchsorted(a, audited, "right")
+    return sum(len(own.intersection(b[i:j].tolist())) for own, i, j in zip(truth, lo, hi, strict=True))
 
-def _assign(batches):
-    """Rows by partition: home, and the overlap of the partitions across whose borders a link may reach."""
+
+def assigned(vectors: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, pivot, whether that is the row's own): each row with its nearest pivot, and with those across whose borders a link may reach."""
     # A vector further from the bisector of two pivots than this is linked with none beyond it.
     delta = math.sqrt(1 - THRESHOLD * THRESHOLD) + 1e-9
-    for pdf in batches:
-        out = []
-        for pivots, vector, node, weight, label, dim in zip(pdf["pivots"], pdf["vector"], pdf["node"], pdf["weight"], pdf["label"], pdf["dim"], strict=True):
-            home, near = 0, [0]
-            if pivots is not None and len(pivots) > 1:
-                c = np.stack(pivots).astype(np.float64)
-                c /= np.sqrt((c * c).sum(1, keepdims=True))
-                v = np.asarray(vector, np.float64)
-                s = c @ (v / np.sqrt((v * v).sum()))
-                home = int(s.argmax())
-                reach = np.sqrt(((c - c[home]) ** 2).sum(1)) * delta
-                near = np.flatnonzero(s >= s[home] - reach)
-            out += [(label, dim, int(j), node, weight, vector, bool(j == home)) for j in near]
-        yield pd.DataFrame(out, columns=["label", "dim", "part", "node", "weight", "vector", "home"])
+    c, v = (u / np.abs(u).max(1, keepdims=True) for u in (pivots, vectors))
+    c, v = (u / np.sqrt((u * u).sum(1, keepdims=True)) for u in (c, v))
+    s = v @ c.T
+    home = s.argmax(1)
+    apart = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0)) * delta
+    row, pivot = np.nonzero(s >= s[np.arange(len(v)), home][:, None] - apart[home] - 1e-12)
+    return row, pivot, pivot == home[row]
+
+
+PART = ["label", "dim", "part", "node", "weight", "vector", "home", "above"]
+
+
+def _dealt(pdf: pd.DataFrame, pivots: np.ndarray) -> pd.DataFrame:
+    """Rows of one partition by the partitions that its pivots cut it into."""
+    row, pivot, own = assigned(np.stack(pdf["vector"].to_numpy()).astype(np.float64), pivots)
+    out = pdf.iloc[row].reset_index(drop=True)
+    # The number of a partition is a mix of that of the one it was cut from and of its place.
+    with np.errstate(over="ignore"):
+        number = (out["part"].to_numpy().astype(np.uint64) * np.uint64(FANOUT + 1) + pivot.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    out["part"], out["home"] = number.view(np.int64), out["home"].to_numpy() & own
+    return out
+
+
+def _cut(parts: DataFrame, sizes: DataFrame, cap: int, row: str) -> DataFrame:
+    """parts (with above, the size of what they were cut from) where those that sizes, of one row each, names are cut by pivots of their own."""
+    key = ["label", "dim", "part"]
+    few = sizes.limit(BROADCAST_ROWS // 8 + 1).count() <= BROADCAST_ROWS // 8
+    sized = parts.drop("above").join(F.broadcast(sizes) if few else sizes, key)
+    k = F.least(F.ceil(F.col("above") / cap), F.lit(FANOUT))
+    own = unit_hash(F.col("node"), F.col("part"), seed=3)
+    # Some more than k are drawn, and the first k taken, by an aggregate that holds no more than k of them.
+    drawn = sized.where("home").where(own < F.lit(4.0) * k / F.col("above")).select(*key, F.struct(own.alias("u"), "node", F.col("vector").alias("pivot")).alias("r"), k.cast("int").alias("k"))
+    drawn = drawn.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy("r.u", "r.node"))).where("n <= k")
+    pivots = materialize(drawn.select(*key, "r.pivot"), "vec-pivots")
+    numbers = pivots.agg(F.sum(F.size("pivot"))).first()[0] or 0
+    if numbers <= PIVOT_NUMBERS:
+        by: dict[tuple, list] = {}
+        for r in pivots.sort(*key, "pivot").toLocalIterator():
+            by.setdefault((r["label"], r["dim"], r["part"]), []).append(r["pivot"])
+        by = {k_: np.array(v, np.float64) for k_, v in by.items()}
+
+        def run(batches):
+            for pdf in batches:
+                for key_, own_ in pdf.groupby(key, sort=False):
+                    key_ = (key_[0].item() if hasattr(key_[0], "item") else key_[0], int(key_[1]), int(key_[2]))
+                    yield _dealt(own_, by[key_])[PART] if key_ in by else own_[PART]
+
+        return sized.select(*PART).mapInPandas(run, row)
+    # The vectors of a partition go by a hash to groups of bounded size, each of which gets the pivots.
+    slots = F.ceil(F.col("above") / cap).cast("int")
+    left = sized.withColumn("slot", F.pmod(F.xxhash64(F.lit(7), "node"), slots).cast("int"))
+    right = pivots.join(sizes, key).select(*key, F.explode(F.sequence(F.lit(0), slots - 1)).alias("slot"), "pivot")
+
+    def grouped(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        return _dealt(pdf, np.stack(sorted(own["pivot"], key=tuple)).astype(np.float64))[PART] if len(own) and len(pdf) else pdf[PART]
+
+    return left.groupBy(*key, "slot").cogroup(right.groupBy(*key, "slot")).applyInPandas(grouped, row)
+
+
+def _parted(nodes: DataFrame, cap: int) -> DataFrame:
+    """nodes by partition: home ones, whose own partition it is, and the overlap."""
+    key = ["label", "dim", "part"]
+    row = f"label {dict(nodes.dtypes)['label']}, dim int, part long, node long, weight long, vector array<double>, home boolean, above long"
+    parts = nodes.select("label", "dim", F.lit(0).cast("long").alias("part"), "node", "weight", F.col("vector").cast("array<double>").alias("vector"), F.lit(True).alias("home"), F.lit(2**62).cast("long").alias("above"))
+    done: list[DataFrame] = []
+    while True:
+        sizes = materialize(parts.groupBy(*key).agg(F.count("*").alias("n"), F.first("above").alias("above")), "vec-sizes")
+        large = sizes.where((F.col("n") > cap) & (F.col("n") <= F.col("above") * SHRINK)).select(*key, F.col("n").alias("above"))
+        if large.isEmpty():
+            break
+        few = large.limit(BROADCAST_ROWS // 8 + 1).count() <= BROADCAST_ROWS // 8
+        done.append(parts.join(F.broadcast(large.select(*key)) if few else large.select(*key), key, "left_anti"))
+        parts = materialize(_cut(parts, large, cap, row), "vec-parts")
+    for p in done:
+        parts = parts.unionByName(p)
+    return parts.drop("above")
 
 
 def near_duplicates(embeddings: DataFrame, cap: int = CAP) -> DataFrame:
-    """vec_id, n_links, component_id, kept, one row for each of embeddings."""
+    """vec_id, n_links, component_id, kept, recall (audited, of the label; 1 where no audited vector has links), one row for each of embeddings."""
     v = F.col("embedding")
     fine = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0)
     usable = F.coalesce(fine & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False))
@@ -247,40 +339,32 @@ def near_duplicates(embeddings: DataFrame, cap: int = CAP) -> DataFrame:
     nodes = keyed.where("usable").groupBy("label", "k1", "k2").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"), F.first("embedding").alias("vector"))
     nodes = materialize(nodes.withColumn("dim", F.size("vector")), "vec-nodes")
 
-    classes = nodes.groupBy("label", "dim").agg(F.count("*").alias("n"))
-    classes = materialize(classes.withColumn("k", F.least(F.ceil(F.col("n") / cap), F.lit(MAX_PIVOTS))), "vec-classes")
-    few = classes.limit(BROADCAST_ROWS // 8 + 1).count() <= BROADCAST_ROWS // 8
-    hint = lambda df: F.broadcast(df) if few else df
-    chosen = nodes.join(hint(classes.where("k > 1")), ["label", "dim"]).where(unit_hash(F.col("node"), seed=3) < F.col("k") / F.col("n"))
-    pivots = materialize(chosen.groupBy("label", "dim").agg(F.collect_list("vector").alias("pivots")), "vec-pivots")
-    # A label's pivots are at most about MAX_PIVOTS vectors; labels with any have more than cap vectors each.
-    light = (pivots.agg(F.sum(F.size("pivots"))).first()[0] or 0) <= 16 * MAX_PIVOTS
-    with_pivots = nodes.join(F.broadcast(pivots) if light else pivots, ["label", "dim"], "left")
-    row = f"label {dict(nodes.dtypes)['label']}, dim int, part int, node long, weight long, vector array<double>, home boolean"
-    parts = materialize(with_pivots.select("label", "dim", "node", "weight", F.col("vector").cast("array<double>").alias("vector"), F.col("pivots").cast("array<array<double>>").alias("pivots")).mapInPandas(_assign, row), "vec-parts")
-
-    sizes = parts.groupBy("label", "dim", "part").agg(F.count("*").alias("n")).withColumn("cells", F.ceil(F.col("n") / cap).cast("int")).drop("n")
-    few_parts = classes.agg(F.sum("k")).first()[0] or 0
-    parts = parts.join(F.broadcast(sizes) if few_parts <= BROADCAST_ROWS // 8 else sizes, ["label", "dim", "part"])
+    key = ["label", "dim", "part"]
+    parts = _parted(nodes, cap)
+    sizes = materialize(parts.groupBy(*key).agg(F.ceil(F.count("*") / cap).cast("int").alias("cells")), "vec-cells")
+    few = sizes.limit(BROADCAST_ROWS // 8 + 1).count() <= BROADCAST_ROWS // 8
+    parts = parts.join(F.broadcast(sizes) if few else sizes, key)
     own = F.pmod(F.xxhash64(F.lit(5), "node"), F.col("cells")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
-    keep = ["label", "dim", "part", "node", "weight", "vector"]
+    keep = [*key, "node", "weight", "vector"]
     targets = parts.select(*keep, own.alias("t"), every.alias("q"), F.lit(False).alias("asks"))
     asking = parts.where("home").select(*keep, every.alias("t"), own.alias("q"), F.lit(True).alias("asks"))
-    found = targets.unionByName(asking).groupBy("label", "dim", "part", "t", "q").applyInPandas(cell, "node long, linked long, root long")
+    found = targets.unionByName(asking).groupBy(*key, "t", "q").applyInPandas(cell, f"label {dict(nodes.dtypes)['label']}, dim int, {FOUND}")
     found = materialize(found, "vec-found")
 
-    links = found.groupBy("node").agg(F.sum("linked").alias("linked"))
-    roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    by_node = nodes.select("label", "k1", "k2", "node", "weight").join(links, "node", "left").join(roots, "node", "left")
-    by_node = by_node.select("label", "k1", "k2", (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
+    links = found.where("node IS NOT NULL").groupBy("node").agg(F.sum("linked").alias("linked"))
+    roots = components(found.where("node IS NOT NULL").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    audit = found.groupBy("label", "dim").agg(F.when(F.sum("asked") > 0, F.sum("met") / F.sum("asked")).otherwise(1.0).alias("recall"))
+    audit = F.broadcast(audit) if few else audit
+    by_node = nodes.join(audit, ["label", "dim"]).select("label", "k1", "k2", "node", "weight", "recall").join(links, "node", "left").join(roots, "node", "left")
+    by_node = by_node.select("label", "k1", "k2", (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("component_id"), "recall")
     out = keyed.select("vec_id", "label", "k1", "k2", "usable").join(by_node.withColumn("usable", F.lit(True)), ["label", "k1", "k2", "usable"], "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"), "recall")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "embeddings"))
+    return near_duplicates(table(spark, sf_dir, "embeddings")).drop("recall")
 
 
 ORACLE_SQL = f"""
