@@ -1,23 +1,27 @@
 """Mixing sources to target weights by Pareto order sampling, on DataFrame operations only.
 
-Every document gets ``c = ratio * weight / mean weight`` expected copies, where
-ratio is its source's target over its size. The whole part of ``c`` is certain;
-the fraction is the document's inclusion probability ``p`` in a Pareto sample
-(Rosen 1997): documents are ranked by ``odds(u) / odds(p)`` with a repeatable
-uniform ``u``, and the sample is the longest head of that order that fits the
-words left after the certain copies. The order is gone down further, past the
-documents that do not fit, until nothing fits; then the document whose size fits
-the last gap best is added if that brings the source nearer its target. The query
-adds FILLS best fitting documents at most before it goes down, as its SQL does.
-
-No source is ever gathered in one task: the head is found from a histogram of
-ranks (map-side summed, at most BUCKETS rows a source), and only the documents
-of the one bucket in which the head ends are sorted.
+Every document gets ``c = min(MAX_COPIES, price * weight)`` expected copies; the
+price is its source's own, such that the expected words are the source's target.
+The weight is the number of binary digits of the document's size, so that of two
+documents of a source the one twice as long is somewhat likelier (or a column's
+value). The whole part of ``c`` is certain; the fraction is the document's inclusion
+probability ``p`` in a Pareto sample (Rosen 1997): documents are ranked by
+``odds(u) / odds(p)`` with a repeatable uniform ``u``, and the sample is the longest
+head of that order that fits the words left after the certain copies. The order is
+gone down further, past the documents that do not fit, until nothing fits; then
+the document whose size fits the last gap best is added if that brings the source
+nearer its target.
+
+No source is ever gathered in one task: the head is found from histograms of
+ranks (map-side summed, FINE rows a source, first of coarse buckets and then within
+one of these), and only the documents of the one bucket in which the head ends are
+sorted.
 
 Defined cases: a null text has size 0; a null source is a source of its own,
 last in order; documents of size 0 take 0 words; rows that share doc_id and
-source share their rank and are taken together; an empty table gives an empty
-result; a null doc_id counts as an empty one in the hash.
+source share their rank and are taken together, and of equal ranks the smaller
+doc_id goes first; an empty table gives an empty result; a null doc_id counts as
+an empty one in the hash; of other columns only weight_col is read.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import BROADCAST_ROWS, WORD, materialize, table
+from textquarry.llm.common import BROADCAST_ROWS, WORD, materialize, release, table
 
 QUERY = "op9_mixing"
 
@@ -33,10 +37,8 @@ QUERY = "op9_mixing"
 WEIGHTS = (5, 2, 1)
 #: No document is taken more often, and no target exceeds this many times its source.
 MAX_COPIES = 3
-#: Ranks of a source are counted in so many buckets before the last is sorted.
-BUCKETS = 65_536
-#: Documents that the query adds one by one to the head before it goes down the order, fixed by its SQL.
-FILLS = 4
+#: Ranks of a source are counted in FINE coarse buckets, and in one of these in FINE fine ones, before the last is sorted.
+FINE = 256
 SEED = "mix-1"
 
 
@@ -83,35 +85,72 @@ def allot(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: in
     return sources.withColumn("target", F.when(F.col("share") * F.lit(price) > cap, cap.cast("double")).otherwise(F.col("share") * F.lit(price)))
 
 
-def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, weight_col: str | None = None, buckets: int = BUCKETS, fills: int = 0) -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target, copies, taken. weight_col (positive, optional) makes copies unequal within a source."""
-    w = F.lit(1.0) if weight_col is None else F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0))
-    sizes = materialize(documents.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), w.alias("w"), _uniform().alias("u")), "mix-sizes")
-    sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("w")).alias("weighed"))
-    sources = materialize(allot(sources, weights, max_copies), "mix-targets")
+def _priced(sizes: DataFrame, sources: DataFrame, max_copies: int) -> DataFrame:
+    """(source, w, c): the copies that a document of weight w can expect, so that the source's words come to its target.
 
-    c = F.when(F.col("weighed") > 0, F.least(F.lit(float(max_copies)), F.col("target") / F.col("weighed") * F.col("w"))).otherwise(0.0)
-    docs = _join(sizes, sources).withColumn("c", c).withColumn("whole", F.floor("c")).withColumn("p", F.col("c") - F.col("whole"))
+    Classes of a source that would go beyond max_copies are cut there and the rest is shared anew. The price only rises, so the loop ends when no more are cut.
+    """
+    classes = materialize(_join(sizes.groupBy("source", "w").agg(F.sum("size").alias("words")), sources.select("source", "target")).withColumn("price", F.lit(0.0)), "mix-classes")
+    before = -1
+    while True:
+        cut = F.col("price") * F.col("w") > max_copies
+        sums = classes.groupBy("source").agg(
+            F.first("target").alias("target"), F.sum(F.when(cut, F.col("words")).otherwise(0)).alias("capped"), F.sum(F.when(cut, 0).otherwise(F.col("words") * F.col("w"))).alias("free"), F.sum(cut.cast("int")).alias("n"), F.first("price").alias("price"))
+        sums = materialize(sums, "mix-prices")
+        n = sums.agg(F.sum("n")).first()[0] or 0
+        if n == before:
+            break
+        before = n
+        price = F.when(F.col("free") > 0, (F.col("target") - max_copies * F.col("capped")) / F.col("free")).otherwise(F.col("price"))
+        after = materialize(_join(classes.drop("price"), sums.select("source", "capped", "free", "price")).withColumn("price", price).drop("capped", "free"), "mix-classes")
+        release(classes, sums)
+        classes = after
+    # On a grid of 2**-32, so that what is whole but for the last bits of a double is whole.
+    copies = F.floor(F.least(F.lit(float(max_copies)), F.col("price") * F.col("w")) * F.lit(float(2**32)) + 0.5) / F.lit(float(2**32))
+    return classes.select("source", "w", copies.alias("c"))
+
+
+def _ends(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """(source, budget, cross, base) for each source of limits (source, budget): the bucket in which the running size of its rows (source, bucket, size) goes beyond the budget, null if it never does, and the size before that bucket."""
+
+    def crossed(counts: DataFrame, bucket: str) -> DataFrame:
+        upto = F.col("base") + F.sum("size").over(Window.partitionBy("source").orderBy(bucket))
+        over = F.col("upto") > F.col("budget")
+        counts = counts.withColumn("upto", upto)
+        return counts.groupBy("source").agg(F.first("budget").alias("budget"), F.min(F.when(over, F.col(bucket))).alias("cross"), F.coalesce(F.max(F.when(~over, F.col("upto"))), F.first("base")).alias("base"))
+
+    coarse = F.floor(F.col("bucket") / FINE)
+    counts = _join(rows.groupBy("source", coarse.alias("coarse")).agg(F.sum("size").alias("size")), limits.withColumn("base", F.lit(0).cast("long")))
+    first = materialize(crossed(counts, "coarse"), "mix-coarse")
+    at = first.where("cross IS NOT NULL")
+    inner = _join(rows, at.select("source", F.col("cross").alias("_c"))).where(coarse == F.col("_c")).groupBy("source", "bucket").agg(F.sum("size").alias("size"))
+    fine = crossed(_join(inner, at.select("source", "budget", "base")), "bucket")
+    found = first.where("cross IS NULL").unionByName(fine)
+    right = found.select(F.col("source").alias("_s"), "cross", "base")
+    return limits.join(right, F.col("source").eqNullSafe(F.col("_s")), "left").select("source", "budget", "cross", F.coalesce("base", F.lit(0)).cast("long").alias("base"))
+
+
+def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, weight_col: str | None = None) -> DataFrame:
+    """One row a document: doc_id, source, size, source_size, target, copies, taken. weight_col: positive weights in place of the sizes' binary digits; null counts as 1."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    w = F.length(F.bin("size")).cast("long") if weight_col is None else F.coalesce(F.col("w").cast("double"), F.lit(1.0))
+    given = [] if weight_col is None else [F.col(weight_col).alias("w")]
+    sizes = materialize(documents.select("doc_id", "source", size.alias("size"), *given, _uniform().alias("u")).withColumn("w", w), "mix-sizes")
+    sources = materialize(allot(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_copies), "mix-targets")
+
+    classes = materialize(_priced(sizes, sources, max_copies), "mix-copies").withColumnsRenamed({"source": "_s", "w": "_w"})
+    few = classes.limit(BROADCAST_ROWS // 4 + 1).count() <= BROADCAST_ROWS // 4
+    docs = sizes.join(F.broadcast(classes) if few else classes, F.col("source").eqNullSafe(F.col("_s")) & (F.col("w") == F.col("_w"))).drop("_s", "_w")
+    docs = _join(docs, sources).withColumn("whole", F.floor("c")).withColumn("p", F.col("c") - F.col("whole"))
     odds = lambda p: p / (F.lit(1.0) - p)
     docs = docs.withColumn("q", F.when(F.col("p") > 0, odds(F.col("u")) / odds(F.col("p"))))
-    # A non-decreasing function of q that is u itself where all weights are equal.
-    even = F.col("target") / F.col("source_size")
-    even = even - F.floor(even)
-    scale = F.when((even > 0) & (even < 1), odds(even)).otherwise(1.0)
-    docs = docs.withColumn("bucket", F.floor((F.lit(1.0) - F.lit(1.0) / (F.lit(1.0) + F.col("q") * scale)) * buckets))
+    # A non-decreasing function of q, between 0 and 1.
+    docs = docs.withColumn("bucket", F.floor((F.lit(1.0) - F.lit(1.0) / (F.lit(1.0) + F.col("q"))) * (FINE * FINE)))
+    docs = materialize(docs.select("doc_id", "source", "size", "source_size", "target", "whole", "q", "bucket"), "mix-ranks")
 
     # Where the head ends in each source.
-    counts = docs.groupBy("source", "bucket").agg(F.sum("size").alias("size"), F.sum(F.col("whole") * F.col("size")).alias("sure"))
-    order = Window.partitionBy("source").orderBy(F.asc_nulls_first("bucket"))
-    ranked = F.when(F.col("bucket").isNotNull(), F.col("size")).otherwise(0)
-    ends = counts.withColumn("upto", F.sum(ranked).over(order)).withColumn("all_sure", F.sum("sure").over(Window.partitionBy("source")))
-    ends = _with_budget(ends, sources)
-    over = F.col("bucket").isNotNull() & (F.col("upto") > F.col("budget"))
-    ends = ends.groupBy("source").agg(
-        F.first("budget").alias("budget"), F.min(F.when(over, F.col("bucket"))).alias("cross"),
-        F.coalesce(F.max(F.when(~over & F.col("bucket").isNotNull(), F.col("upto"))), F.lit(0)).alias("base"))
-    ends = materialize(ends, "mix-ends")
-
+    budget = docs.groupBy("source").agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("budget"))
+    ends = materialize(_ends(docs.where("q IS NOT NULL"), materialize(budget, "mix-budgets")), "mix-ends")
     docs = _join(docs, ends)
     at = F.col("bucket") == F.col("cross")
     running = F.col("base") + F.sum("size").over(Window.partitionBy("source").orderBy("q", "doc_id").rangeBetween(Window.unboundedPreceding, Window.currentRow))
@@ -119,32 +158,23 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: in
     rest = docs.where(~F.coalesce(at, F.lit(False))).withColumn("upto", F.lit(0).cast("long")).withColumn("head", F.col("q").isNotNull() & (F.col("cross").isNull() | (F.col("bucket") < F.col("cross"))))
     docs = materialize(edge.unionByName(rest).select("doc_id", "source", "size", "source_size", "target", "whole", "q", "bucket", "head", "upto", "budget", "base"), "mix-heads")
 
-    # The last gap, and the documents that fit it best, one after the other.
+    # The last gap: down the order past what does not fit, and the one document that fits the rest best.
     used = docs.groupBy("source").agg(F.first("budget").alias("budget"), F.greatest(F.first("base"), F.coalesce(F.max(F.when(F.col("head"), F.col("upto"))), F.lit(0))).alias("used"))
     gaps = materialize(used.select("source", (F.col("budget") - F.col("used")).alias("gap")), "mix-gaps")
     docs = docs.select("doc_id", "source", "size", "source_size", "target", "whole", "q", "bucket", F.coalesce("head", F.lit(False)).alias("head"))
-    for _ in range(fills):
-        docs, gaps, more = _filled(docs, gaps)
-        if not more:
-            break
-    else:
-        docs, gaps, more = _walked(docs, gaps)
-        if more or not fills:
-            docs, gaps, _ = _filled(docs, gaps)
+    docs, gaps = _walked(docs, gaps)
+    docs = _filled(docs, gaps)
     copies = F.col("whole") + F.col("head").cast("long")
     return docs.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
-def _filled(docs: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
-    """docs and gaps with the best fitting document of each source added, and whether there was any."""
+def _filled(docs: DataFrame, gaps: DataFrame) -> DataFrame:
+    """docs with the best fitting document of each source added."""
     miss = F.abs(F.col("gap") - F.col("size"))
     beyond = _join(docs.where(F.col("q").isNotNull() & ~F.col("head")), gaps).where(miss < F.col("gap"))
-    fits = beyond.groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "q", "doc_id", "size")).alias("fit"))
-    if (fits := materialize(fits, "mix-fits")).isEmpty():
-        return docs, gaps, False
-    gaps = materialize(_less(gaps, fits.select("source", F.col("fit.size").alias("used"))), "mix-gaps")
+    fits = materialize(beyond.groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "q", "doc_id", "size")).alias("fit")), "mix-fits")
     fitting = F.coalesce((F.col("q") == F.col("fit.q")) & F.col("doc_id").eqNullSafe(F.col("fit.doc_id")), F.lit(False))
-    return _join(docs, fits, "left").withColumn("head", F.col("head") | fitting).drop("fit"), gaps, True
+    return _join(docs, fits, "left").withColumn("head", F.col("head") | fitting).drop("fit")
 
 
 def _less(gaps: DataFrame, used: DataFrame) -> DataFrame:
@@ -153,35 +183,27 @@ def _less(gaps: DataFrame, used: DataFrame) -> DataFrame:
     return gaps.join(right, F.col("source").eqNullSafe(F.col("_s")), "left").select("source", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap"))
 
 
-def _walked(docs: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
-    """docs and gaps with all taken that fit when the order is gone down past what does not, and whether a source had such documents.
+def _walked(docs: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs and gaps with all taken that fit when the order is gone down past what does not.
 
     A pass takes the head of what still fits, by buckets as the first head was;
     the next leaves out what is larger than the new gap, so each source takes at
     least one document a pass, and seldom needs many. Rows of one doc_id count together.
     """
-    walked = False
     while True:
-        rows = _join(docs.where(F.col("q").isNotNull() & ~F.col("head") & (F.col("size") > 0)), gaps)
-        open_ = materialize(rows.where(F.col("size") <= F.col("gap")).groupBy("source").agg(F.first("gap").alias("gap")), "mix-open")
-        if open_.isEmpty():
-            return docs, gaps, walked
-        groups = _join(docs.where(F.col("q").isNotNull() & ~F.col("head") & (F.col("size") > 0)), open_).groupBy("source", "bucket", "q", "doc_id").agg(F.sum("size").alias("size"), F.first("gap").alias("gap"))
-        groups = materialize(groups.where(F.col("size") <= F.col("gap")), "mix-groups")
+        rows = _join(docs.where(F.col("q").isNotNull() & ~F.col("head") & (F.col("size") > 0)), gaps).where(F.col("size") <= F.col("gap"))
+        groups = materialize(rows.groupBy("source", "bucket", "q", "doc_id").agg(F.sum("size").alias("size"), F.first("gap").alias("gap")).where(F.col("size") <= F.col("gap")), "mix-groups")
         if groups.isEmpty():
-            return docs, gaps, walked
-        walked = True
-        upto = F.sum("size").over(Window.partitionBy("source").orderBy("bucket"))
-        ends = groups.groupBy("source", "bucket").agg(F.sum("size").alias("size"), F.first("gap").alias("gap")).withColumn("upto", upto)
-        over = F.col("upto") > F.col("gap")
-        ends = materialize(ends.groupBy("source").agg(F.min(F.when(over, F.col("bucket"))).alias("cross"), F.coalesce(F.max(F.when(~over, F.col("upto"))), F.lit(0)).alias("base")), "mix-ends")
-        groups = _join(groups, ends)
+            return docs, gaps
+        open_ = materialize(groups.groupBy("source").agg(F.first("gap").alias("budget")), "mix-open")
+        ends = materialize(_ends(groups, open_), "mix-ends")
+        groups = _join(groups.drop("gap"), ends)
         running = F.col("base") + F.sum("size").over(Window.partitionBy("source").orderBy("q", "doc_id"))
-        edge = groups.where(F.col("bucket") == F.col("cross")).withColumn("upto", running).where(F.col("upto") <= F.col("gap"))
+        edge = groups.where(F.col("bucket") == F.col("cross")).withColumn("upto", running).where(F.col("upto") <= F.col("budget"))
         last = materialize(edge.groupBy("source").agg(F.max(F.struct("q", "doc_id")).alias("last"), F.max("upto").alias("upto")), "mix-lasts")
         ends = materialize(_join(ends, last, "left").select("source", "cross", "last", F.coalesce("upto", "base").alias("used")), "mix-taken")
         taken = F.col("cross").isNull() | (F.col("bucket") < F.col("cross")) | ((F.col("bucket") == F.col("cross")) & (F.struct("q", "doc_id") <= F.col("last")))
-        got = _join(groups.drop("cross", "base"), ends).where(F.coalesce(taken, F.lit(False))).select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.lit(True).alias("_got"))
+        got = _join(groups.drop("cross", "base", "budget"), ends).where(F.coalesce(taken, F.lit(False))).select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.lit(True).alias("_got"))
         got = materialize(got, "mix-got")
         small = got.limit(BROADCAST_ROWS // 4 + 1).count() <= BROADCAST_ROWS // 4
         docs = docs.join(F.broadcast(got) if small else got, F.col("source").eqNullSafe(F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
@@ -189,24 +211,12 @@ def _walked(docs: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame, boo
         gaps = materialize(_less(gaps, ends.select("source", "used")), "mix-gaps")
 
 
-def _with_budget(counts: DataFrame, sources: DataFrame) -> DataFrame:
-    """counts with budget: the target's words that the certain copies leave."""
-    return _join(counts, sources.select("source", "target")).withColumn("budget", F.col("target") - F.col("all_sure"))
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"), fills=FILLS).select("doc_id", "size", "source_size", "target", "taken")
-
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
-_FITS = "q IS NOT NULL AND NOT head AND abs(gap - size) < gap"
-_FILLS = ",\n".join(
-    f"f{i} AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN {_FITS} THEN 0 ELSE 1 END, abs(gap - size), q, doc_id) = 1 AND {_FITS} AS fits FROM g{i}),\n"
-    f"g{i + 1} AS (SELECT * EXCLUDE (head, gap, fits), head OR fits AS head, gap - coalesce(sum(size) FILTER (fits) OVER (PARTITION BY source), 0) AS gap FROM f{i})"
-    for i in range(FILLS)
-)
 
 ORACLE_SQL = rf"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
          (('0x' || substr(md5('{SEED}:' || doc_id), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
   FROM documents),
@@ -221,13 +231,29 @@ s2 AS (
 s3 AS (SELECT *, (total - capped)::DOUBLE / (all_w - capped_w)::DOUBLE AS price FROM s2),
 p AS (SELECT min_by(price, k) AS price FROM s3 WHERE price * w <= cap),
 s AS (SELECT source, source_size, CASE WHEN w * p.price > cap THEN cap::DOUBLE ELSE w * p.price END AS target FROM s3, p),
-c AS (
-  SELECT d.*, s.source_size, s.target, CASE WHEN s.source_size > 0 THEN least({MAX_COPIES}::DOUBLE, s.target / s.source_size::DOUBLE) ELSE 0 END AS c
-  FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
-r AS (SELECT *, floor(c)::BIGINT AS whole, c - floor(c) AS p FROM c),
-q AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q, target - sum(whole * size) OVER (PARTITION BY source) AS budget FROM r),
-h AS (SELECT *, CASE WHEN q IS NOT NULL THEN sum(CASE WHEN q IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q NULLS FIRST, doc_id) <= budget ELSE FALSE END AS head FROM q),
-g0 AS (SELECT *, budget - sum(CASE WHEN head THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM h),
-{_FILLS}
-SELECT doc_id, size, source_size, target, ((whole + CASE WHEN head THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM g{FILLS}
+-- Classes of a source by binary digits of the size; the widest are cut first.
+c0 AS (SELECT source, length(bin(size)) AS w, sum(size)::BIGINT AS words FROM d GROUP BY ALL),
+c1 AS (
+  SELECT c0.*, s.target, row_number() OVER o AS k, coalesce(sum(words) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+         sum(words * c0.w) OVER (PARTITION BY c0.source ORDER BY c0.w DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free
+  FROM c0 JOIN s ON c0.source IS NOT DISTINCT FROM s.source WINDOW o AS (PARTITION BY c0.source ORDER BY c0.w DESC)),
+c2 AS (SELECT *, (target - {MAX_COPIES} * capped::DOUBLE) / free::DOUBLE AS price FROM c1 WHERE free > 0),
+c3 AS (SELECT source, min_by(price, k) AS price FROM c2 WHERE price * w <= {MAX_COPIES} * (1 + 1e-12::DOUBLE) GROUP BY source),
+r AS (
+  SELECT d.*, s.source_size, s.target, floor(least({MAX_COPIES}::DOUBLE, coalesce(c3.price, 0) * length(bin(size))) * 4294967296::DOUBLE + 0.5::DOUBLE) / 4294967296::DOUBLE AS c
+  FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source LEFT JOIN c3 ON d.source IS NOT DISTINCT FROM c3.source),
+q AS (SELECT *, floor(c)::BIGINT AS whole, CASE WHEN c > floor(c) THEN (u / (1 - u)) / ((c - floor(c)) / (1 - (c - floor(c)))) END AS q FROM r),
+o AS MATERIALIZED (
+  SELECT *, target - sum(whole * size) OVER (PARTITION BY source) AS budget, row_number() OVER (PARTITION BY source ORDER BY q NULLS LAST, doc_id) AS n, dense_rank() OVER (ORDER BY source NULLS LAST) AS g FROM q),
+-- Down the order of each source: what fits is taken.
+w AS (
+  SELECT g, 0::BIGINT AS n, any_value(budget) AS gap, NULL::BIGINT AS doc_id, FALSE AS head FROM o GROUP BY g
+  UNION ALL
+  SELECT o.g, o.n, CASE WHEN o.size <= w.gap THEN w.gap - o.size ELSE w.gap END, o.doc_id, o.size <= w.gap FROM w JOIN o ON o.g = w.g AND o.n = w.n + 1 WHERE o.q IS NOT NULL),
+e AS (SELECT g, min_by(gap, -n) AS gap FROM w GROUP BY g),
+f AS (
+  SELECT o.*, coalesce(w.head, FALSE) AS head, e.gap, q IS NOT NULL AND NOT coalesce(w.head, FALSE) AND abs(e.gap - size) < e.gap AS fits
+  FROM o JOIN e USING (g) LEFT JOIN w ON w.g = o.g AND w.n = o.n AND w.n > 0),
+l AS (SELECT *, fits AND row_number() OVER (PARTITION BY g ORDER BY CASE WHEN fits THEN 0 ELSE 1 END, abs(gap - size), q, doc_id) = 1 AS last FROM f)
+SELECT doc_id, size, source_size, target, ((whole + CASE WHEN head OR last THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM l
 """
