@@ -26,9 +26,12 @@ With ROWS = 5 and 40 bands a pair at 0.85 shares a band with a chance of
 1 - (1 - 0.85**5)**40, all but 7e-11.
 
 Defined cases: null and blank texts have no shingles and link with nothing; a
-text of fewer words than the shingle is one shingle; repeated rows get the
-same result, each; a null doc_id links with nothing, its component is null and it
-is kept; an empty table gives an empty result.
+text of fewer words than the shingle is one shingle; a text of any length is
+numbered in pieces; repeated rows get the same result, each; rows that share a
+doc_id but not their set are documents of their own, and a component is named by
+its smallest doc_id all the same; a null doc_id links with nothing, its component
+is null and it is kept; of equal bands or estimates all are looked at; an empty
+table gives an empty result; no column but doc_id and text is read.
 """
 
 from __future__ import annotations
@@ -42,8 +45,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.bytewords import U, Words, blocks, mixed
-from textquarry.llm.common import bounded_batches, materialize, semi_join, table
+from textquarry.llm.bytewords import PIECE, U, Words, blocks, mixed
+from textquarry.llm.common import bounded_batches, materialize, release, semi_join, table
 from textquarry.llm.graph import components
 
 QUERY = "op8_minhash"
@@ -85,8 +88,10 @@ def shingle_sets(texts: list[str | None], k: int = SHINGLE) -> Iterator[np.ndarr
 
 def _rolled(n: np.ndarray, k: int) -> np.ndarray:
     out = np.zeros(max(len(n) - k + 1, 0), np.uint64)
-    for i in range(k):
-        out = mixed(out * U(0xD6E8FEB86659FD93) + n[i : i + len(out)])
+    for at in range(0, len(out), PIECE):
+        part = out[at : at + PIECE]
+        for i in range(k):
+            part[:] = mixed(part * U(0xD6E8FEB86659FD93) + n[at + i : at + i + len(part)])
     return out
 
 
@@ -95,12 +100,13 @@ _PATHS = np.argsort(np.random.default_rng(8).random((REGISTERS, REGISTERS)), axi
 
 def registers(s: np.ndarray) -> np.ndarray:
     """uint16 registers of a non-empty set: leading zeros of the smallest hash, then its next MANTISSA bits."""
-    at = ((mixed(s ^ _SALT) >> U(32)) * U(REGISTERS) >> U(32)).astype(np.int64)
-    value = mixed(s + _SALT) | U(1)
     least = np.full(REGISTERS, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(least, at, value)
     filled = np.zeros(REGISTERS, bool)
-    filled[at] = True
+    for i in range(0, len(s), PIECE):
+        part = s[i : i + PIECE]
+        at = ((mixed(part ^ _SALT) >> U(32)) * U(REGISTERS) >> U(32)).astype(np.int64)
+        np.minimum.at(least, at, mixed(part + _SALT) | U(1))
+        filled[at] = True
     zeros = 63 - np.frexp(least.astype(np.float64))[1].astype(np.int64) + 1
     zeros = np.clip(zeros, 0, 62)
     body = (least << (zeros + 1).astype(np.uint64)) >> U(64 - MANTISSA)
@@ -142,7 +148,8 @@ def _sketch(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             k1.append(int(np.bitwise_xor.reduce(s, initial=0)) - 2**63)
             k2.append(int(np.add.reduce(mixed(s + U(1)), initial=np.uint64(0))) - 2**63)
             reg.append(registers(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(reg, pa.binary())], ["doc_id", "n", "k1", "k2", "reg"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id").cast(pa.int64()), batch.column("key"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(reg, pa.binary())], ["doc_id", "key", "n", "k1", "k2", "reg"])
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,9 +232,31 @@ def _verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, k: int,
 
 
 def near_duplicates(documents: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, one row for each of documents. k: words of a shingle; threshold: percent."""
+    """doc_id, key (a hash of the text), n_shingles, component_id, kept, one row for each of documents. k: words of a shingle; threshold: percent."""
     bounded_batches(documents.sparkSession)
-    sketches = materialize(documents.select("doc_id", "text").mapInArrow(partial(_sketch, k=k), "doc_id long, n long, k1 long, k2 long, reg binary"), "near-sketches")
+    documents = documents.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    sketches = _sketches(documents, k)
+    of_id = sketches.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("k1").alias("a"), F.max("k1").alias("b"), F.min("k2").alias("c"), F.max("k2").alias("d"))
+    if of_id.where("a <> b OR c <> d").isEmpty():
+        return _near_duplicates(documents, sketches, k, threshold)
+    # Ids don't tell the documents apart: rows get numbers, and components are renamed by their smallest id.
+    release(sketches)
+    rows = materialize(documents.withColumn("row", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())), "near-rows")
+    numbered = rows.select(F.col("row").alias("doc_id"), "text", "key")
+    found = _near_duplicates(numbered, _sketches(numbered, k), k, threshold).select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("root"))
+    found = materialize(rows.where("row IS NOT NULL").select("row", "doc_id", "key").join(found, "row"), "near-numbered")
+    names = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    out = found.join(names, "root").select("doc_id", "key", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    rest = _sketches(rows.where("row IS NULL").select("doc_id", "text", "key"), k)
+    return out.unionByName(rest.select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
+
+
+def _sketches(documents: DataFrame, k: int) -> DataFrame:
+    return materialize(documents.select("doc_id", "text", "key").mapInArrow(partial(_sketch, k=k), "doc_id long, key long, n long, k1 long, k2 long, reg binary"), "near-sketches")
+
+
+def _near_duplicates(documents: DataFrame, sketches: DataFrame, k: int, threshold: int) -> DataFrame:
+    """The same for documents whose ids stand for one set each."""
     linkable = sketches.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     copies = linkable.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node"))
     copies = materialize(copies, "near-copies")
@@ -268,7 +297,7 @@ def near_duplicates(documents: DataFrame, k: int = SHINGLE, threshold: int = THR
     out = sketches.drop("reg").join(by_copy, ["k1", "k2", "n"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     out = out.withColumn("component_id", component)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -278,7 +307,7 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("key")
 
 
 #: All pairs of sets through an inverted list of shingles, and components by label spreading.
