@@ -18,8 +18,11 @@ so the pairs of terms and entities grow with the mentions, never with the square
 of a document or of a group.
 
 Defined cases: a null text is empty and has no spans, but its row stays; rows
-that repeat a doc_id and text give equal results; an empty table gives an empty
-result; without candidate pairs no term is added.
+that repeat a doc_id and text give equal results and count as one document in c and
+n_e; of spans that start together the kind that is listed first comes first; a text
+of any length is one row, and only texts with personal data are split into words;
+all columns are carried in ``row``, whatever they are called; an empty table gives
+an empty result; without candidate pairs no term is added.
 """
 
 from __future__ import annotations
@@ -177,8 +180,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.col("found")
     base = F.filter(found, lambda s: s["ord"] < BASE)
     return detect(table(spark, sf_dir, "documents")).select(
-        "doc_id", *(count(found, i).alias(f"n_{KINDS[i]}") for i in range(BASE)), F.sha2(render(base, KINDS), 256).alias("base_sha256"), render(found, KINDS).alias("spans"))
+        "doc_id", *(count(found, i).alias(f"n_{KINDS[i]}") for i in range(BASE)), F.sha2(render(base, KINDS), 256).alias("base_sha256"), render(found, KINDS).alias("spans"),
+        F.size(base).cast("long").alias("n_base"), (F.size(found) - F.size(base)).cast("long").alias("n_added"))
 
 
-#: The estimate and its windows are tested against a brute-force version instead.
+#: The base spans, the estimate with its windows, and the spans it adds are tested against brute-force versions.
 ORACLE_SQL = None

@@ -9,7 +9,9 @@ are matched against the rule. A rule without a mandatory trigram, such as a run
 of hexadecimal digits, scans every text.
 
 Defined cases: a null text is empty and has no spans; rows that repeat a
-doc_id and text give equal results; an empty table gives an empty result.
+doc_id and text give equal results; of spans that start together the rule that is
+listed first comes first; a text of any length is one row; an empty table gives an
+empty result; no column but doc_id and text is read.
 """
 
 from __future__ import annotations
