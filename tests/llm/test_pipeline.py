@@ -3,7 +3,7 @@
 import hashlib
 
 import corpus_pipeline
-from textquarry.llm import minhash, pii
+from textquarry.llm import minhash, mixing, pii
 from textquarry.llm.common import materialize
 
 
@@ -36,10 +36,28 @@ def test_stages(spark, data):
 
 
 def test_repeated_rows_and_clashing_columns(spark, data):
-    docs = spark.read.parquet(f"{data}/documents.parquet").limit(30).selectExpr("*", "1 AS score", "'x' AS row", "2 AS copies", "3 AS kept", "4 AS key", "5 AS found")
+    docs = spark.read.parquet(f"{data}/documents.parquet").limit(30).selectExpr("*", "1 AS score", "'x' AS row", "2 AS copies", "3 AS kept", "4 AS key", "5 AS found", "6 AS _d", "7 AS audited", "map(1, 2) AS ids", "8 AS target")
     docs = docs.unionByName(docs.limit(5))
     columns = docs.columns
-    for _, stage in corpus_pipeline.STAGES[1:-1]:
+    for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = materialize(stage(spark, docs, data), "test")
         assert docs.columns == columns
-    assert docs.count() > 0
+    assert corpus_pipeline.tokenise(spark, docs, data).count() == docs.count() > 0
+
+
+def test_rows_that_share_an_id(spark, data):
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, words, "a"), (1, words, "b"), (1, "quite another text of some words", "b"), (2, words + " x", "a"), (None, words, "a"), (3, None, None), (3, "", None)]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, data).collect()
+    assert sorted(map(str, ((r["doc_id"], r["text"], r["source"]) for r in left))) == sorted(map(str, [rows[0], rows[2], rows[4], rows[5], rows[6]]))
+    mixed = corpus_pipeline.mix_sources(spark, docs, data).collect()
+    taken = mixing.mix(docs).agg({"copies": "sum"}).first()[0]
+    assert len(mixed) == taken
+
+
+def test_empty_table(spark, data, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{data}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.collect() == [] and out.columns[0] == "doc_id"

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -71,7 +72,7 @@ def test_search_recall_of_queries_against_all():
 
 def test_a_cell_counts_weights():
     v = np.array([1.0, 0.0])
-    t = pd.DataFrame({"node": [1, 2], "weight": [3, 1], "vector": [v, v * 2 + [0, 0.01]], "asks": False})
+    t = pd.DataFrame({"node": [1, 2], "weight": [3, 1], "vector": [v, v * 2 + [0, 0.01]], "asks": False, "label": 1, "dim": 2})
     out = embedding.cell(pd.concat([t, t.assign(asks=True)]))
     linked = out[out.linked > 0].set_index("node")["linked"].to_dict()
     assert linked == {1: 1, 2: 3}
@@ -88,10 +89,42 @@ def test_no_link_of_low_rank_vectors_is_lost(spark):
     assert sum(got[i] for i in got) >= 0.9999 * links.sum()
 
 
+@pytest.mark.parametrize("numbers", [embedding.PIVOT_NUMBERS, 0])
+def test_partitions_lose_no_link(spark, numbers, monkeypatch):
+    """Pivots with the tasks or joined to groups; cuts of cuts; every pair in range meets in the partition that either is at home in."""
+    monkeypatch.setattr(embedding, "PIVOT_NUMBERS", numbers)
+    monkeypatch.setattr(embedding, "FANOUT", 4)
+    rng = np.random.default_rng(5)
+    centres = 3 * rng.normal(size=(40, 16))
+    x = centres[rng.integers(40, size=1200)] + 0.08 * rng.normal(size=(1200, 16))
+    rows = [(i, v.tolist(), i % 2, 1, 16) for i, v in enumerate(x)]
+    nodes = spark.createDataFrame(rows, "node long, vector array<double>, label int, weight long, dim int")
+    parts = embedding._parted(nodes, 64).collect()
+    home, where = {}, {}
+    for r in parts:
+        where.setdefault(r["node"], set()).add(r["part"])
+        if r["home"]:
+            assert r["node"] not in home
+            home[r["node"]] = r["part"]
+    assert len(home) == 1200 and len(set(home.values())) > 8
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for a, b in np.argwhere(unit @ unit.T >= 0.98):
+        if a % 2 == b % 2:
+            assert home[int(a)] in where[int(b)]
+
+
+def test_recall_is_returned(spark):
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(100, 8)), 3, axis=0) + 0.02 * rng.normal(size=(300, 8))
+    rows = [(i, v.tolist(), i % 2) for i, v in enumerate(x)] + [(300, None, 1)]
+    got = embedding.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert all(embedding.RECALL <= r["recall"] <= 1 if r["vec_id"] < 300 else r["recall"] is None for r in got)
+
+
 def test_a_cell_that_stays_below_recall_is_compared_whole(monkeypatch):
     rng = np.random.default_rng(12)
     v = list(rng.normal(size=(300, 3)))
-    t = pd.DataFrame({"node": range(300), "weight": 1, "vector": v, "asks": False})
+    t = pd.DataFrame({"node": range(300), "weight": 1, "vector": v, "asks": False, "label": "a", "dim": 3})
     monkeypatch.setattr(embedding, "range_search", lambda x, adj, starts, q, own, limit, beam: np.zeros((len(q), len(x)), bool))
     out = embedding.cell(pd.concat([t, t.assign(asks=True)]))
     x = np.stack(v) / np.linalg.norm(v, axis=1, keepdims=True)
@@ -207,3 +240,80 @@ def test_parts_of_the_article_are_not_dropped_by_single_words():
 def test_end_tags_of_deep_elements_close_no_ancestor(n):
     page = f"<div class='layout'><article><p>First</p>{'<div>' * n}<ul><li><p>in<ul><li>a<li>b</ul></ul>{'</div>' * n}<p>Last</p></article></div><p>beside</p>"
     assert " ".join(texts_of([page])[0].split()) in ("First in a b Last", "First inab Last")
+
+
+def test_elements_below_the_greatest_depth_are_no_text_if_they_are_no_article():
+    page = "<article><p>First</p>" + "<div>" * 400 + "<nav>MENU <nav>inner</nav> more</nav><p>kept</p><div class='share'>SHARE<div>too</div></div><p>also</p>" + "</div>" * 400 + "<p>Last</p></article><p>beside</p>"
+    assert texts_of([page]) == ["First kept also Last"]
+
+
+def test_wrappers_find_articles_that_nothing_names():
+    """Elements without telling names: what differs from page to page, and where, is all there is to go by. A page by itself doesn't tell."""
+    rng = random.Random(13)
+    words = lambda n: " ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    terms, made = words(120), []
+    for i in range(30):
+        paras, items = [words(rng.randint(15, 60)) for _ in range(rng.randint(3, 6))], [words(4), words(3)] if i % 4 == 0 else []
+        head, ad = words(5), f"<div class='c7'>{words(8)}</div>" if i % 3 else ""
+        inner = f"<h1>{head}</h1>" + "".join(f"<p>{p}</p>" for p in paras) + ("<ul>" + "".join(f"<li>{x}" for x in items) + "</ul>" if items else "")
+        page = (
+            f"<body><div><ul><li><a href=/>{words(2)}</a><li><a href=/x>{words(2)}</a></ul></div><p>Welcome to our site, it is the best of all sites</p>{ad}"
+            f"<div class='c1'><div class='c2'>{inner}</div></div><div class='c9'><p>{terms}</p></div><div>{words(6)}</div></body>"
+        )
+        made.append((page, " ".join([head, *paras, *items])))
+    assert texts_of([page for page, _ in made]) == [t for _, t in made]
+    assert sum(texts_of([page]) == [t] for page, t in made) < 0.7 * len(made)
+
+
+def test_pages_without_telling_names_need_their_host():
+    """The given pages with all names made dumb give the same texts by their hosts' wrappers, more than each by itself."""
+    import pyarrow.parquet as pq
+
+    def dumb(page):
+        page = re.sub(r"((?:class|id|role)\s*=\s*)(\"[^\"]*\"|'[^']*')", lambda m: m[1] + f'"c{sum(map(ord, m[2])) % 997}"', page)
+        return re.sub(r"(</?)(article|main|nav|aside|footer|header|section)\b", r"\1div", page)
+
+    by_host = {}
+    for r in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist():
+        host = re.match(html_wrappers.HOST, r["url"] or "")
+        by_host.setdefault(host[1] if host else "", []).append(r["html"] or "")
+    same = alone = total = 0
+    for pages_ in by_host.values():
+        if len(pages_) > 1:
+            known, hosts = texts_of(pages_), texts_of([dumb(p) for p in pages_])
+            same += sum(a == b for a, b in zip(known, hosts, strict=True))
+            alone += sum(a == texts_of([dumb(p)])[0] for a, p in zip(known, pages_, strict=True))
+            total += len(pages_)
+    assert same >= 0.98 * total > alone
+
+
+def naive_alignment(x, y):
+    """The longest common subsequence, by recursion."""
+    if not x or not y:
+        return 0
+    return naive_alignment(x[1:], y[1:]) + 1 if x[0] == y[0] else max(naive_alignment(x[1:], y), naive_alignment(x, y[1:]))
+
+
+def test_alignment_by_brute_force():
+    rng = random.Random(17)
+    for _ in range(200):
+        x, y = ([rng.choice("abc") for _ in range(rng.randint(0, 7))] for _ in range(2))
+        pairs = html_wrappers._pairs(x, y)
+        assert [i for i, _ in pairs if i is not None] == list(range(len(x))) and [j for _, j in pairs if j is not None] == list(range(len(y)))
+        both = [(i, j) for i, j in pairs if i is not None and j is not None]
+        assert all(x[i] == y[j] for i, j in both) and len(both) == naive_alignment(x, y)
+
+
+def test_slots_options_and_repeats():
+    def wrapper(*pages_):
+        w = None
+        for p in pages_:
+            own = html_wrappers.pattern(html_wrappers.parse(p))
+            w = own if w is None else html_wrappers.aligned(w, own)
+        return html_wrappers.expression(w)
+
+    assert wrapper("<b>one</b>", "<b>two</b>") == "<b>#</b>"
+    assert wrapper("<b>one</b>", "<b>one</b>") == "<b>one</b>"
+    assert wrapper("<b>x</b><i>y</i>", "<b>x</b>") == "<b>x</b>(<i>y</i>)?"
+    assert wrapper("<p>a<p>b<p>c", "<p>d") == "(<p>#</p>)+"
+    assert wrapper("<p>a<p>b", "<i>x</i>") in ("(<p>#</p>)*(<i>x</i>)?", "(<i>x</i>)?(<p>#</p>)*")
