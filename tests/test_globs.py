@@ -33,6 +33,18 @@ def test_case():
     assert not hit("**/*.TS", "a.ts")
 
 
+@pytest.mark.parametrize(
+    ("pattern", "path", "expected"),
+    [
+        ("[a-c]*.MD", "B.md", True), ("[!a-c]x", "Bx", False), ("[É]", "é", True), ("[a-c]", "d", False), ("f{1..3}.ts", "F2.ts", True), ("f{1..3}.ts", "f4.ts", False), ("f{01..10}", "f07", True),
+        ("f{01..10}", "f7", False), ("{a..e..2}", "c", True), ("{a..e..2}", "b", False), ("{3..1}", "2", True), ("{x}", "{x}", True), ("[[:digit:]a]", "7", True), ("[[:digit:]]", "a", False), ("[]a]", "]", True),
+    ],
+)
+def test_classes_and_ranges(pattern, path, expected):
+    regex = compile_glob(pattern, dot=True, case_sensitive=False).regex.replace(r"\p{Nd}", "0-9")
+    assert bool(re.search(regex, path)) is expected
+
+
 def test_bare_names_expand():
     assert expand("src") == ["src", "**/src", "src/**", "**/src/**"]
     assert expand("./.github")[0] == "github"

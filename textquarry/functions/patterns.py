@@ -32,6 +32,11 @@ def _folds() -> dict[str, str]:
     return {k: "".join(v) for k, v in by.items() if len(v) > 1}
 
 
+def alike(ch: str) -> str:
+    """All units that match ch without case, itself among them."""
+    return _folds().get(canonical(ch), ch)
+
+
 def escaped(ch: str) -> str:
     return "\\" + ch if ch in SPECIAL else ch
 

@@ -1,7 +1,8 @@
 """Path globs to regular expressions that Java and RE2 read alike.
 
 ``**`` as a whole segment stands for any number of segments, ``*`` for any part
-of one, ``?`` for one character, ``[...]`` for a class, ``{a,b}`` for either. A
+of one, ``?`` for one character, ``[...]`` for a class, ``{a,b}`` for either and
+``{1..3}`` or ``{a..c}`` for each of a range (a third number is its step). A
 leading ``!`` negates, a leading ``#`` matches nothing. Extended globs are refused.
 """
 
@@ -13,11 +14,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textquarry.functions.patterns import literal
+from textquarry.functions.patterns import alike, literal
 
 #: What every scan leaves out.
 BUILTIN_IGNORES = ("**/node_modules/**", "**/.git/**", "**/dist/**", "**/build/**", "**/.next/**", "**/coverage/**", "**/.cache/**", "**/tmp/**", "**/temp/**", "**/*.log", "**/.DS_Store", "**/Thumbs.db")
 
+#: Named classes within brackets.
+NAMED = {
+    "alnum": r"\p{L}\p{Nl}\p{Nd}", "alpha": r"\p{L}\p{Nl}", "digit": r"\p{Nd}", "lower": r"\p{Ll}", "upper": r"\p{Lu}", "punct": r"\p{P}",
+    "space": r"\p{Z}\t\r\n\x0B\f", "word": r"\p{L}\p{Nl}\p{Nd}\p{Pc}", "xdigit": "A-Fa-f0-9",
+}
+
 
 @dataclass(frozen=True)
 class Glob:
@@ -63,9 +70,49 @@ def _braces(pattern: str) -> list[str]:
             if depth == 0 and len(cuts) > 1:
                 parts = [pattern[a + 1 : b] for a, b in zip(cuts, [*cuts[1:], i], strict=True)]
                 return [x for p in parts for x in _braces(pattern[:start] + p + pattern[i + 1 :])]
+            if depth == 0 and (each := _range(pattern[start + 1 : i])):
+                return [x for p in each for x in _braces(pattern[:start] + p + pattern[i + 1 :])]
     return [pattern]
 
 
+def _range(text: str) -> list[str]:
+    """1..3 or a..c, with a step or without, spelt out; nothing if text is no range. Numbers are as wide as the widest that starts with 0."""
+    m = re.fullmatch(r"(?:(-?\d+)\.\.(-?\d+)|([A-Za-z])\.\.([A-Za-z]))(?:\.\.(-?\d+))?", text)
+    if not m:
+        return []
+    ends = [m[1], m[2]] if m[1] else [m[3], m[4]]
+    a, b = (int(x) if m[1] else ord(x) for x in ends)
+    values = range(a, b + (1 if a <= b else -1), max(1, abs(int(m[5] or 1))) * (1 if a <= b else -1))
+    if not m[1]:
+        return [chr(v) for v in values]
+    width = max(map(len, ends)) if any(re.match(r"-?0\d", x) for x in ends) else 0
+    return [str(v).zfill(width) for v in values]
+
+
+def _class(body: str, case_sensitive: bool) -> str:
+    """A class's body for a regular expression. Without case, every unit that any of its units is alike to belongs to it."""
+    out, i = "", 0
+    while i < len(body):
+        name = re.match(r"\[:(\w+):\]", body[i:])
+        if name and name[1] in NAMED:
+            out += NAMED[name[1]]
+            i += name.end()
+            continue
+        last = i + 2 if body[i + 1 : i + 2] == "-" and i + 2 < len(body) else i
+        first, end = ord(body[i]), ord(body[last])
+        if first > end:
+            raise ValueError(f"range out of order in class [{body}]")
+        out += _unit(first) + (f"-{_unit(end)}" if end > first else "")
+        if not case_sensitive:
+            out += "".join(_unit(ord(c)) for c in sorted({c for code in range(first, end + 1) for c in alike(chr(code))}) if not first <= ord(c) <= end)
+        i = last + 1
+    return out
+
+
+def _unit(code: int) -> str:
+    return "\\" + chr(code) if chr(code) in "\\[]^-&~" else chr(code)
+
+
 def _segment(seg: str, dot: bool, case_sensitive: bool) -> str:
     out, i = [], 0
     while i < len(seg):
@@ -77,11 +124,9 @@ def _segment(seg: str, dot: bool, case_sensitive: bool) -> str:
             out.append("[^/]+" if len(seg.strip("*")) == 0 else "[^/]*")
         elif ch == "?":
             out.append("[^/]")
-        elif ch == "[" and (end := seg.find("]", i + 2)) > 0:
-            body = seg[i + 1 : end]
-            negated = body[:1] in "!^"
-            out.append("[" + ("^/" if negated else "") + body[negated:].replace("\\", "\\\\").replace("[", "\\[") + "]")
-            i = end
+        elif ch == "[" and (m := re.match(r"\[([!^]?)((?:\[:\w+:\]|[^\]])(?:\[:\w+:\]|[^\]])*|\](?:\[:\w+:\]|[^\]])*)\]", seg[i:])):
+            out.append("[" + ("^/" if m[1] else "") + _class(m[2], case_sensitive) + "]")
+            i += m.end() - 1
         else:
             out.append(literal(ch, case_sensitive))
         i += 1
