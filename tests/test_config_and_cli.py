@@ -1,5 +1,9 @@
 import pytest
 
+import json
+import os
+
+from textquarry import cli
 from textquarry.cli import main, parser, spec_of
 from textquarry.plans.config import TEMPLATE, parse_config, write_template
 from textquarry.plans.spec import DEFAULT_EXTENSIONS, QuerySpec, split_csv
@@ -70,7 +74,98 @@ def test_files_end_to_end(spark, folder, capsys):
     assert main(["-s", "TODO", "-e", "md", "--stdout"], spark) == 0
     got = capsys.readouterr()
     assert got.out.endswith('<file path="b.md">\nTODO\n</file>\n\n</files>')
-    assert "Total Files: 1" in got.err
+    assert "files packed: 1" in got.err and f"size: {len(got.out):,} characters" in got.err
+
+
+def test_a_single_value_is_a_list_of_one():
+    spec = QuerySpec(strings="TODO", exclude_strings="x", extensions="TS", exclude="a/**", include="src", ignore="lib", roots="r")
+    assert (spec.strings, spec.exclude_strings, spec.extensions, spec.exclude, spec.include, spec.ignore, spec.roots) == (("TODO",), ("x",), ("ts",), ("a/**",), ("src",), ("lib",), ("r",))
+    assert QuerySpec(strings=None, roots=()).roots == (".",) and QuerySpec(strings=["a", "b"]).strings == ("a", "b")
+
+
+def test_roots_stand_anywhere_and_usage_errors_are_1(spark, folder, capsys):
+    assert main(["sub", "-s", "TODO", "-e", "ts", ".", "--preview"], spark) == 0
+    assert capsys.readouterr().out.splitlines()[1:5] == [f"{folder}/{x}" for x in ("sub/a.ts", "_e.ts", "bad.ts", "x.d.ts")]
+    assert main(["--nonsense"], spark) == 1
+    assert main(["-l", "many"], spark) == 1
+    assert main(["--include", "+(a|b)"], spark) == 1
+    assert main(["-x", "[z-a]*"], spark) == 1
+    assert "extended globs" in capsys.readouterr().err
+    assert main(["--version"], spark) == 0
+
+
+def test_copy(spark, folder, capsys, monkeypatch):
+    monkeypatch.setattr(cli, "CLIPBOARD_ELSE", ["sh", "-c", f"cat > {folder}/clip"])
+    assert main(["-s", "TODO", "-e", "md", "-o", "out.txt", "--copy"], spark) == 0
+    assert (folder / "clip").read_text() == (folder / "out.txt").read_text()
+    assert "Copied" in capsys.readouterr().out
+    monkeypatch.setattr(cli, "CLIPBOARD_ELSE", ["no-such-command"])
+    assert main(["-s", "TODO", "-e", "md", "-o", "out.txt", "-c"], spark) == 0
+    assert "Nothing was copied" in capsys.readouterr().out
+
+
+def test_init_asks_before_it_makes_a_folder(tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.setattr("builtins.input", lambda _: "n")
+    assert main(["init", "new/conf"]) == 1 and not (tmp_path / "new").exists()
+    monkeypatch.setattr("builtins.input", lambda _: "Yes")
+    assert main(["init", "new/conf"]) == 0 and (tmp_path / "new" / "conf.ini").exists()
+    assert main(["init", "new/conf"]) == 1
+
+
+def test_what_is_ruled_out_is_not_opened(spark, folder):
+    from textquarry.search import Search
+    from textquarry.sources.corpus import files_corpus
+
+    for name in ("node_modules/trap.ts", "big.ts", "other.bin"):
+        os.mkfifo(folder / name) if name != "big.ts" else (folder / name).write_text("TODO " * 100)
+    # A pipe would block whoever opens it; a file beyond the guard comes without content.
+    spec = QuerySpec(strings=("TODO",), extensions=("ts",), max_bytes=100)
+    rows = {r["rel"]: r for r in files_corpus(spark, spec, str(folder)).collect()}
+    assert rows["big.ts"]["content"] is None and rows["big.ts"]["length"] == 500 and "node_modules/d.ts" not in rows
+    assert {r["rel"] for r in Search(files_corpus(spark, spec, str(folder)), spec).selected.collect()} == {"_e.ts", "bad.ts", "sub/a.ts", "x.d.ts"}
+
+
+def test_pruned_folders_are_not_walked(folder, monkeypatch):
+    from textquarry.sources.corpus import _FolderReader
+
+    (folder / "keep" / "deep").mkdir(parents=True)
+    (folder / "keep" / "deep" / "z.ts").write_text("z")
+    seen = []
+    spec = QuerySpec(extensions=("ts",))
+    options = {"path": str(folder), "keep": r"\.ts$", "drop": spec.ignore_regex, "prune": spec.prune_regex, "roots": json.dumps([str(folder)])}
+    listed = _FolderReader._listed
+    monkeypatch.setattr(_FolderReader, "_listed", lambda self, f, prune: (seen.append(f), listed(self, f, prune))[1])
+    for least in ("1", "2", "1000"):
+        seen.clear()
+        reader = _FolderReader(options | {"folders": least})
+        found = sorted(p.removeprefix(f"{folder}/") for part in reader.partitions() for p, *_ in reader.read(part))
+        assert found == ["_e.ts", "bad.ts", "keep/deep/z.ts", "sub/a.ts", "test.ts", "x.d.ts"]
+        assert not any("node_modules" in f for f in seen)
+
+
+def test_unreadable_files_are_named(spark, folder, capsys):
+    os.symlink(folder / "missing", folder / "gone.ts")
+    assert main(["-e", "ts", "-o", "out.txt"], spark) == 0
+    assert "gone.ts could not be read" in capsys.readouterr().err
+    assert 'path="gone.ts"' not in (folder / "out.txt").read_text()
+    assert main(["-s", "TODO", "-e", "ts", "-o", "out.txt"], spark) == 0
+    assert "could not be read" not in capsys.readouterr().err
+
+
+def test_roots_elsewhere(spark, folder):
+    from textquarry.sources.corpus import files_corpus
+
+    (folder / "tmp").mkdir()
+    (folder / "tmp" / "t.ts").write_text("t")
+    spec = QuerySpec(extensions=("ts",), roots=(".", "tmp", "../" + folder.name + "/sub", "sub"))
+    rows = {r["rel"]: (r["root_ord"], r["root_rel"]) for r in files_corpus(spark, spec, str(folder)).collect()}
+    # A root that another one leaves out is walked for itself.
+    assert rows["tmp/t.ts"] == (1, "t.ts") and rows["sub/a.ts"] == (0, "sub/a.ts")
+    below = {r["rel"] for r in files_corpus(spark, QuerySpec(extensions=("ts",), roots=("..",)), str(folder / "sub")).collect()}
+    assert {"../x.d.ts", "a.ts"} <= below
+    spark_read = files_corpus(spark, QuerySpec(extensions=("ts",), roots=(f"file://{folder}",)), str(folder), underscored=False)
+    assert {r["root_rel"] for r in spark_read.collect()} == {"bad.ts", "sub/a.ts", "test.ts", "x.d.ts"}
 
 
 def test_roots_overlap_once(spark, folder):

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import stat
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from textquarry.operators.filters import extension_rank
+from textquarry.operators.filters import extension_rank, extension_regex
 from textquarry.plans.spec import QuerySpec
 
 #: Paths that rows of a table stand for, so that path rules have something to decide.
@@ -32,43 +34,93 @@ def documents_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_corpus(rows, virtual_path(F.col("doc_id")), F.col("text"), F.col("doc_id")).withColumnRenamed("ord", "doc_id").withColumn("ord", F.col("doc_id"))
 
 
-class _Slice(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+class _Part(InputPartition):
+    def __init__(self, folders: list[str], files: list[str]):
+        self.folders, self.files = folders, files
 
 
 class _FolderReader(DataSourceReader):
+    """Options: path; keep, drop (regular expressions of paths within a root that a file must and must not match), prune (of folders that are not walked), roots (a JSON list of paths; a file counts if it
+    passes for one of them), maxBytes (larger files come without content, unopened), folders (into how many the walk is parted at least)."""
+
     def __init__(self, options: dict):
-        self.root = os.path.abspath(options["path"])
-        self.batch = int(options.get("filesPerPartition", "256"))
+        self.top = os.path.abspath(options["path"])
+        self.roots = json.loads(options["roots"]) if options.get("roots") else [self.top]
+        self.keep, self.drop, self.prune = (options.get(k) for k in ("keep", "drop", "prune"))
+        self.max_bytes = int(options["maxbytes"]) if options.get("maxbytes") else None
+        self.least = int(options.get("folders", "256"))
 
     def partitions(self):
-        out = []
-        for folder, names, files in os.walk(self.root):
-            # Hidden folders are never searched; those with a leading underscore are.
-            names[:] = sorted(n for n in names if not n.startswith("."))
-            out += [os.path.join(folder, f) for f in sorted(files) if not f.startswith(".")]
-        return [_Slice(out[i : i + self.batch]) for i in range(0, len(out), self.batch)] or [_Slice([])]
+        """The walk goes on in the tasks: here only until there are enough folders."""
+        prune = self.prune and re.compile(self.prune)
+        folders, files = [self.top], []
+        while folders and len(folders) < self.least:
+            below, more = [], []
+            for f in folders:
+                names, own = self._listed(f, prune)
+                below += names
+                more += own
+            files += more
+            folders = below
+        return [_Part([f], []) for f in folders] + [_Part([], files[i : i + 256]) for i in range(0, len(files), 256)] or [_Part([], [])]
+
+    def _listed(self, folder: str, prune) -> tuple[list[str], list[str]]:
+        """Folders and files of a folder. Hidden names are never searched; those with a leading underscore are. A link to a folder is not followed."""
+        folders, files = [], []
+        try:
+            with os.scandir(folder) as found:
+                for e in sorted(found, key=lambda e: e.name):
+                    if e.name.startswith("."):
+                        continue
+                    if not e.is_dir(follow_symlinks=False):
+                        files.append(e.path)
+                    elif not (prune and all(prune.search(f"{r}/_") for r in self._within(e.path))):
+                        folders.append(e.path)
+        except OSError:  # a folder that can't be read holds nothing
+            pass
+        return folders, files
+
+    def _within(self, path: str) -> list[str]:
+        """path as each root that holds it sees it."""
+        return [path[len(r) :].lstrip("/") for r in self.roots if path.startswith(r.rstrip("/") + "/")]
 
     def read(self, partition):
-        for p in partition.paths:
-            try:
-                with open(p, "rb") as f:
-                    data = f.read()
-            except OSError:  # a file that can't be read is left out
+        keep, drop, prune = (re.compile(x) if x else None for x in (self.keep, self.drop, self.prune))
+
+        def walked():
+            todo = list(partition.folders)
+            while todo:
+                folders, files = self._listed(todo.pop(), prune)
+                todo += folders
+                yield from files
+
+        for p in (*partition.files, *walked()):
+            if not any((not keep or keep.search(r)) and not (drop and drop.search(r)) for r in self._within(p)):
                 continue
-            yield p, len(data), data
+            length = data = error = None
+            try:
+                stat_ = os.stat(p)
+                if not stat.S_ISREG(stat_.st_mode):
+                    continue
+                length = stat_.st_size
+                if self.max_bytes is None or length <= self.max_bytes:
+                    with open(p, "rb") as f:
+                        data = f.read()
+                    length = len(data)
+            except OSError as e:
+                error = str(e)
+            yield p, length, data, error
 
 
 class FolderSource(DataSource):
-    """Files under a folder that driver and executors share: path string, length long, content binary. Unlike Spark's listing it keeps names with a leading underscore."""
+    """Files under a folder that driver and executors share: path string, length long, content binary, error string (why a file could not be read). Unlike Spark's listing it keeps names with a leading underscore."""
 
     @classmethod
     def name(cls) -> str:
         return "folder"
 
     def schema(self) -> str:
-        return "path string, length long, content binary"
+        return "path string, length long, content binary, error string"
 
     def reader(self, schema) -> DataSourceReader:
         return _FolderReader(self.options)
@@ -79,31 +131,70 @@ def utf8(content: Column) -> Column:
     return F.call_function("make_valid_utf8", content.cast("string"))
 
 
+def _remote(root: str) -> bool:
+    return re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", root) is not None
+
+
+def _tops(roots: list[str], prune: str) -> list[str]:
+    """The roots to walk: one that lies in another is met there, unless a hidden or pruned folder is on the way."""
+
+    def met(inner: str, outer: str) -> bool:
+        if not inner.startswith(outer.rstrip("/") + "/"):
+            return False
+        names = inner[len(outer) :].strip("/").split("/")
+        return not any(n.startswith(".") for n in names) and not any(re.search(prune, "/".join(names[: i + 1]) + "/_") for i in range(len(names)))
+
+    return [r for i, r in enumerate(roots) if r not in roots[:i] and not any(met(r, o) for o in roots if o != r)]
+
+
+def first_root(path: Column, roots: list[str], spec: QuerySpec) -> Column:
+    """struct<root_ord, ext_ord, root_rel> of the first of roots that shows a file at path, null if none does. The path within the root decides."""
+    found = []
+    for i, root in enumerate(dict.fromkeys(roots)):
+        base = root.rstrip("/") + "/"
+        within = F.when(F.startswith(path, F.lit(base)), F.substring(path, len(base) + 1, 1_000_000))
+        rank = extension_rank(within, spec.extensions)
+        shown = rank.isNotNull() & ~within.rlike(spec.ignore_regex)
+        found.append(F.when(shown, F.struct(F.lit(i).alias("root_ord"), rank.alias("ext_ord"), within.alias("root_rel"))))
+    return F.coalesce(*found)
+
+
 def files_corpus(spark: SparkSession, spec: QuerySpec, cwd: str | None = None, underscored: bool = True) -> DataFrame:
     """Files under all roots of spec, each once, with their output order: by root, then by extension as asked, then by path.
 
-    underscored: read by FolderSource; else by Spark's own listing (any store, but without names that start with an underscore).
+    underscored: read by FolderSource; else, and for roots with a scheme, by Spark's own listing (any store, but without names
+    that start with an underscore). Extensions, exclusions and the size guard go down to either reader: what they rule
+    out is not opened. Which root has a file follows from its path alone, so overlapping roots cost no shuffle.
     """
     cwd = os.path.abspath(cwd or os.getcwd())
+    # Spark writes a scheme without a host with one slash.
+    roots = [re.sub(r"^([^:/]+):///+", r"\1:/", r).rstrip("/") if _remote(r) else os.path.abspath(os.path.join(cwd, r)) for r in spec.roots]
+    guarded = bool(spec.strings or spec.exclude_strings)
     parts = []
-    for i, root in enumerate(spec.roots):
-        top = os.path.abspath(os.path.join(cwd, root))
-        if underscored:
+    for top in _tops(roots, spec.prune_regex):
+        if underscored and not _remote(top):
             spark.dataSource.register(FolderSource)
-            df = spark.read.format("folder").load(top)
+            inside = [r for r in dict.fromkeys(roots) if (r + "/").startswith(top.rstrip("/") + "/")]
+            options = {"keep": extension_regex(spec.extensions), "drop": spec.ignore_regex, "prune": spec.prune_regex, "roots": json.dumps(inside)}
+            df = spark.read.format("folder").options(**options, **({"maxBytes": str(spec.max_bytes)} if guarded else {})).load(top)
         else:
-            df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(top)
-            df = df.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "length", "content")
-        parts.append(df.select("path", F.lit(i).alias("root_ord"), F.regexp_replace("path", "^" + re.escape(top) + "/", "").alias("root_rel"), "length", "content"))
+            names = "*.{" + ",".join(spec.extensions) + "}" if len(spec.extensions) > 1 else f"*.{spec.extensions[0]}"
+            df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(top)
+            df = df.where(F.col("length") <= spec.max_bytes) if guarded else df
+            path = F.col("path") if _remote(top) else F.regexp_replace("path", "^file:/+", "/")
+            df = df.select(path.alias("path"), "length", "content", F.lit(None).cast("string").alias("error"))
+            hidden = F.substring("path", len(top.rstrip("/")) + 1, 1_000_000).rlike(r"/\.[^/]")
+            df = df.where(~hidden)
+        parts.append(df)
     corpus = parts[0]
     for p in parts[1:]:
         corpus = corpus.unionByName(p)
-    corpus = corpus.withColumn("ext_ord", extension_rank(F.col("root_rel"), spec.extensions)).where("ext_ord IS NOT NULL").where(~F.col("root_rel").rlike(spec.ignore_regex))
-    # The first root that finds a file gives its place. Contents stay out of this shuffle unless roots overlap.
-    if len(parts) > 1:
-        corpus = corpus.groupBy("path").agg(F.min_by(F.struct("root_ord", "ext_ord", "root_rel", "length", "content"), F.struct("root_ord", "ext_ord")).alias("r")).select("path", "r.*")
-    rel = F.regexp_replace("path", "^" + re.escape(cwd) + "/", "")
-    return corpus.select("path", rel.alias("rel"), "root_rel", "root_ord", "ext_ord", F.struct("root_ord", "ext_ord", "path").alias("ord"), "length", utf8(F.col("content")).alias("content"))
+    corpus = corpus.withColumn("_found", first_root(F.col("path"), roots, spec)).where("_found IS NOT NULL").select("path", "_found.*", "length", "content", "error")
+    # Paths as seen from the working folder, also where that lies beside or below the root.
+    below = F.when(F.startswith("path", F.lit(cwd.rstrip("/") + "/")), F.substring("path", len(cwd.rstrip("/")) + 2, 1_000_000))
+    seen = F.array(*(F.lit(r + "/" if _remote(r) else os.path.relpath(r, cwd) + "/") for r in dict.fromkeys(roots)))
+    corpus = corpus.withColumn("rel", F.coalesce(below, F.concat(F.get(seen, F.col("root_ord")), "root_rel")))
+    return corpus.select("path", "rel", "root_rel", "root_ord", "ext_ord", F.struct("root_ord", "ext_ord", "path").alias("ord"), "length", utf8(F.col("content")).alias("content"), "error")
 
 
 def numbered(corpus: DataFrame) -> DataFrame:
