@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.functions.text import fence_language, pad_start
+from textquarry.functions.text import fence_language, pad_start, utf16_length
 from textquarry.operators.windows import match_count
 from textquarry.plans.spec import QuerySpec
 
@@ -47,27 +47,48 @@ def md_windows(rel: Column, windows: Column) -> Column:
         F.lit(f"\n\n{FENCE}"), fence_language(rel), F.lit("\n"), format_windows(windows), F.lit(f"{FENCE}\n\n"))
 
 
-def rendered(files: DataFrame, spec: QuerySpec) -> DataFrame:
-    """files with block. With context, files have windows, and those with none give no block. Any style but xml is Markdown."""
+def with_block(files: DataFrame, spec: QuerySpec) -> DataFrame:
+    """files with block, null for a file that gives none: one without windows where context is asked, or one that could not be read. Any style but xml is Markdown."""
     rel = F.col("rel")
     if spec.context:
         block = xml_windows if spec.style == "xml" else md_windows
-        return files.where(F.size("windows") > 0).withColumn("block", block(rel, F.col("windows")))
+        return files.withColumn("block", F.when(F.size("windows") > 0, block(rel, F.col("windows"))))
     block = xml_file if spec.style == "xml" else md_file
     return files.withColumn("block", block(rel, F.col("content")))
 
 
-def head(spec: QuerySpec, n_files: int, listing: str) -> str:
-    """What stands before the blocks."""
+def block_size(spec: QuerySpec) -> Column:
+    """UTF-16 units of a file's block, from the lengths of its parts: the block itself isn't put together. With context, files have windows with chars."""
+    rel, digits = F.col("rel"), lambda n: F.length(n.cast("string"))
+    if spec.context:
+        block = (xml_windows if spec.style == "xml" else md_windows)(rel, F.array().cast("array<struct<n_matches:bigint,start_line:int,lines:array<string>>>"))
+
+        def lines(w: Column) -> Column:
+            count = (w["end_line"] - w["start_line"] + 1).cast("long")
+            # Numbers of up to six digits are as wide as the column.
+            wide = F.aggregate(F.sequence(w["start_line"], w["end_line"]), F.lit(0).cast("long"), lambda acc, i: acc + F.greatest(F.lit(6), digits(i)))
+            return w["chars"] + count * (len(BAR) + 1) + F.when(w["end_line"] < 1_000_000, count * 6).otherwise(wide)
+
+        windows = F.col("windows")
+        body = F.aggregate(windows, F.lit(0).cast("long"), lambda acc, w: acc + lines(w)) + (F.size(windows) - 1) * len(BETWEEN)
+        # The block without windows has a 0 in either count's place.
+        counts = digits(match_count(windows)) + digits(F.size(windows)) - 2
+        return F.when(F.size(windows) > 0, utf16_length(block) + body + counts).cast("long")
+    block = (xml_file if spec.style == "xml" else md_file)(rel, F.lit(""))
+    return utf16_length(block) + utf16_length(F.col("content"))
+
+
+def head(spec: QuerySpec, n_files: int) -> tuple[str, str]:
+    """What stands before the listing of files, and what stands between that and the blocks. Markdown has no listing."""
     if spec.style == "xml":
         context = f"\n- Context lines: {spec.context} lines around each match" if spec.context else ""
         return (
             "<file_summary>\n<purpose>\nSelected files in one document.\n</purpose>\n\n<notes>\n"
-            f"- Files were selected by content and extension\n- Total files included: {n_files}{context}\n</notes>\n</file_summary>\n\n"
-            f"<directory_structure>\n{listing}\n</directory_structure>\n\n<files>\n\n"
+            f"- Files were selected by content and extension\n- Total files included: {n_files}{context}\n</notes>\n</file_summary>\n\n<directory_structure>\n",
+            "\n</directory_structure>\n\n<files>\n\n",
         )
     context = f"\n\n**Context:** {spec.context} lines around each match" if spec.context else ""
-    return f"# Selected files\n\nThis document holds {n_files} files.{context}\n\n## Files\n\n"
+    return f"# Selected files\n\nThis document holds {n_files} files.{context}\n\n## Files\n\n", ""
 
 
 def tail(spec: QuerySpec) -> str:
@@ -75,10 +96,13 @@ def tail(spec: QuerySpec) -> str:
 
 
 def bundle(selected: DataFrame, blocks: DataFrame, spec: QuerySpec) -> Iterator[str]:
-    """The bundle in parts, in order, a row at a time: nothing is put together on the driver."""
-    paths = [r["rel"] for r in selected.select("rel", "ord").orderBy("ord").toLocalIterator()] if spec.style == "xml" else []
-    n = len(paths) if spec.style == "xml" else selected.count()
-    yield head(spec, n, "\n".join(paths))
+    """The bundle in parts, in order, a row at a time: neither the listing nor the blocks are put together on the driver."""
+    before, after = head(spec, selected.count())
+    yield before
+    if spec.style == "xml":
+        for i, row in enumerate(selected.select("rel", "ord").orderBy("ord").toLocalIterator(prefetchPartitions=True)):
+            yield "\n" * (i > 0) + row["rel"]
+    yield after
     for row in blocks.select("ord", "block").orderBy("ord").toLocalIterator(prefetchPartitions=True):
         yield row["block"]
     yield tail(spec)

@@ -5,27 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.functions.text import extension, short_path, token_estimate, utf16_length
+from textquarry.functions.text import extension, short_path, token_estimate
 from textquarry.operators.windows import match_count
 
 TOP = 10
 
 
-def file_sizes(blocks: DataFrame) -> DataFrame:
-    """rel, ord, size and tokens of each rendered block."""
-    size = utf16_length(F.col("block"))
-    return blocks.select("rel", "ord", size.alias("size")).withColumn("tokens", token_estimate(F.col("size")))
+def file_sizes(sized: DataFrame) -> DataFrame:
+    """rel, ord, size and tokens of each file that gives a block. sized: files with size, null without a block."""
+    return sized.where("size IS NOT NULL").select("rel", "ord", "size").withColumn("tokens", token_estimate(F.col("size")))
 
 
-def totals(selected: DataFrame, blocks: DataFrame) -> DataFrame:
-    """One row: files selected, matches, windows, characters, tokens (of the sum, not a sum of tokens)."""
-    counts = [F.sum(match_count(F.col("windows"))), F.sum(F.size("windows"))] if "windows" in blocks.columns else [F.lit(0), F.lit(0)]
-    of_files = selected.agg(F.count("*").alias("total_files")).selectExpr("total_files", "0L AS total_matches", "0L AS total_windows", "0L AS total_chars")
-    of_blocks = blocks.agg(
-        F.lit(0).cast("long").alias("total_files"), F.coalesce(counts[0], F.lit(0)).cast("long").alias("total_matches"),
-        F.coalesce(counts[1], F.lit(0)).cast("long").alias("total_windows"), F.coalesce(F.sum(utf16_length(F.col("block"))), F.lit(0)).cast("long").alias("total_chars"))
-    both = of_files.unionByName(of_blocks)
-    return both.agg(*(F.sum(c).alias(c) for c in both.columns)).withColumn("total_tokens", token_estimate(F.col("total_chars")))
+def totals(sized: DataFrame) -> DataFrame:
+    """One row of one pass: files selected, matches, windows, characters of blocks, tokens (of the sum, not a sum of tokens)."""
+    counts = [F.sum(match_count(F.col("windows"))), F.sum(F.size("windows"))] if "windows" in sized.columns else [F.lit(0), F.lit(0)]
+    whole = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    out = sized.agg(F.count("*").alias("total_files"), whole(counts[0]).alias("total_matches"), whole(counts[1]).alias("total_windows"), whole(F.sum("size")).alias("total_chars"))
+    return out.withColumn("total_tokens", token_estimate(F.col("total_chars")))
 
 
 def extensions_found(selected: DataFrame) -> DataFrame:

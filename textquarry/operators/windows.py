@@ -1,7 +1,8 @@
 """Matches by line, and windows of context around them, within each row: no shuffle, and usable on streams.
 
-A window is struct<start_line, end_line, lines, matches>, a match
-struct<line, column, match>: lines from 1, columns from 0 in UTF-16 units.
+A window is struct<start_line, end_line, n_matches> and, as asked, chars (UTF-16
+units of its lines), lines, and matches: struct<line, column, match>, lines from 1,
+columns from 0 in UTF-16 units. What isn't asked isn't built.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ def hits(line: Column, pattern: str) -> Column:
 
 
 def line_matches(line: Column, number: Column, pattern: str) -> Column:
-    """All matches of one line. Gaps and hits alternate, so a column is the length of all that stands before."""
+    """All matches of one line, null without any. Gaps and hits alternate, so a column is the length of all that stands before."""
 
     def placed(p: Column) -> Column:
         sizes = F.zip_with(F.slice(p["g"], F.lit(1), F.size(p["h"])), p["h"], lambda g, h: F.struct(utf16_length(g).alias("g"), utf16_length(h).alias("n")))
@@ -34,26 +35,30 @@ def line_matches(line: Column, number: Column, pattern: str) -> Column:
 
         return let(sizes, columns)
 
-    return let(F.struct(F.split(line, pattern, -1).alias("g"), hits(line, pattern).alias("h")), placed)
+    # A line without a match is a single gap, and isn't searched again for hits.
+    return let(F.split(line, pattern, -1), lambda g: F.when(F.size(g) > 1, let(F.struct(g.alias("g"), hits(line, pattern).alias("h")), placed)))
 
 
 def match_positions(content: Column, pattern: str) -> Column:
     """All matches of all lines, in order."""
-    per_line = F.transform(split_lines(content), lambda line, i: F.when(line.rlike(pattern), line_matches(line, i + 1, pattern)))
+    per_line = F.transform(split_lines(content), lambda line, i: line_matches(line, i + 1, pattern))
     return F.flatten(F.filter(per_line, lambda x: x.isNotNull()))
 
 
-def context_windows(content: Column, pattern: str, n: int) -> Column:
-    """Windows of n lines around each match; those that touch or overlap are one.
+def context_windows(content: Column, pattern: str, n: int, chars: bool = False, lines: bool = True, matches: bool = True) -> Column:
+    """Windows of n lines around each match; those that touch or overlap are one. chars, lines, matches: the fields that windows have beside bounds and counts.
 
     Windows are as wide as their gaps are narrow: a new one starts where two
     matching lines are more than 2n + 1 apart, at the edges of the file too.
     """
 
-    def of_lines(lines: Column) -> Column:
-        found = F.filter(
-            F.transform(lines, lambda line, i: F.when(line.rlike(pattern), F.struct((i + 1).alias("line"), line_matches(line, i + 1, pattern).alias("matches")))), lambda x: x.isNotNull()
-        )
+    def of_lines(of: Column) -> Column:
+        def found_in(line: Column, i: Column) -> Column:
+            if not matches:
+                return F.struct((i + 1).alias("line"), F.regexp_count(line, F.lit(pattern)).alias("n"))
+            return let(line_matches(line, i + 1, pattern), lambda m: F.struct((i + 1).alias("line"), F.coalesce(F.size(m), F.lit(0)).alias("n"), m.alias("matches")))
+
+        found = F.filter(F.transform(of, found_in), lambda x: x["n"] > 0)
 
         def windows(m: Column) -> Column:
             starts = F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: (i == 0) | (F.get(m, i)["line"] - F.get(m, i - 1)["line"] > 2 * n + 1))
@@ -62,9 +67,17 @@ def context_windows(content: Column, pattern: str, n: int) -> Column:
                 def one(at: Column, j: Column) -> Column:
                     last = F.coalesce(F.get(s, j + 1), F.size(m)) - 1
                     start = F.greatest(F.lit(1), F.get(m, at)["line"] - n)
-                    end = F.least(F.size(lines), F.get(m, last)["line"] + n)
-                    matches = F.flatten(F.transform(F.slice(m, at + 1, last - at + 1), lambda x: x["matches"]))
-                    return F.struct(start.alias("start_line"), end.alias("end_line"), F.slice(lines, start, end - start + 1).alias("lines"), matches.alias("matches"))
+                    end = F.least(F.size(of), F.get(m, last)["line"] + n)
+                    own = F.slice(m, at + 1, last - at + 1)
+                    here = F.slice(of, start, end - start + 1)
+                    out = [start.alias("start_line"), end.alias("end_line"), F.aggregate(own, F.lit(0).cast("long"), lambda acc, x: acc + x["n"]).alias("n_matches")]
+                    if chars:
+                        out.append(F.aggregate(here, F.lit(0).cast("long"), lambda acc, x: acc + utf16_length(x)).alias("chars"))
+                    if lines:
+                        out.append(here.alias("lines"))
+                    if matches:
+                        out.append(F.flatten(F.transform(own, lambda x: x["matches"])).alias("matches"))
+                    return F.struct(*out)
 
                 return F.transform(s, one)
 
@@ -75,12 +88,12 @@ def context_windows(content: Column, pattern: str, n: int) -> Column:
     return F.coalesce(let(split_lines(content), of_lines), F.array())
 
 
-def with_windows(files: DataFrame, pattern: str, n: int) -> DataFrame:
-    return files.withColumn("windows", context_windows(F.col("content"), pattern, n))
+def with_windows(files: DataFrame, pattern: str, n: int, **fields: bool) -> DataFrame:
+    return files.withColumn("windows", context_windows(F.col("content"), pattern, n, **fields))
 
 
 def match_count(windows: Column) -> Column:
-    return F.aggregate(windows, F.lit(0).cast("long"), lambda acc, w: acc + F.size(w["matches"]))
+    return F.aggregate(windows, F.lit(0).cast("long"), lambda acc, w: acc + w["n_matches"])
 
 
 def windows_by_rows(files: DataFrame, key: str, pattern: str, n: int) -> DataFrame:

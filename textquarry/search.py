@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from textquarry.operators import render, summary
 from textquarry.operators.filters import scan_filter, select_files
@@ -29,14 +30,25 @@ class Search:
     def selected(self) -> DataFrame:
         return select_files(self.corpus, self.spec)
 
+    def _windowed(self, **fields: bool) -> DataFrame:
+        return with_windows(self.selected, self.spec.pattern, self.spec.context, **fields) if self.spec.context else self.selected
+
     @cached_property
     def blocks(self) -> DataFrame:
-        files = with_windows(self.selected, self.spec.pattern, self.spec.context) if self.spec.context else self.selected
-        return render.rendered(files, self.spec)
+        return render.with_block(self._windowed(matches=False), self.spec).where("block IS NOT NULL")
+
+    @cached_property
+    def sized(self) -> DataFrame:
+        """Selected files with the size of their blocks, which aren't put together for it."""
+        return self._windowed(chars=True, lines=False, matches=False).withColumn("size", render.block_size(self.spec))
 
     @cached_property
     def sizes(self) -> DataFrame:
-        return summary.file_sizes(self.blocks)
+        return summary.file_sizes(self.sized)
+
+    def unreadable(self) -> DataFrame:
+        """Selected files that could not be read, and why."""
+        return self.selected.where("content IS NULL").select("rel", "error") if "error" in self.selected.columns else self.selected.where("false").select("rel", F.lit("").alias("error"))
 
     def require(self) -> None:
         """Raises NoCandidates or NoMatches."""
@@ -52,7 +64,7 @@ class Search:
         return render.bundle(self.selected, self.blocks, self.spec)
 
     def totals(self) -> DataFrame:
-        return summary.totals(self.selected, self.blocks)
+        return summary.totals(self.sized)
 
     def extensions(self) -> DataFrame:
         return summary.extensions_found(self.selected).orderBy("ext")

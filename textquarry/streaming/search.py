@@ -12,11 +12,11 @@ from textquarry.plans.spec import QuerySpec
 
 def search_stream(corpus: DataFrame, spec: QuerySpec) -> DataFrame:
     """rel, start_line, end_line, n_matches of each window of each file as it arrives. corpus: a streaming DataFrame with the columns of a corpus."""
-    files = with_windows(select_files(corpus, spec), spec.pattern, spec.context)
-    return files.select("rel", F.explode("windows").alias("w")).select("rel", F.col("w.start_line").alias("start_line"), F.col("w.end_line").alias("end_line"), F.size("w.matches").alias("n_matches"))
+    files = with_windows(select_files(corpus, spec), spec.pattern, spec.context, lines=False, matches=False)
+    return files.select("rel", F.explode("windows").alias("w")).select("rel", "w.start_line", "w.end_line", "w.n_matches")
 
 
 def totals_stream(corpus: DataFrame, spec: QuerySpec) -> DataFrame:
     """Running totals, for complete or update mode."""
-    files = with_windows(select_files(corpus, spec), spec.pattern, spec.context)
+    files = with_windows(select_files(corpus, spec), spec.pattern, spec.context, lines=False, matches=False)
     return files.groupBy().agg(F.count("*").alias("total_files"), F.sum(match_count(F.col("windows"))).alias("total_matches"), F.sum(F.size("windows")).cast("long").alias("total_windows"))
