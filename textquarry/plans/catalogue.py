@@ -1,7 +1,9 @@
 """Named queries over the standard tables, each with its SQL beside it.
 
-``documents`` stands for a folder of files (see ``sources.corpus``). Patterns
-come from one compiler, so that both engines read the same text.
+``documents`` stands for a folder of files (see ``sources.corpus``). The SQL of
+scans and content filters is written by hand, without the pattern compiler, so
+that a wrong glob or fold shows; that of lines, windows and rendering goes by the
+compiled patterns, which those queries don't test.
 """
 
 from __future__ import annotations
@@ -12,14 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.functions.patterns import any_literal
-from textquarry.functions.text import extension, fence_language, token_estimate, utf16_length
+from textquarry.functions.text import extension, fence_language, grouped_digits, pad_start, token_estimate, utf16_length
 from textquarry.operators import filters, render
 from textquarry.operators.windows import context_windows, hits, match_positions, split_lines, windows_by_rows, with_windows
 from textquarry.plans import globs
 from textquarry.plans.config import parse_config
 from textquarry.plans.spec import QuerySpec
 from textquarry.search import Search
-from textquarry.sources.corpus import VIRTUAL_EXTENSIONS, VIRTUAL_FOLDERS, documents_corpus
+from textquarry.sources.corpus import VIRTUAL_EXTENSIONS, VIRTUAL_FOLDERS, documents_corpus, first_root, utf8
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,21 +83,51 @@ def _selected(spec: QuerySpec) -> str:
     return f"{CORPUS}, selected AS (SELECT * FROM corpus WHERE {' AND '.join(where)})"
 
 
-def _search(name: str, spec: QuerySpec) -> None:
-    """A query of the files that spec selects."""
-    query(name, f"WITH {_selected(spec)} SELECT doc_id, rel FROM selected")(lambda spark, d: filters.select_files(documents_corpus(spark, d), spec).select("doc_id", "rel"))
+def _search(name: str, spec: QuerySpec, where: str) -> None:
+    """A query of the files that spec selects. where: the same in SQL, by hand, over rel, content and length."""
+    query(name, f"WITH {CORPUS} SELECT doc_id, rel FROM corpus WHERE {where}")(lambda spark, d: filters.select_files(documents_corpus(spark, d), spec).select("doc_id", "rel"))
 
 
-# Scans and path filters.
-_search("scan_extension_filter", ALL.where(extensions=("ts", "TSX", ".md")))
-_search("scan_default_extensions", QuerySpec())
-_search("scan_builtin_ignores", ALL)
-_search("scan_user_excludes", ALL.where(exclude=("docs/**", globs.from_exclusion("test.ts"), "!src/**")))
-_search("include_globs", ALL.where(include=("src", "**/*.PY")))
-_search("ignore_globs", ALL.where(ignore=("examples", "*.{ts,tsx}")))
-_search("include_and_ignore", ALL.where(include=("src/**", "docs/doc_?[0-4].*"), ignore=("components",)))
-_search("path_case_sensitive", ALL.where(include=("**/*.MD", "src/**"), case_sensitive=True))
-_search("select_all_mode", ALL)
+#: By hand: what every scan leaves out, of the folders and names that the corpus has or might have; hidden folders and names.
+_SHOWN = (
+    "NOT list_has_any(string_split(rel, '/')[:-2], ['node_modules', 'dist', 'build', 'coverage', 'tmp', 'temp']) AND NOT contains('/' || rel, '/.') AND NOT (ends_with(rel, '.log') AND length(string_split(rel, '/')[-1]) > 4)"
+)
+
+
+def _ends(*extensions: str) -> str:
+    """By hand: a name, not only a dot, before one of the extensions, which are compared as they stand."""
+    return "(" + " OR ".join(f"(ends_with(rel, '.{e}') AND length(string_split(rel, '/')[-1]) > {len(e) + 1})" for e in extensions) + ")"
+
+
+_VIRTUAL = f"{_SHOWN} AND {_ends('ts', 'tsx', 'js', 'jsx', 'py', 'md', 'log', 'bin')}"
+
+# Scans and path filters. Names end in .JSON too, which no extension of lower case is.
+_search("scan_extension_filter", ALL.where(extensions=("ts", "TSX", ".md")), f"{_SHOWN} AND {_ends('ts', 'tsx', 'md')}")
+_search("scan_default_extensions", QuerySpec(), f"{_SHOWN} AND {_ends('ts', 'tsx', 'js', 'jsx', 'py', 'md')}")
+_search("scan_builtin_ignores", ALL, _VIRTUAL)
+_search("scan_user_excludes", ALL.where(exclude=("docs/**", globs.from_exclusion("test.ts"), "!src/**")), f"{_VIRTUAL} AND NOT starts_with(rel, 'docs/') AND NOT ends_with(rel, '.test.ts')")
+_search("include_globs", ALL.where(include=("src", "**/*.PY")), f"{_VIRTUAL} AND (list_contains(string_split(lower(rel), '/'), 'src') OR ends_with(lower(rel), '.py'))")
+_search("ignore_globs", ALL.where(ignore=("examples", "*.{ts,tsx}")), f"{_VIRTUAL} AND NOT list_contains(string_split(lower(rel), '/'), 'examples')")
+_search(
+    "include_and_ignore", ALL.where(include=("src/**", "docs/doc_?[0-4].*"), ignore=("components",)),
+    f"{_VIRTUAL} AND (starts_with(rel, 'src/') OR (starts_with(rel, 'docs/doc_') AND length(string_split(rel[10:], '.')[1]) = 2 AND rel[11:11] BETWEEN '0' AND '4')) AND NOT list_contains(string_split(rel, '/'), 'components')",
+)
+_search("path_case_sensitive", ALL.where(include=("**/*.MD", "src/**"), case_sensitive=True), f"{_VIRTUAL} AND starts_with(rel, 'src/')")
+_search("glob_classes_and_ranges", ALL.where(include=("[D-S]*/DOC_{1..3}?.{TS,m[a-e]}",)), f"{_VIRTUAL} AND rel[1:1] BETWEEN 'd' AND 's' AND len(string_split(rel, '/')) = 2 AND length(string_split(rel, '/')[2]) = 9 AND string_split(rel, '/')[2][5:5] IN ('1', '2', '3') AND rel[-3:] IN ('.ts', '.md')")
+_search("select_all_mode", ALL, _VIRTUAL)
+
+_RANKED = ALL.where(extensions=("md", "TSX", ".ts", "ts", "py", "MD"))
+
+
+@query(
+    "output_order",
+    f"WITH {CORPUS} SELECT doc_id, rel, (CASE WHEN {_ends('md')} THEN 0 WHEN {_ends('tsx')} THEN 1 WHEN {_ends('ts')} THEN 2 ELSE 3 END)::INT AS ext_ord FROM corpus WHERE {_SHOWN} AND {_ends('md', 'tsx', 'ts', 'py')}",
+)
+def output_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extensions are normalised, each counts once, and files go in their order; within one, by path."""
+    found = filters.scan_filter(documents_corpus(spark, sf_dir), _RANKED)
+    return found.select("doc_id", "rel", filters.extension_rank(F.col("rel"), _RANKED.extensions).alias("ext_ord"))
+
 
 _ROOTS = ("src", "src/components", "packages")
 
@@ -103,27 +135,29 @@ _ROOTS = ("src", "src/components", "packages")
 @query(
     "scan_multi_root_distinct",
     f"WITH {CORPUS} SELECT doc_id, rel, min(root_ord)::INT AS root_ord FROM ("
-    + " UNION ALL ".join(f"SELECT doc_id, rel, {i} AS root_ord FROM corpus WHERE starts_with(rel, '{r}/') AND {_scan(ALL)}" for i, r in enumerate(_ROOTS))
+    + " UNION ALL ".join(f"SELECT doc_id, rel, {i} AS root_ord FROM corpus WHERE starts_with(rel, '{r}/') AND {_VIRTUAL}" for i, r in enumerate(_ROOTS))
     + ") GROUP BY doc_id, rel",
 )
 def scan_multi_root_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = filters.scan_filter(documents_corpus(spark, sf_dir), ALL)
-    # Roots overlap; the first that holds a file counts. Which hold it follows from its path alone, so nothing is shuffled.
-    first = F.coalesce(*(F.when(F.startswith("rel", F.lit(r + "/")), F.lit(i)) for i, r in enumerate(_ROOTS)))
-    return corpus.select("doc_id", "rel", first.alias("root_ord")).where("root_ord IS NOT NULL")
-
-
-# Content filters.
-_search("size_guard", SEARCH.where(max_bytes=1500))
-_search("contains_any_ci", ALL.where(strings=("LICENSE", "thé", "token")))
-_search("contains_any_cs", ALL.where(strings=("license", "Éa"), case_sensitive=True))
-_search("contains_one_cs", ALL.where(strings=("license",), case_sensitive=True))
-_search("contains_special_chars", ALL.where(strings=("nd.", "|", "@", "$$")))
-_search("exclude_strings", SEARCH.where(exclude_strings=("license", "###")))
-_search("exclude_only_mode", ALL.where(exclude_strings=("the", "una")))
+    """Roots overlap; the first that shows a file counts."""
+    corpus = documents_corpus(spark, sf_dir)
+    return corpus.withColumn("_r", first_root(F.concat(F.lit("/"), "rel"), [f"/{r}" for r in _ROOTS], ALL)).where("_r IS NOT NULL").select("doc_id", "rel", "_r.root_ord")
+
+
+# Content filters. By hand: ASCII letters fold as lower() does, and é and É are one.
+_lower = "contains(lower(content), {0})".format
+_any_term = " OR ".join(_lower(q(t.lower())) for t in TERMS)
+_search("size_guard", SEARCH.where(max_bytes=1500), f"{_VIRTUAL} AND length <= 1500 AND ({_any_term})")
+_search("contains_any_ci", ALL.where(strings=("LICENSE", "thé", "token")), f"{_VIRTUAL} AND ({_lower(q('license'))} OR {_lower(q('thé'))} OR {_lower(q('token'))})")
+_search("contains_any_cs", ALL.where(strings=("license", "Éa"), case_sensitive=True), f"{_VIRTUAL} AND (contains(content, 'license') OR contains(content, 'Éa'))")
+_search("contains_one_cs", ALL.where(strings="license", case_sensitive=True), f"{_VIRTUAL} AND contains(content, 'license')")
+_search("contains_repeated_terms", ALL.where(strings=("token", "", "token", "TOKEN"), exclude_strings=("", "zzz", "zzz")), f"{_VIRTUAL} AND {_lower(q('token'))}")
+_search("contains_special_chars", ALL.where(strings=("nd.", "|", "@", "$$")), f"{_VIRTUAL} AND ({_lower(q('nd.'))} OR contains(content, '|') OR contains(content, '@') OR contains(content, '$$'))")
+_search("exclude_strings", SEARCH.where(exclude_strings=("license", "###")), f"{_VIRTUAL} AND ({_any_term}) AND NOT {_lower(q('license'))} AND NOT contains(content, '###')")
+_search("exclude_only_mode", ALL.where(exclude_strings=("the", "una")), f"{_VIRTUAL} AND NOT {_lower(q('the'))} AND NOT {_lower(q('una'))}")
 
 _SETTINGS = parse_config(CONFIG)
-_search("config_driven_search", QuerySpec(strings=(*_SETTINGS["search"], "Éa"), extensions=(*_SETTINGS["extensions"], "tsx"), exclude=tuple(_SETTINGS["exclude"])))
+_search("config_driven_search", QuerySpec(strings=(*_SETTINGS["search"], "Éa"), extensions=(*_SETTINGS["extensions"], "tsx"), exclude=tuple(_SETTINGS["exclude"])), f"{_SHOWN} AND {_ends('ts', 'md', 'py', 'tsx')} AND NOT starts_with(rel, 'docs/') AND ({_lower(q('license'))} OR {_lower(q('token'))} OR {_lower(q('éa'))})")
 
 # Lines and matches.
 _SELECT = _selected(SEARCH)
@@ -178,7 +212,7 @@ _ACROSS = ALL.where(strings=(".\nThe ", ".\nÉ"))
 )
 def multiline_literal_no_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = filters.select_files(documents_corpus(spark, sf_dir), _ACROSS)
-    return files.select("doc_id", F.size(context_windows(F.col("content"), _ACROSS.pattern, 2)).cast("long").alias("n_windows"))
+    return files.select("doc_id", F.size(context_windows(F.col("content"), _ACROSS.pattern, 2, lines=False, matches=False)).cast("long").alias("n_windows"))
 
 
 # Windows.
@@ -190,9 +224,9 @@ island AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY ln) AS g FROM
 windows AS (SELECT doc_id, rel, g, greatest(1, min(ln) - {n})::INT AS start_line, least(min(n_lines), max(ln) + {n})::INT AS end_line, sum(n)::BIGINT AS n_matches FROM island GROUP BY doc_id, rel, g)"""
 
 
-def _windows(spark: SparkSession, sf_dir: str, n: int, spec: QuerySpec = SEARCH) -> DataFrame:
-    files = with_windows(filters.select_files(documents_corpus(spark, sf_dir), spec), spec.pattern, n)
-    return files.select("doc_id", F.explode("windows").alias("w")).select("doc_id", F.col("w.start_line").alias("start_line"), F.col("w.end_line").alias("end_line"), F.size("w.matches").cast("long").alias("n_matches"), F.col("w.lines").alias("lines"))
+def _windows(spark: SparkSession, sf_dir: str, n: int, *more: str, **fields: bool) -> DataFrame:
+    files = with_windows(filters.select_files(documents_corpus(spark, sf_dir), SEARCH), SEARCH.pattern, n, **({"lines": False, "matches": False} | fields))
+    return files.select("doc_id", F.explode("windows").alias("w")).select("doc_id", "w.start_line", "w.end_line", "w.n_matches", *(f"w.{c}" for c in more))
 
 
 @query(
@@ -207,7 +241,7 @@ def window_bounds_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 for _name, _n in (("context_windows_merged", 2), ("context_windows_merged_n5", 5)):
-    query(_name, f"WITH {_windows_sql(_n)} SELECT doc_id, start_line, end_line, n_matches FROM windows")(lambda spark, d, n=_n: _windows(spark, d, n).drop("lines"))
+    query(_name, f"WITH {_windows_sql(_n)} SELECT doc_id, start_line, end_line, n_matches FROM windows")(lambda spark, d, n=_n: _windows(spark, d, n))
 
 
 @query("context_windows_by_rows", f"WITH {_windows_sql(2)} SELECT doc_id, start_line, end_line, n_matches FROM windows")
@@ -217,7 +251,7 @@ def context_windows_by_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("windows_per_doc", f"WITH {_windows_sql(2)} SELECT doc_id, count(*)::BIGINT AS n_windows FROM windows GROUP BY doc_id")
 def windows_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = with_windows(filters.select_files(documents_corpus(spark, sf_dir), SEARCH), SEARCH.pattern, 2)
+    files = with_windows(filters.select_files(documents_corpus(spark, sf_dir), SEARCH), SEARCH.pattern, 2, lines=False, matches=False)
     return files.select("doc_id", F.size("windows").cast("long").alias("n_windows")).where("n_windows > 0")
 
 
@@ -226,7 +260,7 @@ _TEXTS = ", texts AS (SELECT w.doc_id, w.rel, w.start_line, w.end_line, w.n_matc
 
 @query("window_lines_text", f"WITH {_windows_sql(2)}{_TEXTS.format('l.line', 'chr(10)')} SELECT doc_id, start_line, text FROM texts")
 def window_lines_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _windows(spark, sf_dir, 2).select("doc_id", "start_line", F.array_join("lines", "\n").alias("text"))
+    return _windows(spark, sf_dir, 2, "lines", lines=True).select("doc_id", "start_line", F.array_join("lines", "\n").alias("text"))
 
 
 # Rendering.
@@ -247,7 +281,7 @@ for _name, _sql in _BLOCKS.items():
 
 @query("render_context_block", f"{_FORMATTED} SELECT doc_id, body AS block FROM files")
 def render_context_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = with_windows(filters.select_files(documents_corpus(spark, sf_dir), SEARCH), SEARCH.pattern, 2).where(F.size("windows") > 0)
+    files = with_windows(filters.select_files(documents_corpus(spark, sf_dir), SEARCH), SEARCH.pattern, 2, matches=False).where(F.size("windows") > 0)
     return files.select("doc_id", render.format_windows(F.col("windows")).alias("block"))
 
 
@@ -291,6 +325,22 @@ def directory_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Scalar functions.
+@query("grouped_digits", f"WITH {CORPUS} SELECT doc_id, format('{{:,}}', length * 997) AS digits, lpad(format('{{:,}}', length), greatest(8, length(format('{{:,}}', length)))::INT, ' ') AS padded FROM corpus")
+def grouped_digits_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents_corpus(spark, sf_dir).select("doc_id", grouped_digits(F.col("length") * 997).alias("digits"), pad_start(grouped_digits(F.col("length")), 8).alias("padded"))
+
+
+#: Bytes that are no UTF-8, before and after each text: a lone start byte, a continuation byte, and a start byte with too few.
+_BROKEN = "FF80E282"
+
+
+@query("utf8_decoding", "SELECT doc_id, '\ufffd\ufffd\ufffd' || text || '\ufffd\ufffd\ufffd' AS content FROM documents WHERE text IS NOT NULL")
+def utf8_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    broken = F.unhex(F.lit(_BROKEN))
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL")
+    return rows.select("doc_id", utf8(F.concat(broken, F.col("text").cast("binary"), broken)).alias("content"))
+
+
 @query("path_functions", rf"WITH {CORPUS} SELECT doc_id, lower(regexp_extract(rel, '[^/](\.[^./]*)$', 1)) AS ext, {_LANG} AS language, {_U16.format('content')}::BIGINT AS size, ({_U16.format('content')} + 2) // 4 AS tokens FROM corpus")
 def path_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = utf16_length(F.col("content"))
@@ -308,8 +358,8 @@ def _other_sql(source: str, key: str, content: str, pattern: str) -> str:
 
 
 def _other(df: DataFrame, key: str, content: str, pattern: str) -> DataFrame:
-    files = df.where(F.col(content).rlike(pattern)).select(df[key].alias("doc_id"), context_windows(F.col(content), pattern, 1).alias("windows"))
-    return files.select("doc_id", F.explode("windows").alias("w")).select("doc_id", F.col("w.start_line").alias("start_line"), F.col("w.end_line").alias("end_line"), F.size("w.matches").cast("long").alias("n_matches"))
+    files = df.where(F.col(content).rlike(pattern)).select(df[key].alias("doc_id"), context_windows(F.col(content), pattern, 1, lines=False, matches=False).alias("windows"))
+    return files.select("doc_id", F.explode("windows").alias("w")).select("doc_id", "w.start_line", "w.end_line", "w.n_matches")
 
 
 query("pages_search", _other_sql("pages", "page_id", "html", _PAGES))(lambda spark, d: _other(spark.read.parquet(f"{d}/pages.parquet"), "page_id", "html", _PAGES))
