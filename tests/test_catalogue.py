@@ -41,5 +41,8 @@ def test_query_equals_sql(spark, con, data, name):
 def test_search_stays_in_the_scan_stage(spark, data):
     plan = catalogue.QUERIES["context_windows_merged"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+    # Windows are computed once, whatever reads them.
+    for name in ("context_windows_merged", "summary_totals", "top10_by_tokens", "render_xml_context", "windows_per_doc"):
+        assert catalogue.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString().count("split(") == 1, name
     plan = catalogue.QUERIES["contains_one_cs"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "StringContains(text,license)" in plan

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Running values are folded in blocks of so many, since appending to an array copies it.
@@ -16,6 +16,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once, however many filters and columns read it: Spark moves a filter on it below a projection, and computes the value again there, but never below a generator."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def running(xs: Column, op: Callable[[Column, Column], Column], zero: Column) -> Column:
     """For each place of xs, op over all that stand before it, from zero; null for an empty array."""
 

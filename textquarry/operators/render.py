@@ -47,12 +47,17 @@ def md_windows(rel: Column, windows: Column) -> Column:
         F.lit(f"\n\n{FENCE}"), fence_language(rel), F.lit("\n"), format_windows(windows), F.lit(f"{FENCE}\n\n"))
 
 
-def with_block(files: DataFrame, spec: QuerySpec) -> DataFrame:
-    """files with block, null for a file that gives none: one without windows where context is asked, or one that could not be read. Any style but xml is Markdown."""
-    rel = F.col("rel")
+def gives_block(spec: QuerySpec) -> Column:
+    """Whether a file gives a block: not one without windows where context is asked, nor one that could not be read."""
+    return F.size("windows") > 0 if spec.context else F.col("content").isNotNull()
+
+
+def rendered(files: DataFrame, spec: QuerySpec) -> DataFrame:
+    """The files that give a block, with it. With context, files have windows. Any style but xml is Markdown."""
+    rel, files = F.col("rel"), files.where(gives_block(spec))
     if spec.context:
         block = xml_windows if spec.style == "xml" else md_windows
-        return files.withColumn("block", F.when(F.size("windows") > 0, block(rel, F.col("windows"))))
+        return files.withColumn("block", block(rel, F.col("windows")))
     block = xml_file if spec.style == "xml" else md_file
     return files.withColumn("block", block(rel, F.col("content")))
 
@@ -73,7 +78,7 @@ def block_size(spec: QuerySpec) -> Column:
         body = F.aggregate(windows, F.lit(0).cast("long"), lambda acc, w: acc + lines(w)) + (F.size(windows) - 1) * len(BETWEEN)
         # The block without windows has a 0 in either count's place.
         counts = digits(match_count(windows)) + digits(F.size(windows)) - 2
-        return F.when(F.size(windows) > 0, utf16_length(block) + body + counts).cast("long")
+        return F.when(gives_block(spec), utf16_length(block) + body + counts).cast("long")
     block = (xml_file if spec.style == "xml" else md_file)(rel, F.lit(""))
     return utf16_length(block) + utf16_length(F.col("content"))
 

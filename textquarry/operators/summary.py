@@ -12,8 +12,8 @@ TOP = 10
 
 
 def file_sizes(sized: DataFrame) -> DataFrame:
-    """rel, ord, size and tokens of each file that gives a block. sized: files with size, null without a block."""
-    return sized.where("size IS NOT NULL").select("rel", "ord", "size").withColumn("tokens", token_estimate(F.col("size")))
+    """rel, ord, size and tokens of each of sized."""
+    return sized.select("rel", "ord", "size").withColumn("tokens", token_estimate(F.col("size")))
 
 
 def totals(sized: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textquarry.functions.arrays import let, running
+from textquarry.functions.arrays import let, once, running
 from textquarry.functions.text import utf16_length
 
 
@@ -89,7 +89,7 @@ def context_windows(content: Column, pattern: str, n: int, chars: bool = False,
 
 
 def with_windows(files: DataFrame, pattern: str, n: int, **fields: bool) -> DataFrame:
-    return files.withColumn("windows", context_windows(F.col("content"), pattern, n, **fields))
+    return once(files, "windows", context_windows(F.col("content"), pattern, n, **fields))
 
 
 def match_count(windows: Column) -> Column:

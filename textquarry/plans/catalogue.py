@@ -358,7 +358,7 @@ def _other_sql(source: str, key: str, content: str, pattern: str) -> str:
 
 
 def _other(df: DataFrame, key: str, content: str, pattern: str) -> DataFrame:
-    files = df.where(F.col(content).rlike(pattern)).select(df[key].alias("doc_id"), context_windows(F.col(content), pattern, 1, lines=False, matches=False).alias("windows"))
+    files = with_windows(df.where(F.col(content).rlike(pattern)).select(df[key].alias("doc_id"), F.col(content).alias("content")), pattern, 1, lines=False, matches=False)
     return files.select("doc_id", F.explode("windows").alias("w")).select("doc_id", "w.start_line", "w.end_line", "w.n_matches")
 
 

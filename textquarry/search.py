@@ -35,7 +35,7 @@ class Search:
 
     @cached_property
     def blocks(self) -> DataFrame:
-        return render.with_block(self._windowed(matches=False), self.spec).where("block IS NOT NULL")
+        return render.rendered(self._windowed(matches=False), self.spec)
 
     @cached_property
     def sized(self) -> DataFrame:
@@ -44,7 +44,7 @@ class Search:
 
     @cached_property
     def sizes(self) -> DataFrame:
-        return summary.file_sizes(self.sized)
+        return summary.file_sizes(self.sized.where(render.gives_block(self.spec)))
 
     def unreadable(self) -> DataFrame:
         """Selected files that could not be read, and why."""
