@@ -42,7 +42,7 @@ def in_duckdb(sf_dir: str, cpus: str) -> dict[str, float]:
     con = duckdb.connect(config={"threads": cpus})
     for t in ("documents", "pages", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
-    return {name: median_of(lambda: con.execute(ORACLES[name]).fetch_arrow_table()) for name in HEADLINE}  # noqa: B023
+    return {name: median_of(lambda: con.execute(ORACLES[name]).to_arrow_table()) for name in HEADLINE}  # noqa: B023
 
 
 def main() -> None:
