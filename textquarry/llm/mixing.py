@@ -26,6 +26,8 @@ an empty one in the hash; of other columns only weight_col is read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -177,38 +179,47 @@ def _filled(docs: DataFrame, gaps: DataFrame) -> DataFrame:
     return _join(docs, fits, "left").withColumn("head", F.col("head") | fitting).drop("fit")
 
 
-def _less(gaps: DataFrame, used: DataFrame) -> DataFrame:
-    """gaps less what each source has used."""
-    right = used.withColumnRenamed("source", "_s")
-    return gaps.join(right, F.col("source").eqNullSafe(F.col("_s")), "left").select("source", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap"))
-
-
 def _walked(docs: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs and gaps with all taken that fit when the order is gone down past what does not.
 
-    A pass takes the head of what still fits, by buckets as the first head was;
-    the next leaves out what is larger than the new gap, so each source takes at
-    least one document a pass, and seldom needs many. Rows of one doc_id count together.
+    A pass takes the head of what still fits, by buckets as the first head was. The
+    next goes on behind it, without what is larger than the new gap: what was passed
+    over never fits again. So a pass needs no more than each source's gap and place,
+    and what it took is told by these. Each source takes at least one document a
+    pass, and seldom needs many. Rows of one doc_id count together.
     """
+    rows = _join(docs.where(F.col("q").isNotNull() & ~F.col("head") & (F.col("size") > 0)), gaps).where(F.col("size") <= F.col("gap"))
+    groups = materialize(rows.groupBy("source", "bucket", "q", "doc_id").agg(F.sum("size").alias("size"), F.first("gap").alias("gap")).where(F.col("size") <= F.col("gap")).drop("gap"), "mix-groups")
+    key = dict(groups.dtypes)["doc_id"]
+    state = gaps.select("source", "gap", F.lit(-1).cast("long").alias("b0"), F.lit(-1.0).alias("q0"), F.lit(None).cast(key).alias("d0"))
+    after = lambda b, q, d: (F.col("bucket") > F.col(b)) | ((F.col("bucket") == F.col(b)) & ((F.col("q") > F.col(q)) | F.coalesce((F.col("q") == F.col(q)) & (F.col("doc_id") > F.col(d)), F.lit(False))))
+    passes: list[DataFrame] = []
     while True:
-        rows = _join(docs.where(F.col("q").isNotNull() & ~F.col("head") & (F.col("size") > 0)), gaps).where(F.col("size") <= F.col("gap"))
-        groups = materialize(rows.groupBy("source", "bucket", "q", "doc_id").agg(F.sum("size").alias("size"), F.first("gap").alias("gap")).where(F.col("size") <= F.col("gap")), "mix-groups")
-        if groups.isEmpty():
-            return docs, gaps
-        open_ = materialize(groups.groupBy("source").agg(F.first("gap").alias("budget")), "mix-open")
-        ends = materialize(_ends(groups, open_), "mix-ends")
-        groups = _join(groups.drop("gap"), ends)
+        rows = _join(groups, state).where((F.col("size") <= F.col("gap")) & after("b0", "q0", "d0"))
+        open_ = materialize(rows.groupBy("source").agg(F.first("gap").alias("budget"), F.first("b0").alias("b0"), F.first("q0").alias("q0"), F.first("d0").alias("d0")), "mix-open")
+        if open_.isEmpty():
+            break
+        ends = materialize(_ends(rows.select("source", "bucket", "size"), open_.select("source", "budget")), "mix-ends")
         running = F.col("base") + F.sum("size").over(Window.partitionBy("source").orderBy("q", "doc_id"))
-        edge = groups.where(F.col("bucket") == F.col("cross")).withColumn("upto", running).where(F.col("upto") <= F.col("budget"))
-        last = materialize(edge.groupBy("source").agg(F.max(F.struct("q", "doc_id")).alias("last"), F.max("upto").alias("upto")), "mix-lasts")
-        ends = materialize(_join(ends, last, "left").select("source", "cross", "last", F.coalesce("upto", "base").alias("used")), "mix-taken")
-        taken = F.col("cross").isNull() | (F.col("bucket") < F.col("cross")) | ((F.col("bucket") == F.col("cross")) & (F.struct("q", "doc_id") <= F.col("last")))
-        got = _join(groups.drop("cross", "base", "budget"), ends).where(F.coalesce(taken, F.lit(False))).select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.lit(True).alias("_got"))
-        got = materialize(got, "mix-got")
-        small = got.limit(BROADCAST_ROWS // 4 + 1).count() <= BROADCAST_ROWS // 4
-        docs = docs.join(F.broadcast(got) if small else got, F.col("source").eqNullSafe(F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
-        docs = materialize(docs.withColumn("head", F.col("head") | (F.coalesce("_got", F.lit(False)) & (F.col("size") > 0))).drop("_s", "_d", "_got"), "mix-heads")
-        gaps = materialize(_less(gaps, ends.select("source", "used")), "mix-gaps")
+        edge = _join(rows.drop("gap", "b0", "q0", "d0"), ends).where(F.col("bucket") == F.col("cross")).withColumn("upto", running).where(F.col("upto") <= F.col("budget"))
+        last = edge.groupBy("source").agg(F.max(F.struct("q", "doc_id")).alias("last"), F.max("upto").alias("upto"))
+        # Up to where a source's documents were taken: the end, the last one in the bucket of the crossing, or what lies before that bucket.
+        to = _join(_join(open_, ends.drop("budget")), last, "left").select(
+            "source", F.col("budget").alias("gap"), "b0", "q0", "d0", "cross", F.coalesce("last.q", F.lit(-1.0)).alias("q1"), F.col("last.doc_id").alias("d1"), (F.col("budget") - F.coalesce("upto", "base")).alias("left"))
+        passes.append(materialize(to, "mix-pass"))
+        state = passes[-1].select("source", F.when(F.col("cross").isNotNull(), F.col("left")).otherwise(-1.0).alias("gap"), F.col("cross").alias("b0"), F.col("q1").alias("q0"), F.col("d1").alias("d0")).where("b0 IS NOT NULL")
+    if not passes:
+        return docs, gaps
+    spans = reduce(lambda a, b: a.unionByName(b), passes)
+    got = _join(groups, spans).where((F.col("size") <= F.col("gap")) & after("b0", "q0", "d0") & (F.col("cross").isNull() | ~after("cross", "q1", "d1")))
+    got = materialize(got.select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), "size", F.lit(True).alias("_got")), "mix-got")
+    used = got.groupBy("_s").agg(F.sum("size").alias("used"))
+    gaps = materialize(gaps.join(used, F.col("source").eqNullSafe(F.col("_s")), "left").select("source", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")), "mix-gaps")
+    small = got.limit(BROADCAST_ROWS // 4 + 1).count() <= BROADCAST_ROWS // 4
+    got = got.drop("size")
+    docs = docs.join(F.broadcast(got) if small else got, F.col("source").eqNullSafe(F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
+    docs = materialize(docs.withColumn("head", F.col("head") | (F.coalesce("_got", F.lit(False)) & (F.col("size") > 0))).drop("_s", "_d", "_got"), "mix-heads")
+    return docs, gaps
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
