@@ -18,7 +18,7 @@ are joined back; a group of any size is one number a task before it is shuffled.
 
 Defined cases: a null text is empty and fails A alone (and E, if an empty text
 has a smaller id); of rows that share id and text none is a copy of the other,
-and each counts; a row without doc_id is no copy and none's original; rows
+and each counts; a row without doc_id is no copy, none's original, and has no labels; rows
 without source are part ''; of a doc_id's repeated labels one that is 1 counts;
 an empty table has no parts and gives no rows. Very long texts are numbered in
 pieces. Only doc_id, text and source are read, so others may have any name.

@@ -365,35 +365,33 @@ def slots(plan_: Plan, capacity: int) -> dict[str, np.ndarray]:
 
 def pack(items: DataFrame, size: str = "length", capacity: int = CAPACITY) -> DataFrame:
     """items with sequence_id and offset: sequences of at most capacity, as few as may be. The column of sizes has whole numbers."""
-    stored = materialize(items.withColumn("_row", F.monotonically_increasing_id()), "packing-items")
-    fits = F.col(f"`{size}`").between(1, capacity)
+    own = items.select(F.struct("*").alias("row"), F.when(F.col(f"`{size}`").between(1, capacity), F.col(f"`{size}`").cast("int")).alias("size"), F.monotonically_increasing_id().alias("id"))
+    stored = materialize(own, "packing-items")
     counts = np.zeros(capacity + 1, np.int64)
-    for r in stored.where(fits).groupBy(F.col(f"`{size}`").cast("int").alias("s")).count().collect():  # capacity rows at most
-        counts[r["s"]] = r["count"]
+    for r in stored.where("size IS NOT NULL").groupBy("size").count().collect():  # capacity rows at most
+        counts[r["size"]] = r["count"]
     where = slots(plan(counts), capacity)
     buckets = max(LEAST_BUCKETS, int(counts.sum()) // BUCKET_ROWS + 1)
-    own = stored.withColumn("_size", F.when(fits, F.col(f"`{size}`").cast("int"))).withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.lit(buckets)))
-    first = own.where("_size IS NOT NULL").groupBy("_size", "_bucket").count()
-    before = Window.partitionBy("_size").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    first = first.select("_size", "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
-    ranked = own.withColumn("_rank", F.row_number().over(Window.partitionBy("_size", "_bucket").orderBy("_row")))
-    ranked = ranked.join(first, ["_size", "_bucket"], "left").withColumn("_rank", F.col("_first") + F.col("_rank") - 1)
+    own = stored.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)))
+    first = own.where("size IS NOT NULL").groupBy("size", "bucket").count()
+    before = Window.partitionBy("size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    first = first.select("size", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
+    ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy("size", "bucket").orderBy("id")))
+    ranked = ranked.join(first, ["size", "bucket"], "left").select("row", "size", (F.col("first") + F.col("rank") - 1).alias("rank"))
     # Sizes and numbers as one ascending key; the next slot's key ends a slot.
     key = where["size"] * (1 << 44) + where["first"]
-    columns = [f.name for f in items.schema.fields]
+    names = [*items.columns, "sequence_id", "offset"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("_size", "_rank"))
-            none = np.isnan(n.astype(np.float64))
-            s, n = np.where(none, 0, s).astype(np.int64), np.where(none, 0, n).astype(np.int64)
-            at = np.maximum(np.searchsorted(key, s * (1 << 44) + n, "right") - 1, 0)
-            if not len(key):
-                none, sequence, offset = np.ones(len(s), bool), s, s
-            else:
+            none = b.column("rank").is_null().to_numpy(zero_copy_only=False)
+            s, n = (b.column(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("size", "rank"))
+            sequence = offset = n
+            if len(key):
+                at = np.maximum(np.searchsorted(key, s * (1 << 44) + n, "right") - 1, 0)
                 n = n - where["first"][at]
                 sequence, offset = where["base"][at] + n // where["each"][at], where["offset"][at] + n % where["each"][at] * s
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(sequence, pa.int64(), mask=none), pa.array(offset, pa.int64(), mask=none)], [*columns, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*b.column("row").flatten(), pa.array(sequence, pa.int64(), mask=none), pa.array(offset, pa.int64(), mask=none)], names)
 
     schema = StructType([*items.schema.fields]).add("sequence_id", LongType()).add("offset", LongType())
     return ranked.mapInArrow(place, schema)
