@@ -6,7 +6,7 @@ sequence is cut, so that all its pieces but the first are whole sequences.
 Cutting text into words as the tokenizer does, a byte-level one that starts a new
 word at each blank, is done here for a block of texts at once: a unit is a word with
 the blank before it, or white space between words, and has a number (see
-``bytewords``). Only units that a task hasn't met are encoded, joined to one text
+``bytewords``). Only units that a worker hasn't met are encoded, joined to one text
 and parted again by the lengths of their tokens. The tokens of each block are
 decoded to bytes and compared with it, so equal numbers of different units can't
 pass unseen. Texts with white space beyond ASCII or with a special token's string,
@@ -44,6 +44,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -60,8 +61,8 @@ QUERY = "op13_packing"
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 CAPACITY = 2048
 END = 0
-#: A task remembers the tokens of so many units, some 150 bytes each, and starts anew then.
-KNOWN = 1 << 19
+#: A worker remembers the tokens of so many units, 70 bytes each at most, and starts anew then.
+KNOWN = 1 << 21
 #: Rows of a bucket, about, and the least number of buckets. A bucket's items of one size are numbered in one task.
 BUCKET_ROWS, LEAST_BUCKETS = 1 << 18, 64
 
@@ -81,6 +82,39 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Numbers:
+    """64-bit numbers and the order in which they were added, in a table with open addresses: many are looked up, or added, at once."""
+
+    def __init__(self, most: int):
+        """most: room is for twice as many."""
+        self.mask = (1 << max(most - 1, 1).bit_length() + 1) - 1
+        self.key, self.place, self.n = np.zeros(self.mask + 1, np.uint64), np.full(self.mask + 1, -1, np.int32), 0
+
+    def find(self, numbers: np.ndarray) -> np.ndarray:
+        """The place of each number, -1 for one that is not there."""
+        out = np.full(len(numbers), -1, np.int32)
+        at, left = (numbers & U(self.mask)).astype(np.int64), np.arange(len(numbers))
+        while len(left):
+            place = self.place[at]
+            same = (place >= 0) & (self.key[at] == numbers[left])
+            out[left[same]] = place[same]
+            on = (place >= 0) & ~same
+            left, at = left[on], (at[on] + 1) & self.mask
+        return out
+
+    def add(self, numbers: np.ndarray) -> None:
+        """Adds numbers, each once and none of them there yet."""
+        at, left = (numbers & U(self.mask)).astype(np.int64), np.arange(len(numbers), dtype=np.int32)
+        while len(left):
+            free = self.place[at] < 0
+            # Of several that want one address the last written has it, the others go on.
+            self.place[at[free]] = self.n + left[free]
+            won = self.place[at] == self.n + left
+            self.key[at[won]] = numbers[left[won]]
+            left, at = left[~won], (at[~won] + 1) & self.mask
+        self.n += len(numbers)
+
+
 class Encoder:
     """A tokenizers file ready to encode many texts."""
 
@@ -106,7 +140,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known = Numbers(self.most)
         self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _plain(self, text: str) -> np.ndarray:
@@ -167,37 +201,38 @@ class Encoder:
         return [*parts, text[begin:]]
 
     def _block(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.known) > self.most:
+        if self.known.n > self.most:
             self._forget()
         x = np.frombuffer(b"\n".join([b"", *texts, b""]), np.uint8)
         bars = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-        kind = IS_SPACE[x].astype(np.int8)
-        kind[bars] = 2
-        word = np.flatnonzero((kind[1:] == 0) & (kind[:-1] != 0)) + 1
-        spaced = kind[word - 1] == 1
+        space = IS_SPACE[x]
+        space[bars] = False
+        word = ~space
+        word[bars] = False
+        begin = np.flatnonzero(word[1:] & ~word[:-1]) + 1
+        spaced = space[begin - 1]
         # A blank belongs to the word after it; other white space leaves its last character alone before a word.
         starts = np.zeros(len(x), bool)
-        starts[word[spaced] - 1] = True
-        starts[word[~(spaced & (x[word - 1] == 0x20))]] = True
-        starts[1:] |= (kind[1:] == 1) & (kind[:-1] != 1)
+        starts[begin - spaced] = True
+        starts[begin[~(spaced & (x[begin - 1] == 0x20))]] = True
+        starts[1:] |= space[1:] & ~space[:-1]
         starts[bars] = True
         begin = np.flatnonzero(starts)
-        bar = kind[begin] == 2
+        bar = np.zeros(len(x), bool)
+        bar[bars] = True
+        bar = bar[begin]
         end = np.append(begin[1:], len(x))[~bar]
         of_text = np.cumsum(bar)[~bar] - 1
         begin = begin[~bar]
         total = np.zeros(len(x) + 1, np.uint64)
         np.cumsum(bytewords._BYTE[x] * bytewords._PLUS[: len(x)], out=total[1:])
         number = mixed((total[end] - total[begin]) * bytewords._MINUS[begin] + (end - begin).astype(np.uint64) * U(0x9E3779B97F4A7C15))
-        unique, first, place = np.unique(number, return_index=True, return_inverse=True)
-        names = unique.tolist()
-        at = list(map(self.known.get, names))
-        new = [i for i, k in enumerate(at) if k is None]
-        if new:
-            self._learn([names[i] for i in new], [x[begin[j] : end[j]].tobytes() for j in first[new]])
-            for i in new:
-                at[i] = self.known[names[i]]
-        at = np.array(at, np.int64)[place]
+        at = self.known.find(number)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            unique, first = np.unique(number[new], return_index=True)
+            self._learn(unique, x, begin[new[first]], end[new[first]])
+            at[new] = self.known.find(number[new])
         size = np.diff(self.ends)[at]
         ids = _gathered(self.ids, self.ends[at], size)
         if not np.array_equal(_gathered(self.store, self.begin[ids], self.size[ids]), np.delete(x, bars)):
@@ -205,25 +240,30 @@ class Encoder:
             return [self.whole(t.decode("utf-8", "surrogatepass")) for t in texts]
         return np.split(ids, np.cumsum(np.bincount(of_text, size, len(texts)).astype(np.int64))[:-1])
 
-    def _learn(self, names: list[int], units: list[bytes]) -> None:
-        """Encodes units: words with a blank as one text, bare words with newlines between, white space one by one."""
-        groups: tuple[list[int], list[int], list[int]] = ([], [], [])
-        for i, u in enumerate(units):
-            groups[2 if IS_SPACE[u[-1]] else 0 if u[0] == 0x20 else 1].append(i)
-        found: list[tuple[int, np.ndarray]] = []
-        for own, between in ((groups[0], b""), (groups[1], b"\n")):
-            for k in range(0, len(own), 20_000):
-                some = own[k : k + 20_000]
-                ids = self._plain(between.join(units[i] for i in some).decode("utf-8", "surrogatepass"))
-                upto = np.cumsum(self.size[ids])
-                stop = np.cumsum([len(units[i]) + len(between) for i in some]) - len(between)
-                last = np.searchsorted(upto, stop) + 1
-                start = np.concatenate([[0], last[:-1] + len(between)])
-                found += [(i, ids[a:b]) for i, a, b in zip(some, start, last, strict=True)]
-        found += [(i, self._plain(units[i].decode())) for i in groups[2]]
-        self.known.update((names[i], len(self.ends) - 1 + k) for k, (i, _) in enumerate(found))
-        self.ids = np.concatenate([self.ids, *(f for _, f in found)])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(f) for _, f in found])])
+    def _learn(self, numbers: np.ndarray, x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        """Encodes the units x[begin : end]: words with a blank as one text, bare words with newlines between, white space one by one."""
+        kind = np.where(IS_SPACE[x[end - 1]], 2, x[begin] != 0x20)
+        order, ids, sizes = np.argsort(kind, kind="stable"), [self.ids], []
+        for own, between in ((np.flatnonzero(kind == 0), 0), (np.flatnonzero(kind == 1), 1)):
+            if len(own):
+                # A character more is taken after each bare word, and a newline put there.
+                size = end[own] - begin[own] + between
+                text, stop = _gathered(x, begin[own], size), np.cumsum(size)
+                if between:
+                    text[stop - 1] = 0x0A
+                found = self._plain(text.tobytes().decode("utf-8", "surrogatepass"))
+                upto = np.searchsorted(np.cumsum(self.size[found]), stop) + 1
+                if between:
+                    found = np.delete(found, upto - 1)
+                    upto -= np.arange(1, len(upto) + 1)
+                ids.append(found)
+                sizes.append(np.diff(upto, prepend=0))
+        for i in np.flatnonzero(kind == 2):
+            ids.append(self._plain(x[begin[i] : end[i]].tobytes().decode()))
+            sizes.append(np.array([len(ids[-1])]))
+        self.known.add(numbers[order])
+        self.ids = np.concatenate(ids)
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes))])
 
 
 def _gathered(store: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -231,6 +271,12 @@ def _gathered(store: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndar
     return store[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))] if len(size) else store[:0]
 
 
+@lru_cache(maxsize=1)
+def _encoder(data: str) -> Encoder:
+    """A worker's own, kept from task to task with the units that it has met."""
+    return Encoder(data)
+
+
 def pieces(documents: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """doc_id, piece, start, length and ids (little-endian unsigned 32-bit numbers, as binary) of each piece of each document."""
     bounded_batches(documents.sparkSession)
@@ -238,7 +284,7 @@ def pieces(documents: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAP
         data = f.read()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(data)
+        encoder = _encoder(data)
         for batch in batches:
             owner, rows = [], []
             for i, ids in enumerate(encoder.encode(batch.column("text").to_pylist())):
