@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 from textquarry.functions.patterns import any_literal
 from textquarry.functions.text import extension, fence_language, grouped_digits, pad_start, token_estimate, utf16_length
 from textquarry.operators import filters, render
+from textquarry.operators.line_windows import line_positions, line_windows
 from textquarry.operators.windows import context_windows, hits, match_positions, split_lines, windows_by_rows, with_windows
 from textquarry.plans import globs
 from textquarry.plans.config import parse_config
 from textquarry.plans.spec import QuerySpec
 from textquarry.search import Search
 from textquarry.sources.corpus import VIRTUAL_EXTENSIONS, VIRTUAL_FOLDERS, documents_corpus, first_root, utf8
+from textquarry.sources.lines import Lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -249,6 +251,26 @@ def context_windows_by_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows_by_rows(filters.select_files(documents_corpus(spark, sf_dir), SEARCH), "doc_id", SEARCH.pattern, 2)
 
 
+def _one_file(spark: SparkSession, sf_dir: str) -> Lines:
+    """All documents, one after the other, as the lines of a single file, a block each."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL")
+    return Lines.of(rows.select(F.lit("all").alias("path"), F.col("doc_id").alias("block"), F.posexplode(split_lines(F.col("text"))).alias("i", "text")))
+
+
+_ONE_FILE = "selected AS (SELECT 'all' AS doc_id, '' AS rel, string_agg(text, chr(10) ORDER BY doc_id) AS content FROM documents)"
+
+
+@query("context_windows_by_blocks", f"WITH {_windows_sql(2, _ONE_FILE)} SELECT doc_id AS path, start_line, end_line, n_matches FROM windows")
+def context_windows_by_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file without bound: its lines are never together in a task."""
+    return line_windows(_one_file(spark, sf_dir), SEARCH.pattern, 2)
+
+
+@query("match_positions_by_blocks", _positions_sql(_ONE_FILE, _P).replace("SELECT doc_id, ln::INT", "SELECT doc_id AS path, ln::INT"))
+def match_positions_by_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_positions(_one_file(spark, sf_dir), SEARCH.pattern)
+
+
 @query("windows_per_doc", f"WITH {_windows_sql(2)} SELECT doc_id, count(*)::BIGINT AS n_windows FROM windows GROUP BY doc_id")
 def windows_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = with_windows(filters.select_files(documents_corpus(spark, sf_dir), SEARCH), SEARCH.pattern, 2, lines=False, matches=False)

@@ -131,18 +131,18 @@ def utf8(content: Column) -> Column:
     return F.call_function("make_valid_utf8", content.cast("string"))
 
 
-def _remote(root: str) -> bool:
+def is_remote(root: str) -> bool:
     return re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", root) is not None
 
 
-def _tops(roots: list[str], prune: str) -> list[str]:
-    """The roots to walk: one that lies in another is met there, unless a hidden or pruned folder is on the way."""
+def tops(roots: list[str], prune: str | None = None, hidden: tuple[str, ...] = (".",)) -> list[str]:
+    """The roots to walk: one that lies in another is met there, unless a pruned folder or one with a hidden beginning is on the way."""
 
     def met(inner: str, outer: str) -> bool:
         if not inner.startswith(outer.rstrip("/") + "/"):
             return False
         names = inner[len(outer) :].strip("/").split("/")
-        return not any(n.startswith(".") for n in names) and not any(re.search(prune, "/".join(names[: i + 1]) + "/_") for i in range(len(names)))
+        return not any(n.startswith(hidden) for n in names) and not (prune and any(re.search(prune, "/".join(names[: i + 1]) + "/_") for i in range(len(names))))
 
     return [r for i, r in enumerate(roots) if r not in roots[:i] and not any(met(r, o) for o in roots if o != r)]
 
@@ -159,6 +159,20 @@ def first_root(path: Column, roots: list[str], spec: QuerySpec) -> Column:
     return F.coalesce(*found)
 
 
+def root_paths(spec: QuerySpec, cwd: str) -> list[str]:
+    """The roots of spec as paths begin with them; Spark writes a scheme without a host with one slash."""
+    return [re.sub(r"^([^:/]+):///+", r"\1:/", r).rstrip("/") if is_remote(r) else os.path.abspath(os.path.join(cwd, r)) for r in spec.roots]
+
+
+def located(files: DataFrame, roots: list[str], spec: QuerySpec, cwd: str) -> DataFrame:
+    """files (by path) that a root of spec shows, with root_ord, ext_ord and root_rel of the first that does, and rel, the path as seen from cwd."""
+    found = files.withColumn("_found", first_root(F.col("path"), roots, spec)).where("_found IS NOT NULL").select(*files.columns, "_found.*")
+    # Paths as seen from the working folder, also where that lies beside or below the root.
+    below = F.when(F.startswith("path", F.lit(cwd.rstrip("/") + "/")), F.substring("path", len(cwd.rstrip("/")) + 2, 1_000_000))
+    seen = F.array(*(F.lit(r + "/" if is_remote(r) else os.path.relpath(r, cwd) + "/") for r in dict.fromkeys(roots)))
+    return found.withColumn("rel", F.coalesce(below, F.concat(F.get(seen, F.col("root_ord")), "root_rel")))
+
+
 def files_corpus(spark: SparkSession, spec: QuerySpec, cwd: str | None = None, underscored: bool = True) -> DataFrame:
     """Files under all roots of spec, each once, with their output order: by root, then by extension as asked, then by path.
 
@@ -167,12 +181,11 @@ def files_corpus(spark: SparkSession, spec: QuerySpec, cwd: str | None = None, u
     out is not opened. Which root has a file follows from its path alone, so overlapping roots cost no shuffle.
     """
     cwd = os.path.abspath(cwd or os.getcwd())
-    # Spark writes a scheme without a host with one slash.
-    roots = [re.sub(r"^([^:/]+):///+", r"\1:/", r).rstrip("/") if _remote(r) else os.path.abspath(os.path.join(cwd, r)) for r in spec.roots]
+    roots = root_paths(spec, cwd)
     guarded = bool(spec.strings or spec.exclude_strings)
     parts = []
-    for top in _tops(roots, spec.prune_regex):
-        if underscored and not _remote(top):
+    for top in tops(roots, spec.prune_regex):
+        if underscored and not is_remote(top):
             spark.dataSource.register(FolderSource)
             inside = [r for r in dict.fromkeys(roots) if (r + "/").startswith(top.rstrip("/") + "/")]
             options = {"keep": extension_regex(spec.extensions), "drop": spec.ignore_regex, "prune": spec.prune_regex, "roots": json.dumps(inside)}
@@ -181,7 +194,7 @@ def files_corpus(spark: SparkSession, spec: QuerySpec, cwd: str | None = None, u
             names = "*.{" + ",".join(spec.extensions) + "}" if len(spec.extensions) > 1 else f"*.{spec.extensions[0]}"
             df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(top)
             df = df.where(F.col("length") <= spec.max_bytes) if guarded else df
-            path = F.col("path") if _remote(top) else F.regexp_replace("path", "^file:/+", "/")
+            path = F.col("path") if is_remote(top) else F.regexp_replace("path", "^file:/+", "/")
             df = df.select(path.alias("path"), "length", "content", F.lit(None).cast("string").alias("error"))
             hidden = F.substring("path", len(top.rstrip("/")) + 1, 1_000_000).rlike(r"/\.[^/]")
             df = df.where(~hidden)
@@ -189,12 +202,7 @@ def files_corpus(spark: SparkSession, spec: QuerySpec, cwd: str | None = None, u
     corpus = parts[0]
     for p in parts[1:]:
         corpus = corpus.unionByName(p)
-    corpus = corpus.withColumn("_found", first_root(F.col("path"), roots, spec)).where("_found IS NOT NULL").select("path", "_found.*", "length", "content", "error")
-    # Paths as seen from the working folder, also where that lies beside or below the root.
-    below = F.when(F.startswith("path", F.lit(cwd.rstrip("/") + "/")), F.substring("path", len(cwd.rstrip("/")) + 2, 1_000_000))
-    seen = F.array(*(F.lit(r + "/" if _remote(r) else os.path.relpath(r, cwd) + "/") for r in dict.fromkeys(roots)))
-    corpus = corpus.withColumn("rel", F.coalesce(below, F.concat(F.get(seen, F.col("root_ord")), "root_rel")))
-    return corpus.select("path", "rel", "root_rel", "root_ord", "ext_ord", F.struct("root_ord", "ext_ord", "path").alias("ord"), "length", utf8(F.col("content")).alias("content"), "error")
+    return located(corpus, roots, spec, cwd).select("path", "rel", "root_rel", "root_ord", "ext_ord", F.struct("root_ord", "ext_ord", "path").alias("ord"), "length", utf8(F.col("content")).alias("content"), "error")
 
 
 def numbered(corpus: DataFrame) -> DataFrame:
