@@ -40,6 +40,7 @@ reads doc_id and text only, ``pack`` keeps all columns.
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from collections import defaultdict
@@ -62,7 +63,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 CAPACITY = 2048
 END = 0
 #: A worker remembers the tokens of so many units, 70 bytes each at most, and starts anew then.
-KNOWN = 1 << 21
+KNOWN = 1 << 19
 #: Rows of a bucket, about, and the least number of buckets. A bucket's items of one size are numbered in one task.
 BUCKET_ROWS, LEAST_BUCKETS = 1 << 18, 64
 
@@ -119,6 +120,8 @@ class Encoder:
     """A tokenizers file ready to encode many texts."""
 
     def __init__(self, data: str, known: int = KNOWN):
+        # Texts go one by one, long ones as a whole: threads would only take memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok, self.most = Tokenizer.from_str(data), known
