@@ -55,7 +55,7 @@ def test_large_files_are_those_beyond_the_guard(spark, tmp_path):
     for name, size in {"a.ts": 10, "b.ts": 2000, "c.js": 2000, "node_modules/d.ts": 2000, "sub/e.ts": 3000, "sub/x.test.ts": 3000, ".h/f.ts": 3000}.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text("token\n" * (size // 6) + ("secret\n" if name == "b.ts" else ""))
-    spec = QuerySpec(strings=("token",), extensions=("ts",), ignore=("*.test.ts",), max_bytes=1000, roots=(str(tmp_path), str(tmp_path / "sub"), str(tmp_path / "node_modules")))
+    spec = QuerySpec(strings=("token",), extensions=("ts",), ignore=("**/*.test.ts",), max_bytes=1000, roots=(str(tmp_path), str(tmp_path / "sub"), str(tmp_path / "node_modules")))
     df = large_files(spark, spec, str(tmp_path))
     assert {r["rel"]: r["root_ord"] for r in df.select("rel", "root_ord").distinct().collect()} == {"b.ts": 0, "sub/e.ts": 0, "node_modules/d.ts": 2}
     # Read once, though two roots show them; each has its lines once.

@@ -152,7 +152,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("textquarry").getOrCreate()
     to_stdout = args.stdout or args.output == "-"
     say = (lambda m: print(m, file=sys.stderr)) if to_stdout else print
-    search = Search(files_corpus(spark, spec), spec)
+    search = Search(files_corpus(spark, spec, pushdown=True), spec)  # each of its queries has the corpus once
     try:
         search.require()
     except (NoCandidates, NoMatches) as e:

@@ -41,15 +41,22 @@ def contains_any(content: Column, strings: tuple[str, ...], case_sensitive: bool
     return F.contains(content, F.lit(strings[0])) if case_sensitive and len(strings) == 1 else content.rlike(pattern)
 
 
-def content_filter(corpus: DataFrame, spec: QuerySpec) -> DataFrame:
-    """Some of strings and none of exclude_strings. Only where content is asked are large files left out."""
-    content = F.col("content")
+def content_conditions(spec: QuerySpec) -> list[Column]:
+    """What a file's length and content must meet, cheap conditions first. Only where content is asked are large files left out."""
+    content, out = F.col("content"), []
     if spec.strings or spec.exclude_strings:
-        corpus = corpus.where(F.col("length") <= spec.max_bytes)
+        out.append(F.col("length") <= spec.max_bytes)
     if spec.exclude_strings:
-        corpus = corpus.where(~contains_any(content, spec.exclude_strings, spec.case_sensitive, spec.exclude_pattern))
+        out.append(~contains_any(content, spec.exclude_strings, spec.case_sensitive, spec.exclude_pattern))
     if spec.strings:
-        corpus = corpus.where(contains_any(content, spec.strings, spec.case_sensitive, spec.pattern))
+        out.append(contains_any(content, spec.strings, spec.case_sensitive, spec.pattern))
+    return out
+
+
+def content_filter(corpus: DataFrame, spec: QuerySpec) -> DataFrame:
+    """Some of strings and none of exclude_strings."""
+    for condition in content_conditions(spec):
+        corpus = corpus.where(condition)
     return corpus
 
 
