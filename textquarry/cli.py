@@ -6,6 +6,7 @@ import argparse
 import os
 import subprocess
 import sys
+import tempfile
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import SparkSession
@@ -16,7 +17,8 @@ from textquarry.plans.config import read_config, write_template
 from textquarry.plans.globs import from_exclusion
 from textquarry.plans.spec import NoCandidates, NoMatches, QuerySpec, split_csv
 from textquarry.search import Search
-from textquarry.sources.corpus import files_corpus
+from textquarry.sources.bundle import join_parts
+from textquarry.sources.corpus import files_corpus, is_remote
 
 VERSION = "0.1.0"
 
@@ -98,6 +100,14 @@ def copied(parts: Iterable[str], say) -> Iterator[str]:
     say("Copied to the clipboard" if fine else "Nothing was copied: the clipboard command is missing or failed")
 
 
+def write_file(search: Search, path: str) -> int:
+    """The bundle as a file of the folders that are searched, written by the tasks; gives its UTF-16 units."""
+    with tempfile.TemporaryDirectory(prefix=".bundle-", dir=os.path.dirname(os.path.abspath(path))) as parts:
+        chars = search.write_bundle(parts)["chars"]
+        join_parts(search.selected.sparkSession, parts, path)
+    return chars
+
+
 def report(search: Search, output: str, say, written: int | None = None) -> None:
     """written: characters of what went out; without output, those of all blocks count."""
     chars = F.col("total_chars") if written is None else F.lit(written).cast("long")
@@ -169,14 +179,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if to_stdout or args.output:
         for r in search.unreadable().toLocalIterator():
             print(f"Warning: {r['rel']} could not be read: {r['error']}", file=sys.stderr)
-        written = Written(search.bundle())
-        parts = copied(written, say) if args.copy and not to_stdout else written
-        if to_stdout:
-            sys.stdout.writelines(parts)
+        if to_stdout or args.copy or any(map(is_remote, spec.roots)):
+            stream = Written(search.bundle())
+            parts = copied(stream, say) if args.copy and not to_stdout else stream
+            if to_stdout:
+                sys.stdout.writelines(parts)
+            else:
+                with open(args.output, "w", encoding="utf-8", newline="") as f:
+                    f.writelines(parts)
+            written = stream.chars
         else:
-            with open(args.output, "w", encoding="utf-8", newline="") as f:
-                f.writelines(parts)
-    report(search, "-" if to_stdout else args.output or "none", say, written and written.chars)
+            written = write_file(search, args.output)
+    report(search, "-" if to_stdout else args.output or "none", say, written)
     return 0
 
 

@@ -100,6 +100,21 @@ def tail(spec: QuerySpec) -> str:
     return "</files>" if spec.style == "xml" else ""
 
 
+def pieces(selected: DataFrame, blocks: DataFrame, spec: QuerySpec) -> DataFrame:
+    """The bundle as rows of section, ord and text, which make it up in the order of section and ord."""
+    spark, kind = selected.sparkSession, selected.schema["ord"].dataType
+    n = selected.count()
+    before, after = head(spec, n)
+    if spec.style == "xml" and n:
+        # Each path ends its line, so what follows the listing needs no line end before it.
+        after = after.removeprefix("\n")
+    lone = spark.createDataFrame([(0, before), (2, after), (4, tail(spec))], "section int, text string").select("section", F.lit(None).cast(kind).alias("ord"), "text")
+    out = lone.unionByName(blocks.select(F.lit(3).alias("section"), "ord", F.col("block").alias("text")))
+    if spec.style == "xml":
+        out = out.unionByName(selected.select(F.lit(1).alias("section"), "ord", F.concat("rel", F.lit("\n")).alias("text")))
+    return out
+
+
 def bundle(selected: DataFrame, blocks: DataFrame, spec: QuerySpec) -> Iterator[str]:
     """The bundle in parts, in order, a row at a time: neither the listing nor the blocks are put together on the driver."""
     before, after = head(spec, selected.count())

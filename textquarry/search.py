@@ -13,6 +13,7 @@ from textquarry.operators import render, summary
 from textquarry.operators.filters import scan_filter, select_files
 from textquarry.operators.windows import with_windows
 from textquarry.plans.spec import NoCandidates, NoMatches, QuerySpec
+from textquarry.sources.bundle import write_parts
 
 
 @dataclass
@@ -63,6 +64,10 @@ class Search:
     def bundle(self) -> Iterator[str]:
         return render.bundle(self.selected, self.blocks, self.spec)
 
+    def write_bundle(self, path: str, parts: int | None = None, overwrite: bool = False) -> dict:
+        """Writes the bundle as ordered parts to a shared folder, by the tasks that render it; gives its manifest (see ``sources.bundle``)."""
+        return write_parts(render.pieces(self.selected, self.blocks, self.spec), path, parts, overwrite)
+
     def totals(self) -> DataFrame:
         return summary.totals(self.sized)
 
