@@ -175,3 +175,29 @@ def test_roots_overlap_once(spark, folder):
     rows = {r["rel"]: r["root_ord"] for r in files_corpus(spark, spec, str(folder)).collect()}
     assert rows["sub/a.ts"] == 0
     assert rows["x.d.ts"] == 1
+
+
+def test_many_config_files_at_once(spark):
+    from textquarry.plans.config import config_rows
+
+    texts = {"a": "lost\n[strings]\n fetch( \n# no\n\n[other]\n[include]\nts\n[ignore]\nd.ts\n[exclude-extensions]\nx", "b": "﻿[search]\r\n\xa0one\t\r\n[search] \n two words", "c": "", "d": "[extensions]", "e": TEMPLATE}
+    rows = spark.createDataFrame([(p, n, line) for p, t in texts.items() for n, line in enumerate(t.split("\n"))], "path string, n int, text string")
+    got = {p: {"search": [], "extensions": [], "exclude": []} for p in texts}
+    for r in sorted(config_rows(rows).collect()):
+        got[r["path"]][r["field"]].append(r["value"])
+    assert got == {p: parse_config(t) for p, t in texts.items()}
+
+
+def test_ordinals(spark):
+    from pyspark.sql import functions as F
+
+    from textquarry.operators.ordinals import with_ordinal
+
+    df = spark.range(5000).select(F.struct((F.col("id") % 3).alias("a"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("b")).alias("ord"), "id")
+    rows = with_ordinal(df, "ord", "n", ranges=16).collect()
+    assert [r["ord"] for r in sorted(rows, key=lambda r: r["n"])] == sorted(r["ord"] for r in rows)
+    assert sorted(r["n"] for r in rows) == list(range(5000))
+    for few in (0, 1, 40):
+        assert sorted(r["n"] for r in with_ordinal(df.where(F.col("id") < few), "ord", "n").collect()) == list(range(few))
+    # Equal keys stay together, and each row has a number of its own.
+    assert sorted(r["n"] for r in with_ordinal(df.withColumn("k", F.lit(1)), "k", "n").collect()) == list(range(5000))

@@ -49,7 +49,71 @@ def literal(text: str, case_sensitive: bool = False) -> str:
     return "".join(f"[{folds[c]}]" if (c := canonical(ch)) in folds else escaped(ch) for ch in text)
 
 
+class _Node:
+    """Literals with a common beginning. ends: one of them goes no further."""
+
+    __slots__ = ("below", "ends")
+
+    def __init__(self):
+        self.below: dict[str, _Node] = {}
+        self.ends = False
+
+
+#: Groups within groups at most: engines go down into them by recursion.
+MAX_NESTED = 200
+
+
+def _unit(ch: str, fold: bool) -> str:
+    return literal(ch, not fold)
+
+
+def _in_class(ch: str, fold: bool) -> str:
+    """A unit's characters as they stand between brackets."""
+    return "".join("\\" + c if c in SPECIAL or c == "&" else c for c in (alike(ch) if fold else ch))
+
+
+def _pattern(node: _Node, fold: bool, depth: int = 0) -> str:
+    """What goes on at a node; longer ways first, as a literal stands before its own beginnings."""
+    if depth > MAX_NESTED:
+        raise RecursionError
+    last, ways = [], []
+    for ch, child in node.below.items():
+        if not child.below:
+            last.append(ch)
+            continue
+        out = _unit(ch, fold)
+        while not child.ends and len(child.below) == 1:
+            (ch, child), *_ = child.below.items()
+            out += _unit(ch, fold)
+        ways.append(out + (_pattern(child, fold, depth + 1) if child.below else ""))
+    if last:
+        ways.append(_unit(last[0], fold) if len(last) == 1 else "[" + "".join(_in_class(ch, fold) for ch in last) + "]")
+    whole = "|".join(ways)
+    if last and len(ways) == 1:
+        return whole + "?" * node.ends
+    return whole if not depth else f"(?:{whole})?" if node.ends else f"(?:{whole})"
+
+
 def any_literal(texts: list[str] | tuple[str, ...], case_sensitive: bool = False) -> str | None:
-    """A pattern that matches any of texts, the first of several at one place; None without texts. Order is kept, since it decides what is matched."""
+    """A pattern that matches any of texts, the first of several at one place; None without texts.
+
+    Common beginnings are shared, so what a place costs doesn't grow with the number of texts, only with that of
+    first characters. The order of texts decides between two only if one is the beginning of the other: a text that
+    goes on one before it is never matched and left out, so all that remain stand before their own beginnings.
+    """
     texts = list(dict.fromkeys(t for t in texts if t))
-    return "|".join(literal(t, case_sensitive) for t in texts) if texts else None
+    if not texts:
+        return None
+    root = _Node()
+    for t in texts:
+        node = root
+        for ch in t:
+            node = node.below.setdefault(ch if case_sensitive else canonical(ch), _Node())
+            if node.ends:
+                break
+        else:
+            node.ends = True
+    try:
+        return _pattern(root, not case_sensitive)
+    except RecursionError:
+        return "|".join(literal(t, case_sensitive) for t in texts)

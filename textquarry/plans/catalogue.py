@@ -17,9 +17,10 @@ from textquarry.functions.patterns import any_literal
 from textquarry.functions.text import extension, fence_language, grouped_digits, pad_start, token_estimate, utf16_length
 from textquarry.operators import filters, render
 from textquarry.operators.line_windows import line_positions, line_windows
+from textquarry.operators.ordinals import with_ordinal
 from textquarry.operators.windows import context_windows, hits, match_positions, split_lines, windows_by_rows, with_windows
 from textquarry.plans import globs
-from textquarry.plans.config import parse_config
+from textquarry.plans.config import config_rows, parse_config
 from textquarry.plans.spec import QuerySpec
 from textquarry.search import Search
 from textquarry.sources.corpus import VIRTUAL_EXTENSIONS, VIRTUAL_FOLDERS, documents_corpus, first_root, utf8
@@ -346,6 +347,33 @@ def directory_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "rel"))), lambda r: r["rel"]), "\n").alias("listing"))
 
 
+@query("directory_listing_rows", f"WITH {_selected(_LISTED)} SELECT row_number() OVER (ORDER BY doc_id) - 1 AS n, rel FROM selected")
+def directory_listing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing of any number of files: each with its place in the output."""
+    files = Search(documents_corpus(spark, sf_dir), _LISTED).selected.select("ord", "rel")
+    return with_ordinal(files, "ord", "n").select("n", "rel")
+
+
+# Config files.
+_HEADERS = ("[search]", "[extensions]", "[ignore]", "[other]", "[strings]")
+
+
+@query(
+    "config_files",
+    rf"""WITH d AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, i, trim(CASE WHEN i % 4 = 1 THEN {_list(_HEADERS)}[1 + (doc_id + i // 4) % {len(_HEADERS)}] WHEN i % 7 = 3 THEN ' # ' || x ELSE x END, chr(65279) || ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12) || chr(160)) AS v FROM d),
+h AS (SELECT *, CASE v WHEN '[search]' THEN 'search' WHEN '[strings]' THEN 'search' WHEN '[extensions]' THEN 'extensions' WHEN '[ignore]' THEN 'exclude' WHEN '[include]' THEN 'extensions' WHEN '[exclude]' THEN 'exclude' WHEN '[exclude-extensions]' THEN 'exclude' END AS header FROM l WHERE v <> '' AND NOT starts_with(v, '#')),
+s AS (SELECT *, last_value(header IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS field FROM h)
+SELECT doc_id AS path, i::INT AS n, field, v AS value FROM s WHERE header IS NULL AND field IS NOT NULL""",
+)
+def config_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a config file, with headers and comments put between its lines."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL").select(F.col("doc_id").alias("path"), F.posexplode(split_lines(F.col("text"))).alias("n", "text"))
+    header = F.get(F.array(*map(F.lit, _HEADERS)), ((F.col("path") + F.floor(F.col("n") / 4)) % len(_HEADERS)).cast("int"))
+    text = F.when(F.col("n") % 4 == 1, header).when(F.col("n") % 7 == 3, F.concat(F.lit(" # "), "text")).otherwise(F.col("text"))
+    return config_rows(rows.withColumn("text", text))
+
+
 # Scalar functions.
 @query("grouped_digits", f"WITH {CORPUS} SELECT doc_id, format('{{:,}}', length * 997) AS digits, lpad(format('{{:,}}', length), greatest(8, length(format('{{:,}}', length)))::INT, ' ') AS padded FROM corpus")
 def grouped_digits_query(spark: SparkSession, sf_dir: str) -> DataFrame:

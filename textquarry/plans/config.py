@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pathlib import Path
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
 #: Section headers and what they fill.
 SECTIONS = {
     "[search]": "search", "[strings]": "search",
@@ -45,6 +48,15 @@ def parse_config(text: str) -> dict[str, list[str]]:
     return out
 
 
+def config_rows(lines: DataFrame) -> DataFrame:
+    """path, n, field and value of all values of many config files, given as lines: path, n (ascending in a path), text. The rules are those of ``parse_config``."""
+    value = F.trim(F.col("text"), F.lit(BLANK))
+    header = F.coalesce(*(F.when(F.col("value") == h, field) for h, field in SECTIONS.items()))
+    own = lines.select("path", "n", value.alias("value")).where((F.col("value") != "") & ~F.startswith("value", F.lit("#"))).withColumn("header", header)
+    section = F.last("header", ignorenulls=True).over(Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    return own.withColumn("field", section).where("header IS NULL AND field IS NOT NULL").select("path", "n", "field", "value")
+
+
 def read_config(path: str) -> dict[str, list[str]]:
     return parse_config(Path(path).read_text(encoding="utf-8", errors="replace"))
 
