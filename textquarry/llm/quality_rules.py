@@ -3,18 +3,22 @@
 The rules' statistics of a text (counts of words, symbols, repeated lines and
 windows, case, digits, line ends) place it among the labelled texts. A forest of
 random splits (Liu, Ting and Zhou, 2008) isolates an unusual text in few steps;
-the mean path length over all trees gives its anomaly score. The forest is grown
-from two thirds of the good rows; the score's threshold is calibrated on the rest,
-which no tree has seen: the lowest that rejects no more than MAX_FALSE of them.
-Texts that fail the base rule are never kept.
+the mean path length over all trees gives its anomaly score. Texts that fail the
+base rule are never kept, so the forest is there for the others, and labelled rows
+that fail it teach nothing. It is grown from two thirds of those that pass: the good
+ones, and bad ones up to SHARE of all, since a statistic that is the same in all good
+rows (no symbols, say) would never be split, and what differs by it not be isolated.
+The score's threshold is calibrated on the last third, which no tree has seen: of
+those that reject no more than MAX_FALSE of its good rows, the one at which the part
+of bad rows that are rejected is furthest above that of good ones.
 
 The forest is fitted on a bounded sample of labelled rows (PER_CLASS of each
 label, held-out rows never); every row is scored, on its whole text.
 
 Defined cases: null, empty and blank texts have no words and fail the base rule;
 a text of any length is counted in pieces; repeated rows get equal results; a score
-equal to the threshold is below it; without labelled rows of both classes the
-forest rejects nothing; an empty table gives an empty result; no column but doc_id
+equal to the threshold is rejected; without labelled rows of both classes that pass
+the base rule the forest rejects nothing; an empty table gives an empty result; no column but doc_id
 and text is read.
 """
 
@@ -36,8 +40,10 @@ QUERY = "op7_quality_rules"
 
 PER_CLASS = 2000
 TREES = 128
-SUBSAMPLE = 256
-MAX_FALSE = 0.02
+SUBSAMPLE = 1024
+#: Bad rows among those that trees are grown from: few, as unusual rows are.
+SHARE = 0.01
+MAX_FALSE = 0.04
 SEED = 7
 
 def _bytes(of: bytes) -> np.ndarray:
@@ -153,20 +159,26 @@ class Forest:
         return 2.0 ** (-total / len(self.trees) / max(self.expected(self.size), 1e-9))
 
 
+def base_failed(stats: np.ndarray) -> np.ndarray:
+    return (stats[:, 0] < 50) | (100 * stats[:, 4] > 50 * stats[:, 0])
+
+
 def fit(texts: list[str], labels: list[int], max_false: float = MAX_FALSE) -> tuple[Forest | None, float]:
     """The forest over the sample, and the score from which a text is rejected."""
-    y = np.array(labels)
-    if not len(y) or not (y == 1).any() or not (y == 0).any():
+    y, stats = np.array(labels), statistics(texts)
+    passed = ~base_failed(stats)
+    good, bad = (features(stats[passed & (y == label)]) for label in (1, 0)) if len(y) else ((), ())
+    if not len(good) or not len(bad):
         return None, 2.0
-    good = features(statistics([t for t, label in zip(texts, labels, strict=True) if label == 1]))
-    rest = np.arange(len(good)) % 3 == 0
-    forest = Forest(good[~rest] if (~rest).any() else good)
-    good = np.sort(forest.score(good[rest]))
-    return forest, float(good[min(len(good) - 1, math.ceil((1 - max_false) * len(good)))]) + 1e-9
-
-
-def base_failed(stats: np.ndarray) -> np.ndarray:
-    return (stats[:, 0] < 50) | (100 * stats[:, 4] > 50 * stats[:, 0])
+    own = lambda x: np.arange(len(x)) % 3 == 0 if len(x) > 2 else np.ones(len(x), bool)
+    grown = [x[~own(x)] if (~own(x)).any() else x for x in (good, bad)]
+    forest = Forest(np.concatenate([grown[0], grown[1][: math.ceil(SHARE * len(grown[0]))]]))
+    good, bad = (np.sort(forest.score(x[own(x)])) for x in (good, bad))
+    # To choose from: halfway between each two scores seen, and what lies above all of them. A text at the threshold is rejected.
+    at = np.unique(np.concatenate([good, bad]))
+    at = np.append((at[1:] + at[:-1]) / 2, at[-1] + 1e-9)
+    false, found = (1 - np.searchsorted(x, at) / len(x) for x in (good, bad))
+    return forest, float(at[np.argmax(np.where(false <= max_false, found - false, -1.0))])
 
 
 def judge(forest: Forest | None, threshold: float) -> Callable[[Column], Column]:
