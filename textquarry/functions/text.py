@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What counts as blank around settings: also the no-break space and the byte order mark.
+BLANK = "\ufeff \t\n\r\v\f\xa0"
 ASTRAL = r"[\x{10000}-\x{10FFFF}]"
 
 
@@ -42,3 +44,18 @@ def short_path(path: Column) -> Column:
 def grouped_digits(n: Column) -> Column:
     """1,234,567"""
     return F.format_number(n, 0)
+
+
+def csv_values(s: Column) -> Column:
+    """The values of a comma-separated setting, blanks around them and empty ones left out."""
+    return F.filter(F.transform(F.split(s, ",", -1), lambda x: F.trim(x, F.lit(BLANK))), lambda x: x != "")
+
+
+def without_leading_dots(path: Column) -> Column:
+    """A path pattern without the dots and slashes that it starts with."""
+    return F.regexp_replace(path, r"^[./]+", "")
+
+
+def has_glob(pattern: Column) -> Column:
+    """Whether a character of it has a meaning in globs."""
+    return pattern.rlike(r"[*?\[\]{}!]")

@@ -14,6 +14,10 @@ from textquarry.functions.arrays import let, once, running
 from textquarry.functions.text import utf16_length
 
 
+#: Matches of a line that are placed one by one.
+FEW = 6
+
+
 def split_lines(content: Column) -> Column:
     """Lines by newline alone; a last empty one counts."""
     return F.split(content, "\n", -1)
@@ -33,12 +37,21 @@ def line_matches(line: Column, number: Column, pattern: str) -> Column:
             before = running(F.transform(s, lambda x: x["g"] + x["n"]), lambda a, x: a + x, F.lit(0).cast("long"))
             return let(before, lambda b: F.transform(p["h"], lambda h, i: F.struct(number.cast("int").alias("line"), (F.get(b, i) + F.get(s, i)["g"]).cast("int").alias("column"), h.alias("match"))))
 
-        return let(sizes, columns)
+        # Of a few matches each adds up what stands before it, which is less work than a running sum.
+        before = lambda of, i: utf16_length(F.array_join(F.slice(of, F.lit(1), i), ""))
+        few = F.transform(p["h"], lambda h, i: F.struct(number.cast("int").alias("line"), (before(p["g"], i + 1) + before(p["h"], i)).cast("int").alias("column"), h.alias("match")))
+        return F.when(F.size(p["h"]) <= FEW, few).otherwise(let(sizes, columns))
 
     # A line without a match is a single gap, and isn't searched again for hits.
     return let(F.split(line, pattern, -1), lambda g: F.when(F.size(g) > 1, let(F.struct(g.alias("g"), hits(line, pattern).alias("h")), placed)))
 
 
+def positions(files: DataFrame, pattern: str, *keep: str) -> DataFrame:
+    """The columns to keep and line, column, match of each match in each content: a row a line first, so that lines without a match go at once."""
+    lines = files.select(*keep, F.posexplode(split_lines(F.col("content"))).alias("_i", "_text")).where(F.col("_text").rlike(pattern))
+    return lines.select(*keep, F.explode(line_matches(F.col("_text"), F.col("_i") + 1, pattern)).alias("_m")).select(*keep, "_m.line", "_m.column", "_m.match")
+
+
 def match_positions(content: Column, pattern: str) -> Column:
     """All matches of all lines, in order."""
     per_line = F.transform(split_lines(content), lambda line, i: line_matches(line, i + 1, pattern))
@@ -98,8 +111,10 @@ def match_count(windows: Column) -> Column:
 
 def windows_by_rows(files: DataFrame, key: str, pattern: str, n: int) -> DataFrame:
     """The same windows from rows of matching lines: key, start_line, end_line, n_matches. One shuffle of numbers, for files of very many lines."""
-    lines = files.select(key, F.posexplode(split_lines(F.col("content"))).alias("i", "text"), F.size(split_lines(F.col("content"))).alias("n_lines"))
-    found = lines.where(F.col("text").rlike(pattern)).select(key, (F.col("i") + 1).alias("line"), F.size(hits(F.col("text"), pattern)).cast("long").alias("n"), "n_lines")
+    content = F.col("content")
+    n_lines = (F.octet_length(content) - F.octet_length(F.replace(content, F.lit("\n"), F.lit(""))) + 1).alias("n_lines")
+    lines = files.select(key, n_lines, F.posexplode(split_lines(content)).alias("i", "text"))
+    found = lines.where(F.col("text").rlike(pattern)).select(key, (F.col("i") + 1).alias("line"), F.regexp_count("text", F.lit(pattern)).cast("long").alias("n"), "n_lines")
     w = Window.partitionBy(key).orderBy("line")
     new = F.coalesce((F.col("line") - F.lag("line").over(w) > 2 * n + 1).cast("int"), F.lit(1))
     island = found.withColumn("new", new).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))

@@ -9,21 +9,22 @@ compiled patterns, which those queries don't test.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.functions.patterns import any_literal
-from textquarry.functions.text import extension, fence_language, grouped_digits, pad_start, token_estimate, utf16_length
+from textquarry.functions.text import csv_values, extension, fence_language, grouped_digits, has_glob, pad_start, token_estimate, utf16_length, without_leading_dots
 from textquarry.operators import filters, render
 from textquarry.operators.line_windows import line_positions, line_windows
 from textquarry.operators.ordinals import with_ordinal
-from textquarry.operators.windows import context_windows, hits, match_positions, split_lines, windows_by_rows, with_windows
+from textquarry.operators.windows import context_windows, hits, match_positions, positions, split_lines, windows_by_rows, with_windows
 from textquarry.plans import globs
 from textquarry.plans.config import config_rows, parse_config
 from textquarry.plans.spec import QuerySpec
 from textquarry.search import Search
-from textquarry.sources.corpus import VIRTUAL_EXTENSIONS, VIRTUAL_FOLDERS, documents_corpus, first_root, utf8
+from textquarry.sources.corpus import VIRTUAL_EXTENSIONS, VIRTUAL_FOLDERS, documents_corpus, first_root, located, utf8
 from textquarry.sources.lines import Lines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -186,8 +187,7 @@ FROM each"""
 
 
 def _positions(spark: SparkSession, sf_dir: str, spec: QuerySpec) -> DataFrame:
-    files = filters.select_files(documents_corpus(spark, sf_dir), spec)
-    return files.select("doc_id", F.explode(match_positions(F.col("content"), spec.pattern)).alias("m")).select("doc_id", "m.line", "m.column", "m.match")
+    return positions(filters.searched_lines(documents_corpus(spark, sf_dir), spec), spec.pattern, "doc_id")
 
 
 @query("match_positions", _positions_sql(_SELECT, _P))
@@ -228,7 +228,7 @@ windows AS (SELECT doc_id, rel, g, greatest(1, min(ln) - {n})::INT AS start_line
 
 
 def _windows(spark: SparkSession, sf_dir: str, n: int, *more: str, **fields: bool) -> DataFrame:
-    files = with_windows(filters.select_files(documents_corpus(spark, sf_dir), SEARCH), SEARCH.pattern, n, **({"lines": False, "matches": False} | fields))
+    files = with_windows(filters.searched_lines(documents_corpus(spark, sf_dir), SEARCH), SEARCH.pattern, n, **({"lines": False, "matches": False} | fields))
     return files.select("doc_id", F.explode("windows").alias("w")).select("doc_id", "w.start_line", "w.end_line", "w.n_matches", *(f"w.{c}" for c in more))
 
 
@@ -249,7 +249,7 @@ for _name, _n in (("context_windows_merged", 2), ("context_windows_merged_n5", 5
 
 @query("context_windows_by_rows", f"WITH {_windows_sql(2)} SELECT doc_id, start_line, end_line, n_matches FROM windows")
 def context_windows_by_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows_by_rows(filters.select_files(documents_corpus(spark, sf_dir), SEARCH), "doc_id", SEARCH.pattern, 2)
+    return windows_by_rows(filters.searched_lines(documents_corpus(spark, sf_dir), SEARCH), "doc_id", SEARCH.pattern, 2)
 
 
 def _one_file(spark: SparkSession, sf_dir: str) -> Lines:
@@ -354,6 +354,66 @@ def directory_listing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_ordinal(files, "ord", "n").select("n", "rel")
 
 
+@query(
+    "bundle_sections",
+    f"""WITH {_SIZES}, f AS (WITH {_SELECT} SELECT count(*) AS n, sum({_U16.format('rel')} + 1)::BIGINT AS listed FROM selected),
+fixed AS (SELECT n, listed, {len(render.head(_CONTEXT, 0)[0]) - 1} + length(n::VARCHAR) AS before, {len(render.head(_CONTEXT, 0)[1])} - CASE WHEN n > 0 THEN 1 ELSE 0 END AS after FROM f)
+SELECT 0::INT AS section, 1::BIGINT AS pieces, before::BIGINT AS chars FROM fixed UNION ALL SELECT 1, n, listed FROM fixed WHERE n > 0 UNION ALL SELECT 2, 1, after FROM fixed
+UNION ALL SELECT 3, count(*), sum(size)::BIGINT FROM sizes HAVING count(*) > 0 UNION ALL SELECT 4, 1, {len(render.tail(_CONTEXT))}""",
+)
+def bundle_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is written of a bundle: pieces and UTF-16 units of head, listing, what follows it, blocks and tail."""
+    search = Search(documents_corpus(spark, sf_dir), _CONTEXT)
+    return render.pieces(search.selected, search.blocks, _CONTEXT).groupBy("section").agg(F.count("*").alias("pieces"), F.sum(utf16_length(F.col("text"))).cast("long").alias("chars"))
+
+
+@query("extensions_sorted", rf"WITH {_SELECT} SELECT row_number() OVER (ORDER BY ext) - 1 AS n, ext FROM (SELECT DISTINCT lower(regexp_extract(rel, '[^/](\.[^./]*)$', 1)) AS ext FROM selected WHERE ext <> '')")
+def extensions_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_ordinal(Search(documents_corpus(spark, sf_dir), SEARCH).extensions(), "ext", "n")
+
+
+_OUTCOMES = {"none with the extension": ALL.where(extensions=("zzz",)), "no match": ALL.where(strings=("no such string",)), "all ignored": ALL.where(ignore=("**",)), "fine": ALL.where(strings=("license",), exclude_strings=("###",), ignore=("examples",))}
+
+
+@query(
+    "outcomes",
+    f"""WITH {CORPUS}, shown AS (SELECT * FROM corpus WHERE {_VIRTUAL}), n AS (SELECT count(*) AS n FROM shown)
+SELECT 'none with the extension' AS search, 0::BIGINT AS candidates, 0::BIGINT AS selected, 2 AS exit_code UNION ALL SELECT 'no match', n, 0, 3 FROM n UNION ALL SELECT 'all ignored', n, 0, 3 FROM n
+UNION ALL SELECT 'fine', n, (SELECT count(*) FROM shown WHERE contains(lower(content), 'license') AND NOT contains(content, '###') AND NOT list_contains(string_split(lower(rel), '/'), 'examples')), 0 FROM n""",
+)
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exit codes of searches: 2 without candidates, 3 without matches."""
+    rows = [Search(documents_corpus(spark, sf_dir), spec).outcome().select(F.lit(name).alias("search"), "candidates", "selected", "exit_code") for name, spec in _OUTCOMES.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+_SEEN = QuerySpec(extensions=("ts", "md", "py"))
+
+
+@query(
+    "paths_from_a_folder",
+    f"""WITH {CORPUS}, s AS (SELECT doc_id, '/' || rel AS path, rel FROM corpus WHERE {_SHOWN} AND {_ends('ts', 'md', 'py')})
+SELECT doc_id, path, CASE WHEN starts_with(rel, 'src/') THEN substr(rel, 5) ELSE '../' || rel END AS rel FROM s WHERE starts_with(rel, 'src/') OR starts_with(rel, 'docs/')""",
+)
+def paths_from_a_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Absolute paths, and the same as seen from one of the folders."""
+    files = documents_corpus(spark, sf_dir).select("doc_id", F.concat(F.lit("/"), "rel").alias("path"))
+    return located(files, ["/docs", "/src"], _SEEN, "/src").select("doc_id", "path", "rel")
+
+
+# Settings, as functions of columns.
+@query(
+    "setting_functions",
+    r"""WITH l AS (SELECT doc_id, string_split(text, chr(10))[1] AS x FROM documents WHERE text IS NOT NULL),
+v AS (SELECT doc_id, x, list_filter(list_transform(string_split(x || chr(160) || ',, .', ','), lambda y: trim(y, chr(65279) || ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12) || chr(160))), lambda y: y <> '') AS vs FROM l)
+SELECT doc_id, vs AS "values", ltrim('./' || x, './') AS stripped, contains(x, '*') OR contains(x, '?') OR contains(x, '[') OR contains(x, ']') OR contains(x, '{') OR contains(x, '}') OR contains(x, '!') AS globbed FROM v""",
+)
+def setting_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first line of each document as a comma-separated setting and as a path pattern."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL").select("doc_id", F.get(split_lines(F.col("text")), F.lit(0)).alias("x"))
+    return rows.select("doc_id", csv_values(F.concat("x", F.lit("\xa0,, ."))).alias("values"), without_leading_dots(F.concat(F.lit("./"), "x")).alias("stripped"), has_glob(F.col("x")).alias("globbed"))
+
+
 # Config files.
 _HEADERS = ("[search]", "[extensions]", "[ignore]", "[other]", "[strings]")
 

@@ -7,13 +7,14 @@ from pathlib import Path
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textquarry.functions.text import BLANK
+
 #: Section headers and what they fill.
 SECTIONS = {
     "[search]": "search", "[strings]": "search",
     "[extensions]": "extensions", "[include]": "extensions",
     "[exclude]": "exclude", "[exclude-extensions]": "exclude", "[ignore]": "exclude",
 }
-BLANK = "﻿ \t\n\r\v\f\xa0"
 
 TEMPLATE = """\
 # Search settings. A value a line; lines that start with # and empty lines count for nothing.

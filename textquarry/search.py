@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.operators import render, summary
-from textquarry.operators.filters import scan_filter, select_files
+from textquarry.operators.filters import by_line, content_conditions, path_matches, scan_filter, searched_lines, select_files
 from textquarry.operators.windows import with_windows
 from textquarry.plans.spec import NoCandidates, NoMatches, QuerySpec
 from textquarry.sources.bundle import write_parts
@@ -32,7 +32,11 @@ class Search:
         return select_files(self.corpus, self.spec)
 
     def _windowed(self, **fields: bool) -> DataFrame:
-        return with_windows(self.selected, self.spec.pattern, self.spec.context, **fields) if self.spec.context else self.selected
+        """The selected files, with windows if context is asked. Where every match lies in a line, the windows tell which files are selected, and no other pass looks for it."""
+        if not self.spec.context:
+            return self.selected
+        files = with_windows(searched_lines(self.corpus, self.spec), self.spec.pattern, self.spec.context, **fields)
+        return files.where(F.size("windows") > 0) if by_line(self.spec) else files
 
     @cached_property
     def blocks(self) -> DataFrame:
@@ -58,6 +62,16 @@ class Search:
         if self.selected.isEmpty():
             raise NoMatches("no files match")
 
+    def outcome(self) -> DataFrame:
+        """One row: how many candidates and selected files there are, and the exit code that follows."""
+        some = F.count("*")
+        kept = F.lit(True)
+        for condition in content_conditions(self.spec):
+            kept &= F.coalesce(condition, F.lit(False))
+        counts = path_matches(self.candidates, self.spec).agg(some.alias("candidates"), F.coalesce(F.sum((F.col("_path") & kept).cast("long")), F.lit(0)).alias("selected"))
+        code = F.when(F.col("candidates") == 0, NoCandidates.exit_code).when(F.col("selected") == 0, NoMatches.exit_code).otherwise(0)
+        return counts.withColumn("exit_code", code)
+
     def preview(self) -> DataFrame:
         return self.selected.select("rel", "ord").orderBy("ord")
 
