@@ -10,6 +10,7 @@ import time
 from collections.abc import Callable
 
 from textquarry.plans.catalogue import ORACLES, QUERIES
+from textquarry.sources.corpus import SPREAD
 
 HEADLINE = ["contains_any_ci", "contains_one_cs", "match_positions", "context_windows_merged", "context_windows_merged_n5", "context_windows_by_rows", "render_xml_full", "render_xml_context", "summary_totals", "top10_by_tokens"]
 RUNS = 3
@@ -30,7 +31,10 @@ def in_spark(sf_dir: str, cpus: str) -> dict[str, float]:
 
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("textquarry-bench").config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "8g")
-        .config("spark.sql.files.maxPartitionBytes", "2m").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+        .config("spark.sql.files.maxPartitionBytes", "2m").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+        .config(SPREAD, cpus)  # the table is one row group
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no call sites, which take most of the time of building a query
+        .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return {name: median_of(lambda: QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()) for name in HEADLINE}  # noqa: B023

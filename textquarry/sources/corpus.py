@@ -34,8 +34,15 @@ def table_corpus(rows: DataFrame, path: Column, content: Column, ord_: Column) -
     return rows.select(path.alias("rel"), path.alias("root_rel"), F.lit(0).alias("root_ord"), ord_.alias("ord"), F.octet_length(content).cast("long").alias("length"), content.alias("content"))
 
 
+#: A session setting: into how many partitions a table of texts is dealt before it is searched. For small tables, whose single row group would be a single task; unset, rows stay where they are read.
+SPREAD = "spark.textquarry.spread"
+
+
 def documents_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    # The columns are known: no job reads a footer for them.
+    rows = spark.read.schema("doc_id long, text string").parquet(f"{sf_dir}/documents.parquet")
+    if spread := spark.conf.get(SPREAD, None):
+        rows = rows.repartition(int(spread))
     return table_corpus(rows, virtual_path(F.col("doc_id")), F.col("text"), F.col("doc_id")).withColumnRenamed("ord", "doc_id").withColumn("ord", F.col("doc_id"))
 
 
