@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from textquarry.operators.line_windows import line_positions, line_windows, selected_lines
+from textquarry.operators.line_windows import context_lines, context_pieces, line_positions, line_windows, selected_lines
+from textquarry.operators.render import format_windows
 from textquarry.operators.windows import context_windows, match_positions
 from textquarry.plans.spec import QuerySpec
 from textquarry.sources.lines import Lines, large_files, lines_of_files
@@ -49,6 +50,12 @@ def test_windows_and_positions_of_split_files(spark, tmp_path, small_splits, n):
     matches = whole.select("name", F.explode(match_positions(F.col("content"), spec.pattern)).alias("m")).select("name", "m.line", "m.column", "m.match")
     assert got == {tuple(r) for r in windows.collect()} and got
     assert at == sorted(tuple(r) for r in matches.collect())
+    # The lines of windows, as they are written.
+    written_ = {}
+    for r in sorted(context_pieces(lines, spec.pattern, n).select(name, "line", "text").collect()):
+        written_[r["name"]] = written_.get(r["name"], "") + r["text"]
+    formatted = whole.select("name", format_windows(context_windows(F.col("content"), spec.pattern, n)).alias("text")).where("text <> ''")
+    assert written_ == {r["name"]: r["text"] for r in formatted.collect()}
 
 
 def test_large_files_are_those_beyond_the_guard(spark, tmp_path):
@@ -73,4 +80,6 @@ def test_blocks_of_rows(spark):
     got = sorted(tuple(r) for r in line_windows(lines, "x", 7).select("start_line", "end_line", "n_matches").collect())
     assert got == [(1, 26, 3), (43, 50, 1)]
     assert sorted(tuple(r) for r in line_windows(lines, "x", 0).select("start_line", "end_line", "n_matches").collect()) == [(2, 2, 1), (16, 16, 1), (19, 19, 1), (50, 50, 1)]
-    assert line_windows(lines, "y", 2).collect() == [] and line_positions(lines, "y").collect() == []
+    shown = sorted((r["line"], r["begins"], r["first"]) for r in context_lines(lines, "x", 7).collect())
+    assert [x[0] for x in shown] == [*range(1, 27), *range(43, 51)] and [x for x in shown if x[1]] == [(1, True, True), (43, True, False)]
+    assert line_windows(lines, "y", 2).collect() == [] and context_lines(lines, "y", 2).collect() == [] and line_positions(lines, "y").collect() == []

@@ -20,7 +20,7 @@ from textquarry.sources.corpus import is_remote, located, root_paths, tops, utf8
 
 @dataclass
 class Lines:
-    """rows: path, block, i, text, with i ascending in a block, and blocks in a path. blocks: path, block, first (the first line's i), base (lines before the block), n_lines (of the path), bom (its first line has lost a byte order mark)."""
+    """rows: path, block, i, text, with i ascending in a block, and blocks in a path. blocks: path, block, n (rows of it), first (the first line's i), base (lines before the block), n_lines (of the path; the last one is empty and has no row where that is one more than the rows), bom (its first line has lost a byte order mark)."""
 
     rows: DataFrame
     blocks: DataFrame
@@ -35,7 +35,7 @@ def _numbered(counts: DataFrame, more: Column, bom: Column) -> DataFrame:
     """more: lines of the path that no row stands for. A window over a path has a row a block."""
     whole = Window.partitionBy("path")
     before = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select("path", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), (F.sum("n").over(whole) + more).alias("n_lines"), bom.alias("bom"))
+    return counts.select("path", "block", "n", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), (F.sum("n").over(whole) + more).alias("n_lines"), bom.alias("bom"))
 
 
 def lines_of_files(files: DataFrame) -> Lines:
