@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from textquarry.functions.patterns import any_literal
 from textquarry.functions.text import csv_values, extension, fence_language, grouped_digits, has_glob, pad_start, token_estimate, utf16_length, without_leading_dots
 from textquarry.operators import filters, render
-from textquarry.operators.line_windows import line_positions, line_windows
+from textquarry.operators.line_windows import context_lines, line_positions, line_windows
 from textquarry.operators.ordinals import with_ordinal
 from textquarry.operators.windows import context_windows, hits, match_positions, positions, split_lines, windows_by_rows, with_windows
 from textquarry.plans import globs
@@ -272,6 +272,11 @@ def match_positions_by_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_positions(_one_file(spark, sf_dir), SEARCH.pattern)
 
 
+@query("context_lines_by_blocks", f"WITH {_windows_sql(2, _ONE_FILE)} SELECT w.doc_id AS path, l.ln AS line, l.line AS text, l.ln = w.start_line AS begins FROM windows w JOIN lines l ON l.ln BETWEEN w.start_line AND w.end_line")
+def context_lines_by_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_lines(_one_file(spark, sf_dir), SEARCH.pattern, 2).drop("first")
+
+
 @query("windows_per_doc", f"WITH {_windows_sql(2)} SELECT doc_id, count(*)::BIGINT AS n_windows FROM windows GROUP BY doc_id")
 def windows_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = with_windows(filters.select_files(documents_corpus(spark, sf_dir), SEARCH), SEARCH.pattern, 2, lines=False, matches=False)
