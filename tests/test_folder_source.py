@@ -129,3 +129,34 @@ def test_summary_follows_changes(spark, folder, tmp_path_factory):
     (folder / "f.ts").write_text("TODO")
     assert run() == 56
     assert run() == 56
+
+
+def test_offsets_and_parts_of_a_stream(folder, monkeypatch):
+    from textquarry.sources.corpus import _FolderStream
+
+    stream = _FolderStream({"path": str(folder), "settle": "0"})
+    start = stream.initialOffset()
+    time.sleep(0.05)
+    end = stream.latestOffset()
+    monkeypatch.setattr(_FolderStream, "FILES", 2)
+    parts = stream.partitions(start, end)
+    assert [len(p.files) for p in parts] == [2, 2, 1]
+    rows = [r for p in parts for r in stream.read(p)]
+    assert {os.path.relpath(r[0], folder) for r in rows} == {"a.ts", "_b.ts", "sub/c.ts", "sub/deep/d.ts", "other/e.md"}
+    # Nothing new: the offset stays, and a batch of it is empty.
+    assert stream.latestOffset() == end and not [r for p in stream.partitions(end, end) for r in stream.read(p)]
+    # A reader that starts anew lists the same files for the same batch; what has changed since is left to a later one.
+    time.sleep(0.05)
+    (folder / "a.ts").write_text("changed")
+    again = _FolderStream({"path": str(folder), "settle": "0"})
+    assert {os.path.relpath(r[0], folder) for p in again.partitions(start, end) for r in again.read(p)} == {"_b.ts", "sub/c.ts", "sub/deep/d.ts", "other/e.md"}
+    assert not [r for r in stream.read(next(p for p in parts if str(folder / "a.ts") in p.files)) if r[0].endswith("/a.ts")]
+    time.sleep(0.05)
+    assert [r[2] for p in again.partitions(end, again.latestOffset()) for r in again.read(p)] == [b"changed"]
+    # Files that have just changed wait.
+    assert _FolderStream({"path": str(folder), "settle": "3600"}).latestOffset() == start
+
+
+def test_streams_need_a_folder(spark):
+    with pytest.raises(ValueError, match="without a scheme"):
+        files_stream(spark, TS.where(roots=("hdfs://a/b",)))
