@@ -27,10 +27,13 @@ def running(xs: Column, op: Callable[[Column, Column], Column], zero: Column) ->
     def fold(values: Column, first: Column) -> Column:
         return F.aggregate(values, F.array(first), lambda acc, x: F.concat(acc, F.array(op(F.element_at(acc, -1), x))))
 
-    cut = F.transform(F.sequence(F.lit(0), F.size(xs) - 1, F.lit(BLOCK)), lambda i: F.slice(xs, i + 1, F.lit(BLOCK)))
-
     def by_block(blocks: Column) -> Column:
         firsts = fold(F.transform(blocks, lambda b: F.aggregate(b, zero, op)), zero)
         return let(firsts, lambda s: F.flatten(F.transform(blocks, lambda b, j: F.slice(fold(b, F.get(s, j)), F.lit(1), F.size(b)))))
 
-    return F.when(F.size(xs) > 0, let(cut, by_block))
+    def of(values: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.size(values) - 1, F.lit(BLOCK)), lambda i: F.slice(values, i + 1, F.lit(BLOCK)))
+        return F.when(F.size(values) > 0, let(cut, by_block))
+
+    # Bound once: each block would compute all of xs again.
+    return let(xs, of)
