@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from textquarry.functions.arrays import let, running
 from textquarry.llm.common import materialize, table
-from textquarry.llm.spans import SPAN, count, joined, no_spans, render, replaced, spans
+from textquarry.llm.spans import SPAN, count, cut, joined, no_spans, piece, render, replaced, spans
 
 QUERY = "op4_pii"
 
@@ -84,21 +84,50 @@ def _clear(found: Column) -> Column:
     return let(found, kept)
 
 
+def _beginning(gap: Column) -> Column:
+    """The first WINDOW terms of gap. Splitting ends behind the last of them, and what is left over is never looked at."""
+
+    def of(parts: Column) -> Column:
+        upto = F.when(F.size(parts) > WINDOW, F.length(gap) - F.length(F.element_at(parts, -1))).otherwise(F.length(gap))
+        return F.transform(F.regexp_extract_all(F.substr(gap, F.lit(1), upto), F.lit(TERM), F.lit(0)), F.lower)
+
+    return let(F.split(gap, TERM, WINDOW + 1), of)
+
+
 def _windows(text: Column, base: Column) -> Column:
-    """Each span of base as m, with the WINDOW terms before and after it. Words of other mentions are passed over."""
+    """Each span of base as m, with the WINDOW terms before and after it. A term that meets a mention is none; those of other mentions are passed over.
+
+    Only the gaps between mentions are looked at, and only their first and last WINDOW terms.
+    """
+
+    def around(b: Column) -> Column:
+        # Each gap with a character of the mentions around it, so that letters which go on over its bounds show.
+        between = F.transform(b["f"], lambda s, i: F.when(s["start"] <= F.get(b["upto"], i), "").when(F.get(b["upto"], i) == 0, F.concat(F.lit(" "), piece(b["c"], F.lit(0).cast("long"), s["start"] + 1))).otherwise(piece(b["c"], F.get(b["upto"], i) - 1, s["start"] + 1)))
+        last = F.array_max(F.transform(b["f"], lambda s: s["stop"]))
+        gaps = F.concat(between, F.array(F.concat(piece(b["c"], last - 1, b["n"]), F.lit(" "))))
+        gaps = F.transform(gaps, lambda g: F.regexp_replace(g, r"^\p{L}+|\p{L}+\z", ""))
+        ends = lambda g: F.struct(_beginning(g).alias("first"), F.reverse(F.transform(_beginning(F.reverse(g)), F.reverse)).alias("last"))
+
+        def placed(e: Column) -> Column:
+            count = lambda side: running(F.transform(e, lambda x: F.size(x[side]).cast("long")), lambda a, n: a + n, F.lit(0).cast("long"))
+            sides = F.struct(F.flatten(F.transform(e, lambda x: x["first"])).alias("first"), F.flatten(F.transform(e, lambda x: x["last"])).alias("last"), count("first").alias("n_first"), count("last").alias("n_last"))
+
+            def cut_out(w: Column) -> Column:
+                def one(s: Column, i: Column) -> Column:
+                    # Terms of the gaps up to the mention's own, which is the i-th.
+                    before, behind = F.get(w["n_last"], i + 1).cast("int"), F.get(w["n_first"], i + 1).cast("int")
+                    left = F.slice(w["last"], F.greatest(F.lit(1), before - WINDOW + 1), F.least(before, F.lit(WINDOW)))
+                    return F.struct(s.alias("m"), left.alias("left"), F.slice(w["first"], behind + 1, F.lit(WINDOW)).alias("right"))
 
-    def around(f: Column) -> Column:
-        before = running(F.transform(f, lambda s: (s["ord"] >= BASE).cast("long")), lambda a, x: a + x, F.lit(0).cast("long"))
-        both = F.struct(f.alias("f"), before.alias("n"), F.transform(F.filter(f, lambda s: s["ord"] >= BASE), lambda s: F.lower(s["hit"])).alias("words"))
+                return F.transform(b["f"], one)
 
-        def cut(b: Column) -> Column:
-            mentions = F.filter(F.transform(b["f"], lambda s, i: F.struct(s.alias("m"), F.get(b["n"], i).cast("int").alias("n"))), lambda x: x["m"]["ord"] < BASE)
-            left = lambda n: F.slice(b["words"], F.greatest(F.lit(1), n - WINDOW + 1), F.least(n, F.lit(WINDOW)))
-            return F.transform(mentions, lambda x: F.struct(x["m"].alias("m"), left(x["n"]).alias("left"), F.slice(b["words"], x["n"] + 1, F.lit(WINDOW)).alias("right")))
+            return let(sides, cut_out)
 
-        return let(both, cut)
+        return let(F.transform(gaps, ends), placed)
 
-    return let(_clear(joined(base, spans(text, TERM, BASE, F.size(base) > 0))), around)
+    upto = running(F.transform(base, lambda s: s["stop"]), lambda a, x: F.greatest(a, x), F.lit(0).cast("long"))
+    both = F.struct(base.alias("f"), upto.alias("upto"), cut(text).alias("c"), F.length(text).cast("long").alias("n"))
+    return F.when(F.size(base) > 0, let(both, around))
 
 
 def _terms(found: DataFrame) -> DataFrame:

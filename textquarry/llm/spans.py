@@ -63,19 +63,31 @@ def count(found: Column, ord_: int) -> Column:
     return F.size(F.filter(found, lambda s: s["ord"] == ord_)).cast("long")
 
 
+#: Characters of a block that a long text is cut into, so that a piece of it is found without walking all of it.
+CUT = 4096
+
+
+def cut(text: Column) -> Column:
+    """text in blocks, for :func:`piece`."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))
+
+
+def piece(blocks: Column, start: Column, stop: Column) -> Column:
+    """The characters from start to stop (exclusive) of the text in blocks; empty if there are none between."""
+    first, last = F.floor(start / CUT).cast("int"), F.floor((stop - 1) / CUT).cast("int")
+    begin = (start % CUT + 1).cast("int")
+    within = F.substr(F.get(blocks, first), begin, (stop - start).cast("int"))
+    across = F.concat(F.substr(F.get(blocks, first), begin), F.array_join(F.slice(blocks, first + 2, last - first - 1), ""), F.substr(F.get(blocks, last), F.lit(1), ((stop - 1) % CUT + 1).cast("int")))
+    return F.when(stop <= start, "").when(first == last, within).otherwise(across)
+
+
 def replaced(text: Column, found: Column, label: Callable[[Column], Column]) -> Column:
     """text with each of the sorted spans replaced by its label; a span inside earlier ones adds nothing."""
 
-    def cut(b: Column) -> Column:
-        shown = F.transform(
-            b["f"],
-            lambda s, i: F.concat(
-                F.when(s["start"] > F.get(b["upto"], i), F.array_join(F.slice(b["c"], (F.get(b["upto"], i) + 1).cast("int"), (s["start"] - F.get(b["upto"], i)).cast("int")), "")).otherwise(""),
-                F.when(s["stop"] > F.get(b["upto"], i), label(s)).otherwise(""),
-            ),
-        )
+    def built(b: Column) -> Column:
+        shown = F.transform(b["f"], lambda s, i: F.concat(piece(b["c"], F.get(b["upto"], i), s["start"]), F.when(s["stop"] > F.get(b["upto"], i), label(s)).otherwise("")))
         last = F.array_max(F.transform(b["f"], lambda s: s["stop"]))
-        return F.concat(F.array_join(shown, ""), F.array_join(F.slice(b["c"], (last + 1).cast("int"), F.size(b["c"])), ""))
+        return F.concat(F.array_join(shown, ""), piece(b["c"], last, b["n"]))
 
     upto = running(F.transform(found, lambda s: s["stop"]), lambda a, x: F.greatest(a, x), F.lit(0).cast("long"))
-    return F.when(F.size(found) > 0, let(F.struct(found.alias("f"), upto.alias("upto"), F.split(text, "").alias("c")), cut)).otherwise(text)
+    return F.when(F.size(found) > 0, let(F.struct(found.alias("f"), upto.alias("upto"), cut(text).alias("c"), F.length(text).cast("long").alias("n")), built)).otherwise(text)
