@@ -694,3 +694,23 @@ print(peak() - before)
         before = "net, raw = quality.Network(), text.encode()" if "net" in call else ""
         out = subprocess.run([sys.executable, "-c", code.replace("{before}", before).replace("{call}", call)], capture_output=True, text=True, check=True)
         assert float(out.stdout) < most, call
+
+
+def test_personal_data_of_a_very_long_text(spark):
+    """Neighbours are found, and mentions replaced, without looking at words one by one."""
+    from textquarry.llm.spans import cut, piece, replaced
+
+    head, tail = "lorem é ipsum dolor " * 150_000, "ok zz wort\U0001f600 " * 100_000
+    text = head + "mailto a.b@c.orgé now +1 234 567 8901x " + tail
+    df = spark.createDataFrame([(text,)], "text string").withColumn("base", pii.base_spans(F.col("text")))
+    label = lambda s: F.lit("<HIT>")
+    pieces = F.array(*(piece(cut(F.col("text")), F.lit(a).cast("long"), F.lit(b).cast("long")) for a, b in ((0, 3), (4095, 4097), (4096, 8192), (5, 5), (7, 3), (4000, 20_000))))
+    r = df.select("base", pii._windows(F.col("text"), F.col("base")).alias("w"), F.sha2(replaced(F.col("text"), F.col("base"), label), 256).alias("sha"), pieces.alias("p")).first()
+    assert [s["hit"] for s in r["base"]] == ["a.b@c.org", "+1 234 567 8901"]
+    assert r["w"][0]["left"] == ["ipsum", "dolor", "lorem", "ipsum", "dolor", "lorem", "ipsum", "dolor", "mailto"][-8:]
+    assert r["w"][0]["right"] == ["now"] + ["wort"] * 7 and r["w"][1]["left"][-2:] == ["mailto", "now"] and r["w"][1]["right"] == ["wort"] * 8
+    want = text
+    for s in reversed(r["base"]):
+        want = want[: s["start"]] + "<HIT>" + want[s["stop"] :]
+    assert r["sha"] == hashlib.sha256(want.encode()).hexdigest()
+    assert r["p"] == [text[0:3], text[4095:4097], text[4096:8192], "", "", text[4000:20_000]]
