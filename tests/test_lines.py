@@ -83,3 +83,23 @@ def test_blocks_of_rows(spark):
     shown = sorted((r["line"], r["begins"], r["first"]) for r in context_lines(lines, "x", 7).collect())
     assert [x[0] for x in shown] == [*range(1, 27), *range(43, 51)] and [x for x in shown if x[1]] == [(1, True, True), (43, True, False)]
     assert line_windows(lines, "y", 2).collect() == [] and context_lines(lines, "y", 2).collect() == [] and line_positions(lines, "y").collect() == []
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_lines_of_many_blocks(spark, few, monkeypatch):
+    """Blocks that all belong to one file, which took time with the square of their number; broadcast, and dealt."""
+    from pyspark.sql import functions as F
+
+    from textquarry.operators import line_windows as own
+
+    monkeypatch.setattr(own, "BROADCAST_BLOCKS", few)
+    n = 5000
+    text = F.when(F.col("block") % 1000 == 7, "x").otherwise("-")
+    rows = spark.range(n).select(F.lit("p").alias("path"), F.col("id").alias("block"), F.posexplode(F.array(F.lit("a"), F.lit("b"))).alias("i", "_t")).withColumn("text", F.when(F.col("i") == 1, text).otherwise(F.lit("-"))).drop("_t")
+    shown = context_lines(Lines.of(rows), "x", 2)
+    # A frame that ends with the partition is gone through anew for each row.
+    assert "unboundedfollowing" not in shown._jdf.queryExecution().toString().lower()
+    got = sorted(tuple(r) for r in shown.select("line", "text", "begins", "first").collect())
+    expected = [(m + k, "x" if k == 0 else "-", k == -2, m == 16 and k <= 0) for m in range(16, 2 * n + 1, 2000) for k in range(-2, 3)]
+    assert got == expected
+    assert [tuple(r) for r in line_windows(Lines.of(rows), "x", 2).select("start_line", "end_line").sort("start_line").collect()] == [(m - 2, m + 2) for m in range(16, 2 * n + 1, 2000)]

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textquarry.functions.text import pad_start
+from textquarry.operators.ordinals import carried
 from textquarry.operators.render import BAR, BETWEEN
 from textquarry.operators.windows import line_matches
 from textquarry.plans.spec import QuerySpec
@@ -45,12 +46,12 @@ def line_windows(lines: Lines, pattern: str, n: int) -> DataFrame:
     # Windows of a block, numbered from 0.
     own = found.groupBy(*BLOCK, "k").agg(F.min("line").alias("head"), F.max("line").alias("last"), F.sum("n").cast("long").alias("n_matches"), F.max("n_lines").alias("n_lines"))
     # A block's first window goes on one of the block before if these are near enough; its others are new.
-    edges = own.groupBy(*BLOCK).agg(F.min("head").alias("head"), F.max("last").alias("last"), F.max("k").alias("k"))
-    by_block = Window.partitionBy("path").orderBy("block")
-    new = F.coalesce((F.col("head") - F.lag("last").over(by_block) > 2 * n + 1).cast("long"), F.lit(1))
-    edges = edges.withColumn("new", new)
-    upto = F.sum(F.col("k") + F.col("new")).over(by_block.rowsBetween(Window.unboundedPreceding, 0)) - F.col("k")
-    numbered = own.join(edges.select(*BLOCK, upto.alias("at")), BLOCK).withColumn("window", F.col("at") + F.col("k"))
+    edges = own.groupBy(*BLOCK).agg(F.min("head").alias("head"), F.max("last").alias("last"), F.max("k").alias("k")).persist()
+    edges = carried(edges, "path", "block", before=("max", "last", False))
+    new = F.coalesce((F.col("head") - F.col("before") > 2 * n + 1).cast("long"), F.lit(1))
+    edges = carried(edges.select(*BLOCK, new.alias("new"), (F.col("k") + new).alias("more")).persist(), "path", "block", earlier=("sum", "more", False))
+    edges = edges.select(*BLOCK, (F.coalesce("earlier", F.lit(0)) + F.col("new")).alias("at"))
+    numbered = own.join(edges, BLOCK).withColumn("window", F.col("at") + F.col("k"))
     return numbered.groupBy("path", "window").agg(
         F.greatest(F.lit(1), F.min("head") - n).alias("start_line"), F.least(F.max("n_lines"), F.max("last") + n).cast("int").alias("end_line"), F.sum("n_matches").alias("n_matches")).drop("window")
 
@@ -58,14 +59,14 @@ def line_windows(lines: Lines, pattern: str, n: int) -> DataFrame:
 def _edges(lines: Lines, pattern: str) -> DataFrame:
     """Each block's numbers, the last match before it and the first one behind it, as line numbers."""
     found = lines.rows.where(F.col("text").rlike(pattern)).groupBy(*BLOCK).agg(F.min("i").alias("head"), F.max("i").alias("last"))
-    own = lines.blocks.join(found, BLOCK, "left")
     line = lambda c: F.col("base") + F.col(c) - F.col("first") + 1
-    by_block = Window.partitionBy("path").orderBy("block")
-    before = F.last(line("last"), ignorenulls=True).over(by_block.rowsBetween(Window.unboundedPreceding, -1))
-    behind = F.first(line("head"), ignorenulls=True).over(by_block.rowsBetween(1, Window.unboundedFollowing))
+    own = lines.blocks.join(found, BLOCK, "left").withColumn("head", line("head")).withColumn("last", line("last")).persist()
+    # Lines ascend with their blocks: the last match before a block is the greatest of those before, the first one behind it the least of those behind.
+    own = carried(own, "path", "block", before=("max", "last", False), behind=("min", "head", True))
     # The empty line behind a last newline has no row: it is a line of the path's last block.
-    end = F.when(F.col("n_lines") > F.col("base") + F.col("n"), F.when(F.lead("block").over(by_block).isNull(), F.col("n_lines")))
-    return own.select(*BLOCK, F.col("first").alias("_first"), "base", "bom", before.alias("before"), behind.alias("behind"), end.alias("end"), F.coalesce(line("last"), before).alias("upto"))
+    total = F.col("base") + F.col("n")
+    end = F.when(F.col("n_lines") == total + 1, F.col("n_lines"))
+    return own.select(*BLOCK, F.col("first").alias("_first"), "base", "bom", "before", "behind", end.alias("end"), F.coalesce("last", "before").alias("upto"))
 
 
 def _near(rows: Iterator[tuple], n: int) -> Iterator[tuple]:
@@ -107,9 +108,13 @@ def context_lines(lines: Lines, pattern: str, n: int) -> DataFrame:
     few = edges.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS
     line = (F.col("base") + F.col("i") - F.col("_first") + 1).alias("line")
     text = F.when(F.col("bom") & (line == 1), F.concat(F.lit("\ufeff"), "text")).otherwise(F.col("text"))
-    rows = lines.rows.join(F.broadcast(edges) if few else edges, BLOCK).select(*BLOCK, line, text.alias("text"), F.col("text").rlike(pattern).alias("hit"), "before", "behind")
+    read = lines.rows
     if not few:
-        rows = rows.repartition(*BLOCK).sortWithinPartitions(*BLOCK, "line")
+        # Dealt by block once, in a fixed number of parts: a block is never split, and its lines move a single time.
+        read = read.repartition(int(lines.rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *BLOCK)
+    rows = read.join(F.broadcast(edges) if few else edges.hint("shuffle_hash"), BLOCK).select(*BLOCK, line, text.alias("text"), F.col("text").rlike(pattern).alias("hit"), "before", "behind")
+    if not few:
+        rows = rows.sortWithinPartitions(*BLOCK, "line")
     names = ["path", "line", "text", "begins", "first"]
     types = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.bool_()]
 

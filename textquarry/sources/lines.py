@@ -2,7 +2,7 @@
 
 A split's lines carry an ascending number from the scan itself; one small row a
 split (how many lines, which number is the first) and a running sum over a file's
-splits turn it into the line number. No line moves for it.
+splits, range by range, turn it into the line number. No line moves for it.
 """
 
 from __future__ import annotations
@@ -10,10 +10,11 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.operators.filters import path_filter
+from textquarry.operators.ordinals import carried
 from textquarry.plans.spec import QuerySpec
 from textquarry.sources.corpus import is_remote, located, root_paths, tops, utf8
 
@@ -28,14 +29,15 @@ class Lines:
     @classmethod
     def of(cls, rows: DataFrame) -> Lines:
         """Rows whose blocks make up their paths: nothing stands between or behind the lines."""
-        return cls(rows, _numbered(rows.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("i").alias("first")), F.lit(0), F.lit(False)))
+        return cls(rows, _numbered(rows.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("i").alias("first"), F.lit(0).alias("bytes")), F.lit(0), F.lit(False)))
 
 
 def _numbered(counts: DataFrame, more: Column, bom: Column) -> DataFrame:
-    """more: lines of the path that no row stands for. A window over a path has a row a block."""
-    whole = Window.partitionBy("path")
-    before = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select("path", "block", "n", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), (F.sum("n").over(whole) + more).alias("n_lines"), bom.alias("bom"))
+    """more: lines of the path that no row stands for. Both may use _bytes, those of the path's rows. No task needs a row of all blocks of a path."""
+    counts = counts.persist()  # a row a block, and read several times
+    whole = counts.groupBy("path").agg(F.sum("n").alias("_rows"), F.sum("bytes").alias("_bytes"))
+    found = carried(counts, "path", "block", base=("sum", "n", False)).join(whole, "path")
+    return found.select("path", "block", "n", "first", F.coalesce("base", F.lit(0)).alias("base"), (F.col("_rows") + more).alias("n_lines"), bom.alias("bom"))
 
 
 def lines_of_files(files: DataFrame) -> Lines:
@@ -45,7 +47,7 @@ def lines_of_files(files: DataFrame) -> Lines:
     and drops a byte order mark; the sum of a file's bytes tells of both.
     """
     counts = files.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("i").alias("first"), F.sum(F.octet_length("value") + 1).alias("bytes"), F.max("size").alias("size"))
-    short = F.sum("bytes").over(Window.partitionBy("path")) - F.col("size")
+    short = F.col("_bytes") - F.col("size")
     # 1: no newline at the end; 0: one; -2 and -3: the same without the mark's three bytes.
     blocks = _numbered(counts, F.when(short.isin(0, -3), 1).otherwise(0), short.isin(-2, -3))
     return Lines(files.select("path", "block", "i", utf8(F.col("value")).alias("text")), blocks)
