@@ -652,6 +652,20 @@ def test_all_documents_equal_the_library_and_decode(spark, data):
     assert 0 < some.where("audited").count() < docs.count() / 10
 
 
+def test_every_text_is_held_against_the_library():
+    """A cut that the library would encode in another way counts in each row that has it, chosen for the audit of whole texts or not."""
+    with open(sentencepiece_codec.MODEL, "rb") as f:
+        codec = sentencepiece_codec.Codec(f.read())
+    texts = HARD + ["the quick fox", "a fox, a fox\nfox", "none"]
+    assert codec.compared(texts)[2].tolist() == [0] * len(texts)
+    codec._forget()
+    library = codec.reference
+    other = lambda text: [*library.encode(text), *([0] if "fox" in text else [])]
+    codec._reference = type("Other", (), {"encode": staticmethod(lambda x, num_threads: other(x) if isinstance(x, str) else [other(t) for t in x])})
+    places = codec.compared(texts)[2].tolist()
+    assert all(n > 0 for n, t in zip(places, texts) if t and "fox" in t) and places[-1] == places[2] == 0
+
+
 # Long texts.
 
 

@@ -7,13 +7,19 @@ pieces by the score of the whole), and byte fallback.
 
 No piece has the marker inside, so a text may be cut before each run of markers
 without changing its tokens; the model is checked for this, and where it doesn't
-hold, texts are encoded uncut. The cuts that haven't been met before are encoded
-together, multithreaded. What has been met is remembered within a task, up to
-CACHE_BYTES, and forgotten with it; long texts are read in pieces.
-
-Parity: of one document in AUDIT_EVERY, chosen by a hash of its id, the whole
-text is also encoded by the sentencepiece library, and decoded by the rebuilt
-tokenizer's own decoder; what differs is counted in the row. Each text's tokens
+hold, or bytes have no pieces, texts are encoded uncut. Cutting and looking cuts up
+is done on arrays for a block of texts at once: a cut has a 64-bit number (see
+``bytewords``), and only those that a worker hasn't met are encoded, together and
+multithreaded. What has been met is remembered, up to CACHE_BYTES, from task to task;
+long texts are read in pieces. Each block's tokens are decoded to bytes and compared
+with it, so that equal numbers of different cuts can't pass unseen.
+
+Parity is counted for every text: each cut, when it is first met, is also encoded by the
+sentencepiece library, in the surroundings that make it a cut, and a row's count is
+that of all its cuts. Since cuts don't act on each other, nothing is left out; as a
+check of that very rule, of one document in AUDIT_EVERY, chosen by a hash of its id,
+the whole text goes through the library too, and through the rebuilt tokenizer's own
+decoder. Texts that are encoded uncut are all held against the library whole. Each text's tokens
 are decoded through the pieces' bytes and compared with it.
 
 The path of the model is a parameter; its bytes travel with the tasks, so that
@@ -32,25 +38,29 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textquarry.llm import bytewords
+from textquarry.llm.bytewords import U, mixed
 from textquarry.llm.common import bounded_batches, table
+from textquarry.llm.packing import Numbers
 
 QUERY = "op2_sentencepiece"
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: About so many bytes of cuts and their tokens are remembered; then remembering starts anew.
-CACHE_BYTES = 12 << 20
-#: What a remembered cut takes beside its characters and tokens: two Python objects, their places in a table and a list.
-CUT_BYTES = 200
-#: Texts are cut and encoded about so many characters at a time.
-PIECE = 1 << 18
-#: One document in so many is held against the sentencepiece library.
+#: About so many bytes of cuts' numbers and tokens are remembered; then remembering starts anew.
+CACHE_BYTES = 36 << 20
+#: What a remembered cut takes, about.
+CUT_BYTES = 70
+#: Texts are cut and encoded about so many bytes at a time.
+PIECE = 1 << 17
+#: One document in so many is held against the sentencepiece library as a whole, too.
 AUDIT_EVERY = 50
 
 #: Field numbers and values of the public sentencepiece_model.proto.
@@ -170,9 +180,10 @@ class Codec:
         os.environ.setdefault("RAYON_NUM_THREADS", "2")
         self.data, self.cache_bytes = data, cache_bytes
         self.model = Model.parse(data)
-        self.cut = self.model.cuttable
+        self.cut = self.model.cuttable and self.model.byte_fallback
+        self.line = self.model.newline_alone
         self.tok = self.model.tokenizer(whole=not self.cut)
-        self.cutter = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+" if self.model.newline_alone else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        self.cutter = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+" if self.line else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
         pieces = self.model.piece_bytes()
         self.size = np.array([len(p) for p in pieces], np.int64)
         self.begin = np.concatenate([[0], np.cumsum(self.size)[:-1]])
@@ -190,63 +201,129 @@ class Codec:
         return self._reference
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.ends, self.held = np.zeros(0, np.int32), np.zeros(1, np.int64), 0
+        self.known = Numbers(self.cache_bytes // CUT_BYTES + bytewords.PIECE)
+        self.ids, self.ends, self.wrong = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64)
 
     def _tokens(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, text: str) -> Iterator[str]:
-        """text in parts of about PIECE characters, parted where a run of markers begins."""
+    @staticmethod
+    def _pieces(text: bytes) -> Iterator[bytes]:
+        """text, whose markers are blanks, in parts of about PIECE bytes, parted where a run of blanks begins."""
         begin = 0
         while begin < len(text):
             end = begin + PIECE
-            while 0 < end < len(text) and not (text[end] == MARK and text[end - 1] != MARK):
-                end = text.find(MARK, end + 1)
+            while 0 < end < len(text) and not (text[end] == 0x20 and text[end - 1] != 0x20):
+                end = text.find(b" ", end + 1)
             end = len(text) if end < 0 else min(end, len(text))
             yield text[begin:end]
             begin = end
 
-    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all pieces, the number of each piece's)."""
-        if self.held > self.cache_bytes:
+    def _places(self, theirs: list[int], own: list[int]) -> int:
+        return sum(a != b for a, b in zip(theirs, own, strict=False)) + abs(len(theirs) - len(own))
+
+    def _parity(self, cuts: list[str], found: list[list[int]]) -> list[int]:
+        """The places at which the library's tokens of each cut are others. It puts a marker before a text by itself; what can't stand first is encoded behind, blanks alone before, a newline."""
+        encode = lambda texts: self.reference.encode(texts, num_threads=1)
+        line = encode("\n")  # a marker and a newline
+        kind = [0 if not self.line else 1 if not c.startswith(" ") else 0 if c.strip(" ") else 2 for c in cuts]
+        asked = [c[1:] if k == 0 else c[1:] + "\n" if k == 2 else c if c == "\n" else "\n" + c for c, k in zip(cuts, kind, strict=True)]
+        out = []
+        for c, k, theirs, own in zip(cuts, kind, encode(asked), found, strict=True):
+            expected = own if k == 0 else [*own, *line[1:]] if k == 2 else [*line[:1], *own] if c == "\n" else [*line, *own]
+            out.append(0 if theirs == expected else self._places(theirs, expected))
+        return out
+
+    def _alone(self, piece: bytes) -> tuple[np.ndarray, int]:
+        """(ids, places that differ) of a piece by the tokenizer, without remembering."""
+        text = piece.decode()
+        ids = [i for x in self._tokens(self.cutter.findall(text.replace(" ", MARK))) for i in x]
+        return np.array(ids, np.int32), self._places(self.reference.encode(text[1:], num_threads=1), ids)
+
+    def _encoded(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all pieces, the number of each piece's, the places of each piece that differ from the library's)."""
+        x = np.frombuffer(b"".join(pieces), np.uint8)
+        if len(x) <= bytewords.PIECE:
+            found = self._block(pieces, x)
+            if found is not None:
+                return found
+        alone = [self._alone(p) for p in pieces]
+        return np.concatenate([a for a, _ in alone]), np.array([len(a) for a, _ in alone], np.int64), np.array([w for _, w in alone], np.int64)
+
+    def _block(self, pieces: list[bytes], x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        if self.known.n * CUT_BYTES > self.cache_bytes:
+            self._forget()
+        size = np.array([len(p) for p in pieces], np.int64)
+        blank = x == 0x20
+        starts = blank.copy()
+        starts[1:] &= ~blank[:-1]
+        if self.line:
+            line = x == 0x0A
+            starts |= line
+            starts[1:] |= line[:-1]
+        starts[np.cumsum(size) - size] = True
+        begin = np.flatnonzero(starts)
+        end = np.append(begin[1:], len(x))
+        total = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(bytewords._BYTE[x] * bytewords._PLUS[: len(x)], out=total[1:])
+        number = mixed((total[end] - total[begin]) * bytewords._MINUS[begin] + (end - begin).astype(np.uint64) * U(0x9E3779B97F4A7C15))
+        at = self.known.find(number)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            unique, first = np.unique(number[new], return_index=True)
+            self._learn(unique, x, begin[new[first]], end[new[first]])
+            at[new] = self.known.find(number[new])
+        ids, count = _gathered(self.ids, self.ends[:-1][at], np.diff(self.ends)[at])
+        if not np.array_equal(_gathered(self.store, self.begin[ids], self.size[ids])[0], x):
             self._forget()
-        cuts = [self.cutter.findall(p) for p in pieces]
-        new = list({c for own in cuts for c in own}.difference(self.known))
-        first = len(self.known)
-        for start in range(0, len(new), 20_000):
-            found = self._tokens(new[start : start + 20_000])
-            self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], np.int32)])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in found])])
-        self.known.update(zip(new, range(first, first + len(new)), strict=True))
-        self.held += len(new) * CUT_BYTES + sum(map(len, new)) + 4 * int(self.ends[-1] - self.ends[first])
-        count = [len(c) for c in cuts]
-        at = np.fromiter((self.known[c] for own in cuts for c in own), np.int64, sum(count))
-        flat, size = _gathered(self.ids, self.ends[:-1][at], np.diff(self.ends)[at])
-        return flat, np.bincount(np.repeat(np.arange(len(pieces)), count), size, len(pieces)).astype(np.int64)
+            return None
+        of_piece = np.searchsorted(np.cumsum(size), begin, "right")
+        whole = lambda values: np.bincount(of_piece, values, len(pieces)).astype(np.int64)
+        return ids, whole(count), whole(self.wrong[at])
+
+    def _learn(self, numbers: np.ndarray, x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        data = x.tobytes()
+        cuts = [data[a:b].decode() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+        found = self._tokens([c.replace(" ", MARK) for c in cuts])
+        self.ids = np.concatenate([self.ids, np.array([i for own in found for i in own], np.int32)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(own) for own in found])])
+        self.wrong = np.concatenate([self.wrong, np.array(self._parity(cuts, found), np.int64)])
+        self.known.add(numbers)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's begin and end)."""
+        return self.compared(texts)[:2]
+
+    def compared(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's begin and end, the places of each text at which the library's tokens are others)."""
         texts = ["" if t is None else t for t in texts]
         if not self.cut:
             found = self._tokens(texts)
-            return np.array([i for x in found for i in x], np.int32), np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
-        total, flat = np.zeros(len(texts), np.int64), [np.zeros(0, np.int32)]
-        held: list[str] = []
+            bounds = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
+            return np.array([i for x in found for i in x], np.int32), bounds, np.array([self._places(self.reference.encode(t, num_threads=1), x) for t, x in zip(texts, found, strict=True)], np.int64)
+        total, wrong, flat = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), [np.zeros(0, np.int32)]
+        held: list[bytes] = []
         owner: list[int] = []
         size = 0
-        for i, t in enumerate([*texts, None]):
-            for piece in self._pieces(MARK + t.replace(" ", MARK)) if t else [""] if t is None else []:
-                if held and (t is None or size + len(piece) > PIECE):
-                    ids, count = self._encoded(held)
-                    flat.append(ids)
-                    total += np.bincount(owner, count, len(texts)).astype(np.int64)
-                    held, owner, size = [], [], 0
-                if piece:
-                    held.append(piece)
-                    owner.append(i)
-                    size += len(piece)
-        return np.concatenate(flat), np.concatenate([[0], np.cumsum(total)])
+
+        def flush() -> None:
+            nonlocal held, owner, size, total, wrong
+            ids, count, places = self._encoded(held)
+            flat.append(ids)
+            total += np.bincount(owner, count, len(texts)).astype(np.int64)
+            wrong += np.bincount(owner, places, len(texts)).astype(np.int64)
+            held, owner, size = [], [], 0
+
+        for i, t in enumerate(texts):
+            for piece in self._pieces(b" " + t.replace(MARK, " ").encode()) if t else ():
+                if held and size + len(piece) > PIECE:
+                    flush()
+                held.append(piece)
+                owner.append(i)
+                size += len(piece)
+        if held:
+            flush()
+        return np.concatenate(flat), np.concatenate([[0], np.cumsum(total)]), wrong
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> Iterator[str]:
         """The text of each list of tokens, through the pieces' bytes; bytes that are no UTF-8 are replaced."""
@@ -279,18 +356,24 @@ def _model_bytes(path: str) -> bytes:
         return f.read()
 
 
+@lru_cache(maxsize=1)
+def _codec(data: bytes) -> Codec:
+    """A worker's own: what it has met is remembered for its next task."""
+    return Codec(data)
+
+
 def encode(documents: DataFrame, model: str = MODEL, audit_every: int = AUDIT_EVERY) -> DataFrame:
-    """doc_id, n_tokens, ids, audited, differing (places of an audited text where the library's tokens or the decoder's text are others), round_trip."""
+    """doc_id, n_tokens, ids, audited (as a whole, too), differing (places of the text where the library's tokens, or of an audited one the decoder's text, are others), round_trip."""
     bounded_batches(documents.sparkSession)
     data = _model_bytes(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(data)  # a task's own: what it remembers goes with it
+        codec = _codec(data)
         for batch in batches:
             texts, audited = batch.column("text").to_pylist(), batch.column("audited").to_pylist()
-            ids, bounds = codec.encode(texts)
+            ids, bounds, places = codec.compared(texts)
             same = [a == (b or "").replace(MARK, " ") for a, b in zip(codec.decode(ids, bounds), texts, strict=True)]
-            wrong = [codec.differing(t or "", ids[a:b]) if own else 0 for t, own, a, b in zip(texts, audited, bounds[:-1], bounds[1:], strict=True)]
+            wrong = [codec.differing(t or "", ids[a:b]) if own else n for t, own, a, b, n in zip(texts, audited, bounds[:-1], bounds[1:], places.tolist(), strict=True)]
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(np.diff(bounds), pa.int64()), lists, batch.column("audited"), pa.array(wrong, pa.int64()), pa.array(same, pa.bool_())],
@@ -307,7 +390,7 @@ def decode(tokens: DataFrame, model: str = MODEL) -> DataFrame:
     data = _model_bytes(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = Codec(data).tok
+        tok = _codec(data).tok
         for batch in batches:
             texts = tok.decode_batch([x or [] for x in batch.column("ids").to_pylist()], skip_special_tokens=False)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
