@@ -604,6 +604,73 @@ def test_threshold_by_both_labels():
     assert (score([words(i, "") for i in range(300, 340)]) >= threshold).mean() < 0.1
 
 
+def test_rules_learn_from_every_labelled_row(spark):
+    """Good rows of a style that only rows beyond the first 2,000 of their label have, in the order of a hash of the id: once no model saw them, and most were rejected."""
+    rng = random.Random(31)
+    ids = [r["id"] for r in spark.range(3600).where(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0).orderBy(F.xxhash64(F.lit(17), "id")).limit(2900).collect()]
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
+    plain = lambda: " ".join(word() for _ in range(rng.randint(60, 90)))
+    style = {i: "bad" if k < 300 else "plain" if k < 2300 else "capitals" for k, i in enumerate(ids)}
+    marked = lambda some: " ".join(word().upper() + "#" if k < some else word() for k in range(80))
+    text = {"bad": lambda: marked(rng.randint(1, 40)), "plain": plain, "capitals": lambda: plain().upper()}
+    docs = spark.createDataFrame([(i, text[s]()) for i, s in style.items()], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(s != "bad")) for i, s in style.items()], "doc_id long, quality int")
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.apply(docs, labels).collect()}
+    part = {s: np.mean([kept[i] for i in style if style[i] == s]) for s in text}
+    assert part["capitals"] > 0.7 and part["plain"] > 0.9 and part["bad"] < 0.2
+
+
+def test_all_labelled_rows_grow_or_calibrate_by_brute_force(spark, monkeypatch):
+    """What is learnt from, how it is parted and dealt, trees that don't depend on the rows' order, and paths that count all rows."""
+    import zlib
+
+    rng = random.Random(32)
+    names = quality_rules.BASE + quality_rules.EXTRA
+    counted = [(i, *(rng.choice([20, 50, 80, 200]) if k == 0 else rng.randint(0, 60) for k in range(len(names)))) for i in range(900)]
+    counted += [counted[5], (7, *counted[8][1:]), (None, *counted[9][1:])]
+    known = [(i, rng.choice([0, 1, 1, 1, None])) for i in range(0, 1200)] + [(3, 1), (3, 0), (None, 1)]
+    schema = "doc_id long, " + ", ".join(f"{c} long" for c in names)
+    rows = quality_rules.labelled(spark.createDataFrame(counted, schema), spark.createDataFrame(known, "doc_id long, quality int")).cache()
+    label = {(i, y) for i, y in known if i is not None and y is not None and zlib.crc32(str(i).encode()) % 5}
+    want = sorted({(c[0], y, *c[1:]) for c in counted for y in (0, 1) if (c[0], y) in label and c[1] >= 50 and 100 * c[5] <= 50 * c[1]})
+    assert sorted(map(tuple, rows.collect())) == want
+    grown, rest, size = quality_rules.parted(rows)
+    one, two = (sorted(map(tuple, x.collect())) for x in (grown, rest))
+    assert sorted(one + two) == want and not set(one) & set(two)
+    good = sum(r[1] for r in one)
+    assert size == pytest.approx(len(one), rel=0.2) and 0 < len(one) - good <= 0.05 * good + 3 and sum(r[1] for r in two) > 0
+    for trees, subsample in ((8, 16), (8, 100), (4, 1000)):
+        monkeypatch.setattr(quality_rules, "TREES", trees)
+        monkeypatch.setattr(quality_rules, "SUBSAMPLE", subsample)
+        dealt = [tuple(r) for r in quality_rules.dealt(grown, size).collect()]
+        times = Counter(r[1:] for r in dealt)
+        assert set(times) == {r[2:] for r in one} and len(dealt) == len(set(dealt)) and {r[0] for r in dealt} == set(range(trees))
+        n = len(dealt) / trees
+        assert n == len(one) / trees if subsample == 16 else n == len(one) if subsample == 1000 else 80 < n < 120
+        forest = quality_rules.forest_of(quality_rules.dealt(grown, size), size)
+        assert len(forest.trees) == trees and forest.size == round(n)
+        for t, tree in enumerate(forest.trees):
+            own = sorted((r[1:] for r in dealt if r[0] == t), reverse=True)
+            again = quality_rules.Forest.grow(quality_rules.features(np.array(own)), forest.depth, np.random.default_rng([quality_rules.SEED, t]))
+            assert all((a == b).all() for a, b in zip(tree, again, strict=True))
+
+
+def test_threshold_by_brute_force(spark):
+    rng = random.Random(33)
+    for distinct, ranges in ((3, 1 << 14), (40, 5), (1000, 40)):
+        rows = [(y := int(rng.random() < 0.7), min(rng.randint(0, distinct), rng.randint(0, distinct) + (y == 0) * distinct // 2) / distinct / 1.5) for _ in range(700)]
+        at = sorted({s for _, s in rows})
+        rate = lambda y, least: np.mean([s >= least for z, s in rows if z == y])
+        for most in (0.0, 0.04, 0.5, 1.0):
+            options = [((a + b) / 2, rate(1, b), rate(0, b)) for a, b in zip(at, at[1:])] + [(at[-1] + 1e-9, 0.0, 0.0)]
+            best = max((round(found - false, 9), -t) for t, false, found in options if false <= most)
+            with pytest.MonkeyPatch.context() as m:
+                m.setattr(quality_rules, "RANGES", ranges)
+                got = quality_rules.threshold_of(spark.createDataFrame(rows, "y int, anomaly double"), most)
+            assert got == pytest.approx(-best[1])
+    assert quality_rules.threshold_of(spark.createDataFrame([(0, 0.4), (1, 0.5)], "y int, anomaly double")) == pytest.approx(0.5 + 1e-9)
+
+
 def test_windows_cover_the_text():
     for n in (0, 1, 63, 64, 95, 96, 97, 128, 1000):
         text = bytes(i % 251 for i in range(n))
